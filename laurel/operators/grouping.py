@@ -88,7 +88,7 @@ def global_rank(
 
 
 def top_per_group(
-    df: DataFrame, group: str, limits: dict[str, int], order: Sequence[Column], unique: str
+    df: DataFrame, group: str, limits: dict[str, int], order: Sequence[Column]
 ) -> DataFrame:
     """The first ``limits[g]`` rows of each group ``g``.
 

@@ -1,7 +1,7 @@
 """The given tables read as inputs of the operators.
 
 Orders stand for results: customer = person, nation/region = country/continent, priority = event,
-month = competition. Rows before 1996 form the baseline export, later rows arrive live.
+month = competition, week = local day. Rows before 1996 form the baseline export, later rows arrive live.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ res AS (
          r_name AS continent, o_orderpriority AS event_id,
          CASE WHEN o_orderstatus = 'P' THEN 'average' ELSE 'single' END AS kind,
          CAST(floor(o_totalprice / 4000) AS BIGINT) + 1 AS value, o_orderdate AS tm,
-         CAST(o_orderdate AS DATE) AS local_date, strftime(o_orderdate, '%Y%m') AS competition_id,
+         CAST(date_trunc('week', o_orderdate) AS DATE) AS local_date, strftime(o_orderdate, '%Y%m') AS competition_id,
          o_orderkey % 3 + 1 AS round_number
   FROM orders JOIN customer ON o_custkey = c_custkey
   JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
@@ -108,7 +108,7 @@ def results(spark: SparkSession, folder: str) -> DataFrame:
             F.when(F.col("o_orderstatus") == "P", "average").otherwise("single").alias("kind"),
             (F.floor(F.col("o_totalprice") / 4000) + 1).cast("long").alias("value"),
             day.cast("timestamp").alias("at"),
-            day.cast("date").alias("local_date"),
+            F.date_trunc("week", day).cast("date").alias("local_date"),
             F.date_format(day, "yyyyMM").alias("competition_id"),
             F.lit("").alias("competition_name"),
             F.lit("").alias("round_id"),
