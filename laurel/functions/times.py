@@ -83,7 +83,7 @@ def is_collectable(end_date, as_of, grace_minutes: int = 720) -> Column:
 
 def compact_date_range(text) -> Column:
     """``2026-08-09``, ``2026-08-09~10``, ``2026-08-30~09-02`` or two full dates."""
-    parts = F.transform(F.split(_col(text), "~", 2), F.trim)
+    parts = F.transform(F.split(_col(text), "~", 2), lambda part: F.trim(part))
     first, last = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
     full = (
         F.when(last.isNull(), first)

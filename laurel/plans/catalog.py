@@ -26,4 +26,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Run], Run]:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from laurel.plans import alerts, attendance, evidence, records, serving, sources  # noqa: F401
+    from laurel.plans import (  # noqa: F401
+        alerts,
+        attendance,
+        evidence,
+        records,
+        serving,
+        sources,
+        streams,
+    )
