@@ -8,6 +8,7 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from laurel.functions import fixed
 from laurel.functions.values import _col
@@ -23,7 +24,7 @@ def looked_up(values: Mapping, key) -> Column:
     return F.try_element_at(literal_map(values), _col(key))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold_accents(names: pd.Series) -> pd.Series:
     def fold(name):
         if name is None:
