@@ -34,4 +34,5 @@ def load_all() -> None:
         serving,
         sources,
         streams,
+        upkeep,
     )

@@ -150,33 +150,48 @@ def recent_records_parsed(spark, folder):
     )
 
 
-_LINES = """ln AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CAST(floor(l_extendedprice) AS BIGINT) AS price,
-  l_returnflag FROM lineitem)"""
+# Every line makes one document with three entries, so no document grows with the data.
+_LINES = """l0 AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CAST(floor(l_extendedprice) AS BIGINT) AS price,
+  l_returnflag FROM lineitem),
+ln AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, l_returnflag, price, 1 AS pos FROM l0
+  UNION ALL SELECT l_orderkey, l_linenumber + 10, l_suppkey, l_partkey, l_returnflag, price + 1, 2 FROM l0
+  UNION ALL SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, l_returnflag, price + 2, 3 FROM l0)"""
+
+
+def _spread_lines(spark, folder):
+    """Lines over all cores, so that the documents made of them are parsed in parallel."""
+    return table(spark, folder, "lineitem").repartition(
+        spark.sparkContext.defaultParallelism, "l_orderkey", "l_linenumber", "l_partkey"
+    )
 
 
 def _order_lines(spark, folder):
-    """Lines of each order as one array; an order has at most seven of them."""
-    lines = table(spark, folder, "lineitem").select(
-        "l_orderkey",
-        F.struct(
-            "l_linenumber",
+    """Each line as a document: the line, a neighbour, and the line again with a higher price."""
+    price = F.floor("l_extendedprice").cast("long")
+
+    def entry(number, cost):
+        return F.struct(
+            number.cast("int").alias("l_linenumber"),
             "l_suppkey",
             "l_partkey",
-            F.floor("l_extendedprice").cast("long").alias("price"),
+            cost.alias("price"),
             "l_returnflag",
-        ).alias("line"),
+        )
+
+    number = F.col("l_linenumber")
+    return _spread_lines(spark, folder).select(
+        "l_orderkey",
+        F.array(entry(number, price), entry(number + 10, price + 1), entry(number, price + 2)).alias("lines"),
     )
-    return lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("line")).alias("lines"))
 
 
 @query(
     "round_snapshots_parsed",
-    f"""WITH {_LINES}, d AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_suppkey DESC, l_partkey DESC, price DESC, l_returnflag DESC) AS n FROM ln)
-    SELECT l_orderkey, CAST(l_linenumber AS VARCHAR) AS result_id, price AS best,
-      CASE l_returnflag WHEN 'R' THEN 'NR' WHEN 'A' THEN 'CR' ELSE '' END AS single_tag FROM d WHERE n = 1""",
+    f"""WITH {_LINES} SELECT l_orderkey, CAST(l_linenumber AS VARCHAR) AS result_id, price AS best,
+      CASE l_returnflag WHEN 'R' THEN 'NR' WHEN 'A' THEN 'CR' ELSE '' END AS single_tag FROM ln WHERE pos > 1""",
 )
 def round_snapshots_parsed(spark, folder):
-    """Each order as a round snapshot with a result per line; a repeated id takes the last row."""
+    """Round snapshots of three rows, two of them with one id: the last row of an id wins."""
     tag = lambda l: F.when(l["l_returnflag"] == "R", "nr").when(l["l_returnflag"] == "A", "cr")  # noqa: E731, E741
     rows = F.transform(
         "lines",
@@ -192,7 +207,8 @@ def round_snapshots_parsed(spark, folder):
         "l_orderkey",
         F.to_json(F.struct(F.col("l_orderkey").cast("string").alias("id"), rows.alias("results"))).alias("payload"),
     )
-    parsed = payloads.round_results(frames).where(F.col("error").isNull())
+    numbered = frames.withColumn("frame_id", F.monotonically_increasing_id())
+    parsed = payloads.round_results(numbered).where(F.col("error").isNull())
     return parsed.select("l_orderkey", "result_id", F.col("best").cast("long").alias("best"), "single_tag")
 
 
@@ -293,11 +309,11 @@ def record_list_parsed(spark, folder):
 
 @query(
     "html_registrations",
-    """SELECT l_orderkey, printf('2000ABCD%02d', l_suppkey % 100) AS person_id, 'Supplier ' || l_suppkey AS name, 'Chinese Taipei' AS region
-    FROM lineitem WHERE l_returnflag <> 'N'""",
+    f"""WITH {_LINES} SELECT l_orderkey, printf('2000ABCD%02d', l_suppkey % 100) AS person_id, 'Supplier ' || l_suppkey AS name, 'Chinese Taipei' AS region
+    FROM ln WHERE l_returnflag <> 'N'""",
 )
 def html_registrations(spark, folder):
-    """Each order as a registration page with a row per line; flag N is a first-timer."""
+    """Registration pages of three rows; flag N is a first-timer."""
     row = lambda l: F.format_string(  # noqa: E731, E741
         '<tr><td>%d</td><td><a href="/results/person/%s">Supplier %d</a></td><td> Chinese  Taipei </td></tr>',
         l["l_linenumber"],
@@ -322,8 +338,8 @@ def html_registrations(spark, folder):
       CASE l_returnflag WHEN 'R' THEN 'TW' ELSE 'CN' END AS country_code FROM lineitem""",
 )
 def html_competition_index(spark, folder):
-    """Each order as an index page listing a competition per line."""
-    lines = table(spark, folder, "lineitem").select(
+    """Each line as an index page listing one competition."""
+    lines = _spread_lines(spark, folder).select(
         "l_orderkey",
         F.format_string(
             '<tr><td>%s~%s</td><td><a href="https://x/competition/slug-%d?lang=en">C &amp; %d</a></td><td>%s</td><td>City</td><td>-</td></tr>',
@@ -334,11 +350,11 @@ def html_competition_index(spark, folder):
             F.when(F.col("l_returnflag") == "R", "Chinese Taipei").otherwise("Sichuan"),
         ).alias("row"),
     )
-    pages = lines.groupBy("l_orderkey").agg(F.array_join(F.collect_list("row"), "").alias("rows")).select(
+    pages = lines.select(
         "l_orderkey",
         F.concat(
             F.lit("<table><thead><tr><th>Date</th><th>Competition Name</th></tr></thead><tbody>"),
-            "rows",
+            "row",
             F.lit("</tbody></table>"),
         ).alias("html"),
     )
@@ -348,11 +364,11 @@ def html_competition_index(spark, folder):
 
 @query(
     "html_live_rounds",
-    """SELECT l_orderkey, CAST(l_partkey AS VARCHAR) AS round_id, l_returnflag AS format,
-      row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS round_number FROM lineitem""",
+    f"""WITH {_LINES} SELECT l_orderkey, CAST(l_partkey AS VARCHAR) AS round_id, l_returnflag AS format,
+      CAST(pos AS BIGINT) AS round_number FROM ln""",
 )
 def html_live_rounds(spark, folder):
-    """Each order as a live page whose container lists a round per line."""
+    """Live pages whose container lists three rounds; a round's number is its place."""
     rounds = F.transform(
         "lines",
         lambda l: F.struct(l["l_partkey"].cast("string").alias("i"), l["l_returnflag"].alias("f")),  # noqa: E741
