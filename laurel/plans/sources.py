@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from laurel.operators import baseline as cells
 from laurel.plans.catalog import query
 from laurel.plans.tables import RES, events, results, table, tune
-from laurel.session import shared_folder
+from laurel.session import shared_folder, stage
 from laurel.sources import export, html_pages, payloads
 
 _TABLES = (
@@ -379,7 +379,8 @@ def html_live_rounds(spark, folder):
         F.lit('<html><div id="live-container" data-c="7" data-type="WCA" data-events="'), attribute, F.lit('"></div></html>')
     )
     pages = _order_lines(spark, folder).select("l_orderkey", page.alias("html"))
-    found = html_pages.live_rounds(pages).where(F.col("error").isNull())
+    # Stored like real pages, so that building them is not repeated for every extracted attribute.
+    found = html_pages.live_rounds(stage(pages)).where(F.col("error").isNull())
     return found.select("l_orderkey", "round_id", "format", F.col("round_number").cast("long").alias("round_number"))
 
 

@@ -206,21 +206,31 @@ _CONTAINER = r'(?s)<[a-zA-Z]+\b[^>]*\bid="live-container"[^>]*>'
 def live_rounds(pages: DataFrame, html: str = "html") -> DataFrame:
     """Rounds in the live container's JSON attribute; a round's number is its 1-based place."""
 
-    def attribute(name: str):
-        quoted = F.regexp_extract("_tag", rf"\b{name}=(?:\"([^\"]*)\"|'([^']*)')", 1)
-        single = F.regexp_extract("_tag", rf"\b{name}=(?:\"([^\"]*)\"|'([^']*)')", 2)
-        text = F.when(quoted != "", quoted).otherwise(single)
+    def attribute(name: str) -> Column:
+        quoted = F.regexp_extract("_tag", rf"\b{name}=(\"[^\"]*\"|'[^']*')", 1)
+        return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+
+    def unescaped(text: Column) -> Column:
         for code, char in (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
             text = F.replace(text, F.lit(code), F.lit(char))
         return text
 
     keep = [c for c in pages.columns if c != html]
-    rows = pages.withColumn("_tag", F.regexp_extract(html, _CONTAINER, 0)).withColumns(
-        {"_events": F.from_json(attribute("data-events"), _ROUNDS), "live_id": attribute("data-c").try_cast("long")}
+    # Each attribute is extracted once and then referred to by name.
+    rows = (
+        pages.select(*keep, F.regexp_extract(html, _CONTAINER, 0).alias("_tag"))
+        .withColumns(
+            {
+                "_type": attribute("data-type"),
+                "live_id": attribute("data-c").try_cast("long"),
+                "_text": unescaped(attribute("data-events")),
+            }
+        )
+        .withColumn("_events", F.from_json("_text", _ROUNDS))
     )
     error = (
         F.when(F.col("_tag") == "", "live container was not found")
-        .when(attribute("data-type") != "WCA", "not an official competition")
+        .when(F.col("_type") != "WCA", "not an official competition")
         .when(F.col("live_id").isNull() | F.col("_events").isNull(), "invalid live metadata")
         .when(F.size("_events") == 0, "live page has no rounds")
     )
