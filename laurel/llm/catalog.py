@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from laurel.llm import mixing
+from laurel.llm import mixing, token_files
 
-RUNS = {"op1_mixing": mixing.op1_mixing}
+RUNS = {"op1_mixing": mixing.op1_mixing, "op9_token_files": token_files.op9_token_files}
 SQL = {"op1_mixing": mixing.ORACLE}

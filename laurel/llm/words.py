@@ -66,16 +66,20 @@ class Slab:
 
     def hashes(self, prefix: int | None = None) -> np.ndarray:
         """A 64-bit hash of every word, or of its first ``prefix`` bytes."""
-        lengths = self.ends - self.starts
-        if prefix is not None:
-            lengths = np.minimum(lengths, prefix)
-        if not len(lengths):
-            return np.zeros(0, np.uint64)
-        before = np.cumsum(lengths) - lengths
-        place = np.arange(int(lengths.sum())) - np.repeat(before, lengths)
-        value = _BYTE[self.data[np.repeat(self.starts, lengths) + place]]
-        value *= powers(int(lengths.max()))[place]
-        return mix(np.add.reduceat(value, before))
+        ends = self.ends if prefix is None else np.minimum(self.ends, self.starts + prefix)
+        return span_hashes(self.data, self.starts, ends)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes from every start to its end (at least one byte each)."""
+    lengths = ends - starts
+    if not len(lengths):
+        return np.zeros(0, np.uint64)
+    before = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(before, lengths)
+    value = _BYTE[data[np.repeat(starts, lengths) + place]]
+    value *= powers(int(lengths.max()))[place]
+    return mix(np.add.reduceat(value, before))
 
 
 def grams(words: np.ndarray, k: int) -> np.ndarray:
