@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from laurel.llm import mixing, token_files
+from laurel.llm import mixing, token_files, toxicity
 
-RUNS = {"op1_mixing": mixing.op1_mixing, "op9_token_files": token_files.op9_token_files}
+RUNS = {
+    "op1_mixing": mixing.op1_mixing,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op9_token_files": token_files.op9_token_files,
+}
 SQL = {"op1_mixing": mixing.ORACLE}
