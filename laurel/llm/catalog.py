@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from laurel.llm import mixing, token_files, toxicity
+from laurel.llm import mixing, secrets, token_files, toxicity
 
 RUNS = {
     "op1_mixing": mixing.op1_mixing,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op8_secrets": secrets.op8_secrets,
     "op9_token_files": token_files.op9_token_files,
 }
 SQL = {"op1_mixing": mixing.ORACLE}
