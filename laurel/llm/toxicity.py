@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from laurel.llm.labelled import FOLDS, LABELLED, fold, sample
 from laurel.llm.tables import prepare, read, staged
-from laurel.llm.words import Slab, mix, slabs, span_hashes
+from laurel.llm.words import Slab, mix, slabs, span_hashes, trimmed
 
 LEVELS = (4, 6, 8, 11)
 SLOTS = 1 << 20
@@ -33,27 +34,11 @@ DISCOUNT = 0.75
 FLOOR = 1e-3  # probability of a step that neither class has seen, below a known place
 MARGINS = (3.0, 1.0)
 SHORT = 20  # words added to a text's length, so that few words prove little
-LABELLED = 400_000  # labelled rows to learn from at most (about: chosen by hash)
-FOLDS = 5
-_MARK = np.zeros(256, bool)
-_MARK[[ord(x) for x in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
-
-
-def _trimmed(slab: Slab) -> tuple[np.ndarray, np.ndarray]:
-    """Words without the marks around them; a word of marks keeps one."""
-    starts, ends = slab.starts.copy(), slab.ends.copy()
-    for edge, step in ((ends, -1), (starts, 1)):
-        rows = np.arange(len(starts))
-        while len(rows):
-            at = edge[rows] - 1 if step < 0 else edge[rows]
-            rows = rows[(ends[rows] - starts[rows] > 1) & _MARK[slab.data[at]]]
-            edge[rows] += step
-    return starts, ends
 
 
 def paths(slab: Slab) -> tuple[list[np.ndarray], np.ndarray]:
     """For every word its node at each level (signed 64 bit) and the number of its last step."""
-    starts, ends = _trimmed(slab)
+    starts, ends = trimmed(slab)
     length = ends - starts
     nodes = []
     for level, size in enumerate(LEVELS):
@@ -208,10 +193,6 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarra
     return out
 
 
-def fold(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
-
-
 class ToxicityModel:
     """Both models and the fit; ``score`` adds a probability to any documents."""
 
@@ -239,14 +220,10 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Toxic
     document of one class every score is 0 (or 1 if all are toxic).
     """
     spark = prepare(docs.sparkSession)
-    marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold(F.col("doc_id")) != 0)
-    marks = marks.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    share = labelled / max(labels.count(), 1)
-    if share < 1:
-        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    marks = sample(labels, "toxic", labelled)
     # The last fold is held back for the logistic fit.
-    second = (fold(F.col("doc_id")) == FOLDS - 1).cast("int")
-    marks = staged(marks.select(F.col("doc_id").alias("_id"), "toxic", (F.col("toxic") + 2 * second).alias("part")), "marks")
+    second = (fold(F.col("_id")) == FOLDS - 1).cast("int")
+    marks = marks.select("_id", (F.col("toxic") + 2 * second).alias("part"))
     rows = docs.select("doc_id", "text").join(F.broadcast(marks), F.col("doc_id") == F.col("_id"))
     counts = staged(step_counts(rows), "steps")
     seen = {r.part: r.n for r in marks.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -82,6 +82,22 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(np.add.reduceat(value, before))
 
 
+_MARK = np.zeros(256, bool)
+_MARK[[ord(x) for x in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
+
+
+def trimmed(slab: Slab) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words without the marks around them; a word of marks keeps one."""
+    starts, ends = slab.starts.copy(), slab.ends.copy()
+    for edge, step in ((ends, -1), (starts, 1)):
+        rows = np.arange(len(starts))
+        while len(rows):
+            at = edge[rows] - 1 if step < 0 else edge[rows]
+            rows = rows[(ends[rows] - starts[rows] > 1) & _MARK[slab.data[at]]]
+            edge[rows] += step
+    return starts, ends
+
+
 def grams(words: np.ndarray, k: int) -> np.ndarray:
     """A hash of every ``k`` consecutive values of ``words`` (also across texts)."""
     if len(words) < k:
