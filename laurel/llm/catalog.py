@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from laurel.llm import chat, decontamination, mixing, quality, secrets, token_files, toxicity
+from laurel.llm import chat, decontamination, mixing, near_vectors, quality, secrets, token_files, toxicity
 
 RUNS = {
     "op1_mixing": mixing.op1_mixing,
     "op2_chat": chat.op2_chat,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_decontamination": decontamination.op4_decontamination,
+    "op5_near_vectors": near_vectors.op5_near_vectors,
     "op6_quality": quality.op6_quality,
     "op8_secrets": secrets.op8_secrets,
     "op9_token_files": token_files.op9_token_files,
