@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from laurel.llm import chat, decontamination, mixing, near_vectors, quality, secrets, token_files, toxicity
+from laurel.llm import chat, decontamination, jaccard, mixing, near_vectors, quality, secrets, token_files, toxicity
 
 RUNS = {
     "op1_mixing": mixing.op1_mixing,
@@ -11,6 +11,7 @@ RUNS = {
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_near_vectors": near_vectors.op5_near_vectors,
     "op6_quality": quality.op6_quality,
+    "op7_jaccard": jaccard.op7_jaccard,
     "op8_secrets": secrets.op8_secrets,
     "op9_token_files": token_files.op9_token_files,
 }

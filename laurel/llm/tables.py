@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from laurel.session import shared_folder, tune
 
-# Rows of an Arrow batch: long texts must not make one batch large.
+# Rows and bytes of an Arrow batch: long texts must not make one batch large.
 ARROW_ROWS = 1024
+ARROW_BYTES = 32 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """The settings that the operators rely on."""
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 
@@ -28,7 +30,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, sort: list[str] | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; lost executors cannot take it away."""
     return staged_at(df, name)[0]
 
