@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from laurel.llm import chat, decontamination, jaccard, mixing, near_vectors, quality, secrets, token_files, toxicity
+from laurel.llm import chat, decontamination, jaccard, mixing, near_vectors, quality, secrets, substrings, token_files, toxicity
 
 RUNS = {
     "op1_mixing": mixing.op1_mixing,
@@ -14,5 +14,6 @@ RUNS = {
     "op7_jaccard": jaccard.op7_jaccard,
     "op8_secrets": secrets.op8_secrets,
     "op9_token_files": token_files.op9_token_files,
+    "op10_substrings": substrings.op10_substrings,
 }
 SQL = {"op1_mixing": mixing.ORACLE, "op2_chat": chat.ORACLE, "op4_decontamination": decontamination.ORACLE}

@@ -301,8 +301,7 @@ def similar(docs: DataFrame) -> DataFrame:
     rows = prints.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(reps, ["s1", "s2"], "left").join(found, "rep", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component).alias("component_id")
-    own = rows.select("doc_id", "n_shingles", component)
-    return own
+    return rows.select("doc_id", "n_shingles", component)
 
 
 def _across(built: DataFrame, links: DataFrame) -> DataFrame:
@@ -323,9 +322,9 @@ def _across(built: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller doc_id; rows without an id stay.
+    """``docs`` without the rows whose component has a smaller doc_id.
 
-    Rows of equal id stay together: one is chosen by its text's hash (of equal texts any).
+    Rows without an id stay, and so do all rows of the id that a component keeps.
     """
     dropped = similar(docs).where("component_id < doc_id").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(dropped, F.col("doc_id") == F.col("_id"), "left_anti")

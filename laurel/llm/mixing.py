@@ -63,14 +63,14 @@ def plan(
 ) -> DataFrame:
     """How often each row of ``docs`` (doc_id, text, source) is taken.
 
-    Returns doc_id, source, size, source_size, target and copies, one row per input row. Null and
+    Returns doc_id, source, size, source_size, target, copies and text_hash, one row per input row. Null and
     empty texts have size 0; a source without words has target 0 and no copies; null sources are
     one source. Rows that are equal in all of doc_id, source and size are interchangeable: which of
     them gets a copy cannot be told apart. Other columns are ignored. An empty table gives none.
     """
     spark = prepare(docs.sparkSession)
     size = word_count(F.col("text")) if size is None else size
-    slim = docs.select("doc_id", "source", size.alias("size"))
+    slim = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("text_hash"))
     slim = slim.withColumn("_at", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
     order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("_at"), F.col("doc_id")]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -95,14 +95,22 @@ def plan(
     rank = F.col("_before") + F.col("_row")
     crossed = F.floor(rank * F.col("_each") + F.col("_offset")) - F.floor((rank - 1) * F.col("_each") + F.col("_offset"))
     copies = F.least(crossed, F.ceil("_each")).cast("long")
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), "text_hash")
 
 
 def mixed(docs: DataFrame, copies: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as ``copies`` (doc_id, copies) says; doc_id must be unique in it."""
-    taken = copies.where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
+    """The rows of ``docs`` as often as ``copies``, their plan, says; the columns are those of ``docs``.
+
+    Rows equal in doc_id, source and text are one row that is taken as often as all of them.
+    """
+    key = ["_id", "_source", "_hash"]
+    taken = copies.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"))
+    taken = taken.agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.xxhash64("text") == F.col("_hash"))
+    rows = docs.join(taken, same)
+    rows = rows.where("_rows = 1").unionByName(rows.where("_rows > 1").dropDuplicates(key))
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return rows.select(*docs.columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,18 +155,20 @@ def _features(slab: Slab, model: list[np.ndarray]) -> np.ndarray:
     return np.log1p(100 * out)
 
 
-def _scorer(model, weights: np.ndarray | None):
+def _scorer(model, weights: np.ndarray | None, name: str = ""):
+    """Scores the last column, which goes; without ``weights`` it gives the features."""
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = model.value
         for batch in batches:
-            parts = [_features(slab, arrays) for slab in slabs(batch.column("text"), lower=True)]
+            parts = [_features(slab, arrays) for slab in slabs(batch.column(batch.num_columns - 1), lower=True)]
             x = np.concatenate(parts) if parts else np.zeros((0, len(MARGINS)))
-            kept = {n: batch.column(n) for n in batch.schema.names if n != "text"}
+            kept = {n: batch.column(n) for n in batch.schema.names[:-1]}
             if weights is None:
                 yield pa.RecordBatch.from_pydict(kept | {f"x{j}": pa.array(x[:, j]) for j in range(len(MARGINS))})
             else:
                 z = weights[0] + x @ weights[1:]
-                yield pa.RecordBatch.from_pydict(kept | {"score": pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))})
+                yield pa.RecordBatch.from_pydict(kept | {name: pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))})
 
     return score
 
@@ -200,16 +202,17 @@ class ToxicityModel:
         self.model = spark.sparkContext.broadcast(arrays) if arrays else None
         self.weights = weights
 
-    def score(self, docs: DataFrame, keep: list[str]) -> DataFrame:
-        """``keep`` columns of ``docs`` and score (double); docs needs a text column.
+    def score(self, docs: DataFrame, keep: list[str], name: str = "score") -> DataFrame:
+        """The ``keep`` columns of ``docs``, which has a text, and the probability ``name`` (double).
 
         Null, empty and blank texts have no words and so the score of no evidence. Whole texts count.
+        ``name`` must not be one of ``keep``.
         """
-        rows = docs.select(*keep, F.col("text").alias("text"))
+        rows = docs.select(*keep, F.col("text").alias("_scored_text"))
         if self.model is None:
-            return rows.drop("text").withColumn("score", F.lit(float(self.weights[0])))
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text").schema)
-        return rows.mapInArrow(_scorer(self.model, self.weights), fields + ", score double")
+            return rows.select(*keep, F.lit(float(self.weights[0])).alias(name))
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
+        return rows.mapInArrow(_scorer(self.model, self.weights, name), f"{fields}, `{name}` double")
 
 
 def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> ToxicityModel:
@@ -232,7 +235,7 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Toxic
         return ToxicityModel(spark, None, np.array([1.0 if toxic else 0.0]))
     first = spark.sparkContext.broadcast(tables(_ratios(counts, F.col("a0"), F.col("a1"))))
     fields = "part int, x0 double, x1 double"
-    held = rows.where("part >= 2").select("text", "part").mapInArrow(_scorer(first, None), fields).toArrow()
+    held = rows.where("part >= 2").select("part", "text").mapInArrow(_scorer(first, None), fields).toArrow()
     y = held.column("part").to_numpy() - 2.0
     x = np.column_stack([held.column(f"x{j}").to_numpy() for j in range(len(MARGINS))])
     weights = fit_logistic(x, y) if len(y) else np.array([-2.0, 1.0, 0.0])
