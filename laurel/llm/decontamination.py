@@ -153,8 +153,8 @@ def found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
-    dirty = found(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    dirty = found(docs, benchmark).select(F.col("doc_id").alias("_laurel_id"), F.col("text_hash").alias("_laurel_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_laurel_id")) & (F.xxhash64("text") == F.col("_laurel_hash"))
     return docs.join(dirty, same, "left_anti")
 
 

@@ -326,8 +326,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Rows without an id stay, and so do all rows of the id that a component keeps.
     """
-    dropped = similar(docs).where("component_id < doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("_id"), "left_anti")
+    dropped = similar(docs).where("component_id < doc_id").select(F.col("doc_id").alias("_laurel_id")).distinct()
+    return docs.join(dropped, F.col("doc_id") == F.col("_laurel_id"), "left_anti")
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

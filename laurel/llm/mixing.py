@@ -103,13 +103,13 @@ def mixed(docs: DataFrame, copies: DataFrame) -> DataFrame:
 
     Rows equal in doc_id, source and text are one row that is taken as often as all of them.
     """
-    key = ["_id", "_source", "_hash"]
-    taken = copies.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"))
-    taken = taken.agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.xxhash64("text") == F.col("_hash"))
+    key = ["_laurel_id", "_laurel_source", "_laurel_hash"]
+    taken = copies.groupBy(F.col("doc_id").alias("_laurel_id"), F.col("source").alias("_laurel_source"), F.col("text_hash").alias("_laurel_hash"))
+    taken = taken.agg(F.sum("copies").alias("_laurel_copies"), F.count(F.lit(1)).alias("_laurel_rows")).where("_laurel_copies > 0")
+    same = F.col("doc_id").eqNullSafe(F.col("_laurel_id")) & F.col("source").eqNullSafe(F.col("_laurel_source")) & (F.xxhash64("text") == F.col("_laurel_hash"))
     rows = docs.join(taken, same)
-    rows = rows.where("_rows = 1").unionByName(rows.where("_rows > 1").dropDuplicates(key))
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    rows = rows.where("_laurel_rows = 1").unionByName(rows.where("_laurel_rows > 1").dropDuplicates(key))
+    rows = rows.withColumn("_laurel_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_laurel_copies"))))
     return rows.select(*docs.columns)
 
 

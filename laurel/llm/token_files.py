@@ -313,7 +313,7 @@ def _writer(folder: str, tokenizer: str, limit: int):
             data, offsets = text_buffers(batch.column("text"))
             docs, row = batch.column("doc_id").to_pylist(), 0
             while row < len(docs):
-                end = int(np.searchsorted(offsets, offsets[row] + SLAB_BYTES, "right")) - 1
+                end = int(np.searchsorted(offsets, offsets[row] + min(SLAB_BYTES, limit), "right")) - 1
                 end = min(len(docs), max(end, row + 1))
                 values, sizes = own.encode(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row])
                 held.append(values)
@@ -341,7 +341,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER,
     files before. Null texts are empty; a document without text has the end id only. Null ids come
     first, rows of equal ids follow the hash of their text. Other columns are ignored. An empty
     table writes no file. ``folder`` must be open to every executor; it is best in the shared folder.
-    A file has at most ``limit`` ids and those of one slab of texts.
+    A file ends with the document that brings it to
+    ``limit`` ids or more (or with a few more of them: texts are taken in slabs).
     """
     prepare(docs.sparkSession)
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]

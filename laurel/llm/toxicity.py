@@ -208,7 +208,7 @@ class ToxicityModel:
         Null, empty and blank texts have no words and so the score of no evidence. Whole texts count.
         ``name`` must not be one of ``keep``.
         """
-        rows = docs.select(*keep, F.col("text").alias("_scored_text"))
+        rows = docs.select(*keep, F.col("text").alias("_laurel_text"))
         if self.model is None:
             return rows.select(*keep, F.lit(float(self.weights[0])).alias(name))
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
