@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from laurel.llm import chat, decontamination, jaccard, mixing, near_vectors, quality, secrets, substrings, token_files, toxicity
+from laurel.llm import chat, decontamination, jaccard, mixing, near_vectors, quality, secrets, sql_forms, substrings, token_files, toxicity
 
 RUNS = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,4 +16,11 @@ RUNS = {
     "op9_token_files": token_files.op9_token_files,
     "op10_substrings": substrings.op10_substrings,
 }
-SQL = {"op1_mixing": mixing.ORACLE, "op2_chat": chat.ORACLE, "op4_decontamination": decontamination.ORACLE}
+SQL = {
+    "op1_mixing": mixing.ORACLE,
+    "op2_chat": chat.ORACLE,
+    "op4_decontamination": decontamination.ORACLE,
+    "op5_near_vectors": sql_forms.NEAR_VECTORS,
+    "op7_jaccard": sql_forms.JACCARD,
+    "op10_substrings": sql_forms.SUBSTRINGS,
+}
