@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from laurel.functions.keys import content_hash
@@ -29,15 +29,20 @@ def diff(before: DataFrame, after: DataFrame, keys: Sequence[str], mark: str = "
 
 
 def snapshot_series(rows: DataFrame, keys: Sequence[str], step: str, mark: str) -> DataFrame:
-    """Changes between consecutive snapshots numbered by ``step`` (a gapless integer).
+    """Changes between consecutive snapshots ordered by ``step``, which may have gaps.
 
-    A key present at step n is compared with the same key at step n+1, by one full outer join of
-    the series with itself shifted by one step. The step before the first one counts as empty;
-    removals after the last snapshot are not reported.
+    Every snapshot is compared with the one of the step that exists before it, by one full outer join
+    of the series with itself. The step before the first one counts as empty; removals after the last
+    snapshot are not reported. The steps are a table of one row each.
     """
+    later = Window.orderBy(step)
+    steps = rows.select(step).distinct().withColumn("_after", F.lead(step).over(later))
     now = rows.select(*keys, step, F.col(mark).alias("_new"))
-    before = rows.select(*keys, (F.col(step) + 1).alias(step), F.col(mark).alias("_old"))
-    steps = rows.select(step).distinct()
+    before = (
+        rows.join(steps, step)
+        .where(F.col("_after").isNotNull())
+        .select(*keys, F.col("_after").alias(step), F.col(mark).alias("_old"))
+    )
     change = (
         F.when(F.col("_old").isNull(), "addition")
         .when(F.col("_new").isNull(), "removal")
@@ -47,7 +52,6 @@ def snapshot_series(rows: DataFrame, keys: Sequence[str], step: str, mark: str)
         now.join(before, [*keys, step], "full_outer")
         .withColumn("change", change)
         .where(F.col("change").isNotNull())
-        .join(steps, step, "left_semi")
         .select(*keys, step, "change")
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from laurel.operators import baseline as cells
 from laurel.plans.catalog import query
 from laurel.plans.tables import RES, events, results, table, tune
-from laurel.session import shared_folder, stage
+from laurel.session import shared_folder
 from laurel.sources import export, html_pages, payloads
 
 _TABLES = (
@@ -150,48 +150,27 @@ def recent_records_parsed(spark, folder):
     )
 
 
-# Every line makes one document with three entries, so no document grows with the data.
-_LINES = """l0 AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CAST(floor(l_extendedprice) AS BIGINT) AS price,
-  l_returnflag FROM lineitem),
-ln AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, l_returnflag, price, 1 AS pos FROM l0
-  UNION ALL SELECT l_orderkey, l_linenumber + 10, l_suppkey, l_partkey, l_returnflag, price + 1, 2 FROM l0
-  UNION ALL SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, l_returnflag, price + 2, 3 FROM l0)"""
-
-
-def _spread_lines(spark, folder):
-    """Lines over all cores, so that the documents made of them are parsed in parallel."""
-    return table(spark, folder, "lineitem").repartition(
-        spark.sparkContext.defaultParallelism, "l_orderkey", "l_linenumber", "l_partkey"
-    )
+# An order's lines make this many documents (by part), each of all its lines.
+PAGES_PER_ORDER = 2
+_LINES = f"""ln AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CAST(floor(l_extendedprice) AS BIGINT) AS price,
+  l_returnflag, l_partkey % {PAGES_PER_ORDER} AS page FROM lineitem)"""
 
 
 def _order_lines(spark, folder):
-    """Each line as a document: the line, a neighbour, and the line again with a higher price."""
-    price = F.floor("l_extendedprice").cast("long")
-
-    def entry(number, cost):
-        return F.struct(
-            number.cast("int").alias("l_linenumber"),
-            "l_suppkey",
-            "l_partkey",
-            cost.alias("price"),
-            "l_returnflag",
-        )
-
-    number = F.col("l_linenumber")
-    return _spread_lines(spark, folder).select(
-        "l_orderkey",
-        F.array(entry(number, price), entry(number + 10, price + 1), entry(number, price + 2)).alias("lines"),
-    )
+    """Documents of an order's lines, in a fixed order; line numbers may repeat in one document."""
+    line = F.struct("l_linenumber", "l_suppkey", "l_partkey", F.floor("l_extendedprice").cast("long").alias("price"), "l_returnflag")
+    pages = table(spark, folder, "lineitem").select("l_orderkey", (F.col("l_partkey") % PAGES_PER_ORDER).alias("page"), line.alias("line"))
+    return pages.groupBy("l_orderkey", "page").agg(F.array_sort(F.collect_list("line")).alias("lines"))
 
 
 @query(
     "round_snapshots_parsed",
-    f"""WITH {_LINES} SELECT l_orderkey, CAST(l_linenumber AS VARCHAR) AS result_id, price AS best,
-      CASE l_returnflag WHEN 'R' THEN 'NR' WHEN 'A' THEN 'CR' ELSE '' END AS single_tag FROM ln WHERE pos > 1""",
+    f"""WITH {_LINES}, d AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, page, l_linenumber ORDER BY l_suppkey DESC, l_partkey DESC, price DESC, l_returnflag DESC) AS n FROM ln)
+    SELECT l_orderkey, page, CAST(l_linenumber AS VARCHAR) AS result_id, price AS best,
+      CASE l_returnflag WHEN 'R' THEN 'NR' WHEN 'A' THEN 'CR' ELSE '' END AS single_tag FROM d WHERE n = 1""",
 )
 def round_snapshots_parsed(spark, folder):
-    """Round snapshots of three rows, two of them with one id: the last row of an id wins."""
+    """Each document as a round snapshot with a result per line; a repeated id takes the last row."""
     tag = lambda l: F.when(l["l_returnflag"] == "R", "nr").when(l["l_returnflag"] == "A", "cr")  # noqa: E731, E741
     rows = F.transform(
         "lines",
@@ -205,11 +184,11 @@ def round_snapshots_parsed(spark, folder):
     )
     frames = _order_lines(spark, folder).select(
         "l_orderkey",
+        "page",
         F.to_json(F.struct(F.col("l_orderkey").cast("string").alias("id"), rows.alias("results"))).alias("payload"),
     )
-    numbered = frames.withColumn("frame_id", F.monotonically_increasing_id())
-    parsed = payloads.round_results(numbered).where(F.col("error").isNull())
-    return parsed.select("l_orderkey", "result_id", F.col("best").cast("long").alias("best"), "single_tag")
+    parsed = payloads.round_results(frames).where(F.col("error").isNull())
+    return parsed.select("l_orderkey", "page", "result_id", F.col("best").cast("long").alias("best"), "single_tag")
 
 
 @query(
@@ -313,7 +292,7 @@ def record_list_parsed(spark, folder):
     FROM ln WHERE l_returnflag <> 'N'""",
 )
 def html_registrations(spark, folder):
-    """Registration pages of three rows; flag N is a first-timer."""
+    """Registration pages with a row per line; flag N is a first-timer."""
     row = lambda l: F.format_string(  # noqa: E731, E741
         '<tr><td>%d</td><td><a href="/results/person/%s">Supplier %d</a></td><td> Chinese  Taipei </td></tr>',
         l["l_linenumber"],
@@ -338,23 +317,21 @@ def html_registrations(spark, folder):
       CASE l_returnflag WHEN 'R' THEN 'TW' ELSE 'CN' END AS country_code FROM lineitem""",
 )
 def html_competition_index(spark, folder):
-    """Each line as an index page listing one competition."""
-    lines = _spread_lines(spark, folder).select(
-        "l_orderkey",
-        F.format_string(
-            '<tr><td>%s~%s</td><td><a href="https://x/competition/slug-%d?lang=en">C &amp; %d</a></td><td>%s</td><td>City</td><td>-</td></tr>',
-            F.date_format("l_shipdate", "yyyy-MM-dd"),
-            F.date_format("l_shipdate", "dd"),
-            "l_partkey",
-            "l_partkey",
-            F.when(F.col("l_returnflag") == "R", "Chinese Taipei").otherwise("Sichuan"),
-        ).alias("row"),
+    """Index pages of an order's lines, listing a competition each."""
+    row = F.format_string(
+        '<tr><td>%s~%s</td><td><a href="https://x/competition/slug-%d?lang=en">C &amp; %d</a></td><td>%s</td><td>City</td><td>-</td></tr>',
+        F.date_format("l_shipdate", "yyyy-MM-dd"),
+        F.date_format("l_shipdate", "dd"),
+        "l_partkey",
+        "l_partkey",
+        F.when(F.col("l_returnflag") == "R", "Chinese Taipei").otherwise("Sichuan"),
     )
-    pages = lines.select(
+    lines = table(spark, folder, "lineitem").groupBy("l_orderkey", (F.col("l_partkey") % PAGES_PER_ORDER).alias("page"))
+    pages = lines.agg(F.array_join(F.collect_list(row), "").alias("rows")).select(
         "l_orderkey",
         F.concat(
             F.lit("<table><thead><tr><th>Date</th><th>Competition Name</th></tr></thead><tbody>"),
-            "row",
+            "rows",
             F.lit("</tbody></table>"),
         ).alias("html"),
     )
@@ -364,11 +341,11 @@ def html_competition_index(spark, folder):
 
 @query(
     "html_live_rounds",
-    f"""WITH {_LINES} SELECT l_orderkey, CAST(l_partkey AS VARCHAR) AS round_id, l_returnflag AS format,
-      CAST(pos AS BIGINT) AS round_number FROM ln""",
+    f"""WITH {_LINES} SELECT l_orderkey, page, CAST(l_partkey AS VARCHAR) AS round_id, l_returnflag AS format,
+      row_number() OVER (PARTITION BY l_orderkey, page ORDER BY l_linenumber, l_suppkey, l_partkey, price, l_returnflag) AS round_number FROM ln""",
 )
 def html_live_rounds(spark, folder):
-    """Live pages whose container lists three rounds; a round's number is its place."""
+    """Live pages whose container lists a round per line; a round's number is its place."""
     rounds = F.transform(
         "lines",
         lambda l: F.struct(l["l_partkey"].cast("string").alias("i"), l["l_returnflag"].alias("f")),  # noqa: E741
@@ -378,10 +355,9 @@ def html_live_rounds(spark, folder):
     page = F.concat(
         F.lit('<html><div id="live-container" data-c="7" data-type="WCA" data-events="'), attribute, F.lit('"></div></html>')
     )
-    pages = _order_lines(spark, folder).select("l_orderkey", page.alias("html"))
-    # Stored like real pages, so that building them is not repeated for every extracted attribute.
-    found = html_pages.live_rounds(stage(pages)).where(F.col("error").isNull())
-    return found.select("l_orderkey", "round_id", "format", F.col("round_number").cast("long").alias("round_number"))
+    pages = _order_lines(spark, folder).select("l_orderkey", "page", page.alias("html"))
+    found = html_pages.live_rounds(pages).where(F.col("error").isNull())
+    return found.select("l_orderkey", "page", "round_id", "format", F.col("round_number").cast("long").alias("round_number"))
 
 
 @query(

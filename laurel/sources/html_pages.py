@@ -112,26 +112,34 @@ def _page_tables(html: str | None) -> list[dict]:
 
 
 def page_tables(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Pages with ``tables`` in place of their HTML."""
+    """Pages with ``tables`` in place of their HTML; a page that cannot be read has a ``page_error``."""
     keep = [f for f in pages.schema.fields if f.name != html]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), f"tables {_TABLES}"])
+    schema = ", ".join(
+        [*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), f"tables {_TABLES}", "page_error string"]
+    )
+
+    def read(page: str | None) -> tuple[list[dict] | None, str | None]:
+        try:
+            return _page_tables(page), None
+        except Exception as error:  # noqa: BLE001 - whatever the parser trips over, only this page is lost
+            return None, f"page cannot be read: {type(error).__name__}"
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            tables = batch[html].map(_page_tables)
-            yield batch.drop(columns=[html]).assign(tables=tables)
+            found = [read(page) for page in batch[html]]
+            yield batch.drop(columns=[html]).assign(tables=[f[0] for f in found], page_error=[f[1] for f in found])
 
     return pages.mapInPandas(parse, schema)
 
 
 def _first_table(pages: DataFrame, wanted) -> DataFrame:
     """Rows of the first fitting table; pages without one keep an error."""
-    keep = [c for c in pages.columns if c != "tables"]
+    keep = [c for c in pages.columns if c not in ("tables", "page_error")]
     found = pages.withColumn("_t", F.get(F.filter("tables", wanted), F.lit(0)))
     return found.select(
         *keep,
         F.col("_t.head").alias("_head"),
-        F.when(F.col("_t").isNull(), "table was not found").alias("error"),
+        F.coalesce("page_error", F.when(F.col("_t").isNull(), "table was not found")).alias("error"),
         F.posexplode_outer("_t.rows").alias("position", "_cells"),
     )
 

@@ -45,16 +45,8 @@ COMPETITION = (
 )
 
 
-def _activity(depth: int) -> str:
-    child = f",childActivities:array<{_activity(depth - 1)}>" if depth else ""
-    return f"struct<activityCode:string{child}>"
-
-
-ACTIVITY_DEPTH = 3
-SCHEDULE = (
-    "struct<schedule:struct<venues:array<struct<timezone:string,"
-    f"rooms:array<struct<activities:array<{_activity(ACTIVITY_DEPTH)}>>>>>>>"
-)
+# Venues stay JSON texts: their activities nest to any depth.
+SCHEDULE = "struct<schedule:struct<venues:array<string>>>"
 COMPETITIONS = (
     "array<struct<id:string,name:string,start_date:string,end_date:string,country_iso2:string,"
     "city:string,url:string>>"
@@ -153,24 +145,35 @@ _MEANINGFUL = (
 )
 
 
+def _last_of_each(rows: Column, ident) -> Column:
+    """The last element of each id of an array, in the order of ids; null ids count as one."""
+    marked = F.transform(rows, lambda r, i: F.struct(ident(r).alias("id"), i.alias("at"), r.alias("row")))
+    ordered = F.array_sort(marked, lambda x, y: F.when(x["id"].eqNullSafe(y["id"]), x["at"] - y["at"])
+                           .when(x["id"].isNull() | (x["id"] < y["id"]), -1).otherwise(1))
+    last = F.filter(ordered, lambda x, i: ~F.coalesce(F.get(ordered, i + 1)["id"].eqNullSafe(x["id"]) & (i + 1 < F.size(ordered)), F.lit(False)))
+    return F.transform(last, lambda x: x["row"])
+
+
 def round_results(snapshots: DataFrame, json: str = "payload") -> DataFrame:
     """Rows of full round snapshots of the first source; the last row of an id wins.
 
-    An empty snapshot still gives one row (with null ``result_id``), because it removes results.
+    An empty snapshot still gives one row (with null ``result_id``), because it removes results. The
+    payload itself is left out.
     """
+    kept = [c for c in snapshots.columns if c != json]
     rows = snapshots.withColumn("_p", F.from_json(json, ROUND_SNAPSHOT))
+    rows = rows.select(*kept, F.col("_p.id").alias("payload_round_id"), F.col("_p.results").alias("_results"))
     items = rows.select(
-        *snapshots.columns,
-        F.col("_p.id").alias("payload_round_id"),
-        F.posexplode_outer("_p.results").alias("_pos", "_r"),
-        F.col("_p.results").isNull().alias("_broken"),
+        *kept,
+        "payload_round_id",
+        F.explode_outer(_last_of_each(F.col("_results"), lambda r: r["id"])).alias("_r"),
+        F.col("_results").isNull().alias("_broken"),
     )
     r = F.col("_r")
-    flat = items.select(
-        *snapshots.columns,
-        "payload_round_id",
-        "_pos",
+    return items.select(
+        *kept,
         r["id"].alias("result_id"),
+        "payload_round_id",
         r["person"]["id"].alias("source_competitor_id"),
         _blank(r["person"]["wcaId"]).alias("person_id"),
         _blank(r["person"]["name"]).alias("person_name"),
@@ -190,12 +193,6 @@ def round_results(snapshots: DataFrame, json: str = "payload") -> DataFrame:
             (times.instant_is_invalid(r["enteredAt"]), "invalid timezone-aware datetime"),
         ).alias("error"),
     ).withColumn("meaningful_hash", content_hash(_MEANINGFUL))
-    rest = [c for c in flat.columns if c not in (*snapshots.columns, "result_id", "_pos")]
-    return (
-        flat.groupBy(*snapshots.columns, "result_id")
-        .agg(F.max_by(F.struct(*rest), "_pos").alias("_row"))
-        .select(*snapshots.columns, "result_id", "_row.*")
-    )
 
 
 def compact_results(frames: DataFrame, rows: str = "payload", roster: str = "users") -> DataFrame:
@@ -298,15 +295,13 @@ def round_targets(competitions: DataFrame, zones: DataFrame | None = None, json:
 
 
 def schedule_zones(schedules: DataFrame, json: str = "payload") -> DataFrame:
-    """Venue zone per (competition, event, round) where all its activities agree."""
+    """Venue zone per (competition, event, round) where all its activities agree, however deep they are."""
     rows = schedules.withColumn("_p", F.from_json(json, SCHEDULE))
     venues = rows.select("competition_id", F.explode("_p.schedule.venues").alias("_v"))
-    rooms = venues.select("competition_id", F.col("_v.timezone").alias("zone"), F.explode("_v.rooms").alias("_r"))
-    level = rooms.select("competition_id", "zone", F.explode("_r.activities").alias("_a"))
-    codes = level.select("competition_id", "zone", F.col("_a.activityCode").alias("code"))
-    for _ in range(ACTIVITY_DEPTH):
-        level = level.select("competition_id", "zone", F.explode("_a.childActivities").alias("_a"))
-        codes = codes.unionByName(level.select("competition_id", "zone", F.col("_a.activityCode").alias("code")))
+    quoted = F.regexp_extract_all("_v", F.lit(r'"activityCode"\s*:\s*("(?:[^"\\]|\\.)*")'), F.lit(1))
+    codes = venues.select(
+        "competition_id", F.get_json_object("_v", "$.timezone").alias("zone"), F.explode(quoted).alias("_q")
+    ).withColumn("code", F.from_json(F.concat(F.lit('{"c":'), "_q", F.lit("}")), "struct<c:string>")["c"])
     pattern = r"^([^-]+)-r(\d+)(?:-|$)"
     return (
         codes.where(F.col("code").rlike(pattern) & (_blank(F.col("zone")) != ""))

@@ -30,21 +30,24 @@ def distinct_frames(
     event_time: str | None = None,
     horizon: str | None = None,
 ) -> DataFrame:
-    """Each content once. With ``horizon`` the memory of seen contents is bounded by event time;
-    without it a content seen at any earlier time is dropped."""
+    """Each content once. With ``horizon`` the memory of seen contents is bounded by event time, which
+    is the choice for a stream that does not end; without it a content seen at any earlier time is
+    dropped and its hash is kept for ever (in the RocksDB state store, on disk)."""
     if horizon:
         return frames.withWatermark(event_time, horizon).dropDuplicatesWithinWatermark(list(keys))
     return frames.dropDuplicates(list(keys))
 
 
 def route(frames: DataFrame) -> dict[str, DataFrame]:
-    """Result messages, round metadata, rosters and everything else, by message type."""
+    """Result messages, round metadata and rosters by message type; others are all but results, also
+    those without a type."""
     kind = F.col("type")
+    result = F.coalesce(kind.isin(*RESULT_TYPES), F.lit(False))
     return {
-        "results": frames.where(kind.isin(*RESULT_TYPES)),
+        "results": frames.where(result),
         "rounds": frames.where(kind.isin(*ROUND_TYPES)),
         "rosters": frames.where(kind == "users"),
-        "others": frames.where(~kind.isin(*RESULT_TYPES)),
+        "others": frames.where(~result),
     }
 
 

@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from laurel.session import tune
+
 OUTPUT = "round_id string, seq bigint, result_id string, change string, mark string, evaluate boolean"
 
 
@@ -76,13 +77,9 @@ class SnapshotDiff(StatefulProcessor):
         pass
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-
-
 def snapshot_changes(frames: DataFrame, catchup_minutes: int = 60) -> DataFrame:
     """Additions, changes and removals of a frame stream, in frame order per round."""
-    use_rocksdb(frames.sparkSession)
+    tune(frames.sparkSession)  # its state needs RocksDB
     return frames.groupBy("round_id").transformWithStateInPandas(
         statefulProcessor=SnapshotDiff(catchup_minutes),
         outputStructType=OUTPUT,

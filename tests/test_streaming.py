@@ -97,3 +97,37 @@ def test_closed_endpoint_fails_its_open_deliveries(spark):
     assert states == {"d1": ("sent", "", 1), "d2": ("permanently_failed", "http_410", 1), "d3": ("permanently_failed", "http_410", 1), "e1": ("retry", "http_503", 1)}
     ends = {r.endpoint_id: (r.active, r.failure_streak) for r in alerts.fold_endpoints(frame).collect()}
     assert ends == {1: (False, 2), 2: (True, 1)}
+
+
+def test_frames_without_a_type_reach_the_others(spark):
+    rows = [("result.new",), ("round.all",), ("users",), (None,), ("hello",)]
+    routed = frames.route(spark.createDataFrame(rows, "type string"))
+    assert [r.type for r in routed["results"].collect()] == ["result.new"]
+    assert sorted(str(r.type) for r in routed["others"].collect()) == ["None", "hello", "round.all", "users"]
+
+
+def test_series_with_gaps_compares_existing_steps(spark):
+    from laurel.operators.snapshots import snapshot_series
+
+    rows = [("a", 1, "x"), ("b", 1, "y"), ("a", 3, "x"), ("c", 7, "z"), ("a", 7, "w")]
+    found = snapshot_series(spark.createDataFrame(rows, "user string, day int, mark string"), ["user"], "day", "mark")
+    assert sorted(tuple(r) for r in found.collect()) == [
+        ("a", 1, "addition"), ("a", 7, "change"), ("b", 1, "addition"), ("b", 3, "removal"), ("c", 7, "addition")]
+
+
+def test_workers_import_the_package_from_what_was_shipped(spark):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    code = (
+        "import sys; from pyspark.sql import SparkSession; "
+        "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate(); "
+        f"sys.path.insert(0, {str(root)!r}); "
+        "from laurel.session import tune; from laurel.sources import html_pages; tune(s); "
+        "print('tables', html_pages.page_tables(s.createDataFrame([('<p>',)], 'html string')).count())"
+    )
+    env = {k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH" and not k.startswith("SPARK_CONNECT")}
+    ran = subprocess.run([sys.executable, "-c", code], env=env, cwd="/", capture_output=True, text=True, timeout=240)
+    assert "tables 1" in ran.stdout, ran.stderr[-2000:]
