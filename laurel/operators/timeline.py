@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from laurel.functions.status import invalidity_reason, revision_is_valid
 from laurel.functions.times import classification_instant
@@ -266,6 +267,20 @@ def classify(revisions: DataFrame, baseline: DataFrame, absorbed: DataFrame) ->
     return heads.unionByName(history).unionByName(rest).drop("_own_valid")
 
 
+def live_members(heads: DataFrame, absorbed: DataFrame) -> DataFrame:
+    """Level rows of the heads that take part in live timelines: valid, complete and not absorbed."""
+    valid = revision_is_valid("action", "status", "validation_status", "value")
+    rows = heads.withColumn("at", classification_instant("entered_at", "first_observed_at")).where(valid)
+    rows = mark_absorbed(rows, absorbed).where(~F.col("absorbed")).drop("absorbed")
+    return explode_levels(rows).where(F.col("scope") != "").withColumn("value", F.col("value").cast("long"))
+
+
+def adjudicated_schema(members: DataFrame) -> StructType:
+    """The schema of ``adjudicate`` over replayed ``members``."""
+    replayed = members.withColumns({"incumbent": F.lit(None).cast("long"), "outcome": F.lit("")})
+    return not_judged(replayed).schema
+
+
 def affected_timelines(changed: DataFrame, previous: DataFrame) -> DataFrame:
     """Timelines touched by changed rows: their scopes now and before the change."""
     pick = lambda df: explode_levels(df).where(F.col("scope") != "").select(*TIMELINE)

@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from laurel.operators import quality, timeline
 from laurel.operators.baseline import baseline_cells
 from laurel.plans.catalog import query
 from laurel.plans.serving import _CHANGES, daily_snapshots
-from laurel.plans.tables import LEVELS, events, results, table
-from laurel.session import shared_folder
+from laurel.plans.tables import JUDGED, LEVELS, REPLAY, RES, events, results, table
+from laurel.session import shared_folder, stage
 from laurel.streaming import frames, live, snapshot_state
 
 _PER_ROUND = 100
@@ -77,30 +78,107 @@ def frame_dedup_stream(spark, folder):
     return spark.read.parquet(f"{work}/frames").select("user_id", "event_type", "props")
 
 
+# Live results as a revision log: some are corrected, moved to another place, made incomplete or
+# retracted; the last revision of a result is its head.
+_HEADS = (
+    RES.replace("res AS (", "res0 AS (")
+    + """,
+revs AS (
+  SELECT *, 1 AS revision FROM res0
+  UNION ALL SELECT * REPLACE (value + 3 AS value), 2 FROM res0 WHERE canonical_id % 7 = 0 AND tm >= TIMESTAMP '1996-01-01'
+  UNION ALL SELECT * REPLACE ('CHINA' AS country, 'ASIA' AS continent), 3 FROM res0 WHERE canonical_id % 13 = 0 AND tm >= TIMESTAMP '1996-01-01'
+  UNION ALL SELECT * REPLACE (-1 AS value), 4 FROM res0 WHERE canonical_id % 17 = 0 AND tm >= TIMESTAMP '1996-01-01'
+  UNION ALL SELECT *, 5 FROM res0 WHERE canonical_id % 11 = 0 AND tm >= TIMESTAMP '1996-01-01'),
+res AS (
+  SELECT * EXCLUDE (revision) FROM (SELECT *, row_number() OVER (PARTITION BY canonical_id ORDER BY revision DESC) AS last FROM revs)
+  WHERE last = 1 AND revision < 4)"""
+)
+_REVISIONS = (
+    "canonical_id long, revision int, action string, status string, validation_status string, entered_at timestamp, "
+    "first_observed_at timestamp, event_id string, kind string, value long, person_id string, country string, continent string, "
+    "competition_id string, competition_name string, round_id string, round_number int, local_date date"
+)
+
+
+def revision_rows(spark, folder):
+    rows = results(spark, folder).where(F.col("at") >= F.lit("1996-01-01").cast("timestamp"))
+    kinds = F.array(
+        F.struct(F.lit(1).alias("n"), F.lit(1).alias("every")),
+        *[F.struct(F.lit(n).alias("n"), F.lit(every).alias("every")) for n, every in ((2, 7), (3, 13), (4, 17), (5, 11))],
+    )
+    rows = rows.withColumn("_r", F.explode(F.filter(kinds, lambda k: F.col("canonical_id") % k["every"] == 0)))
+    n = F.col("_r.n")
+    rows = rows.withColumns(
+        {
+            "revision": n,
+            "action": F.when(n == 1, "created").when(n == 5, "retracted").otherwise("corrected"),
+            "status": F.when(n == 5, "retracted").otherwise("active"),
+            "validation_status": F.lit("verified"),
+            "entered_at": F.col("at"),
+            "first_observed_at": F.col("at"),
+            # Revisions are made from the original result, as the SQL form does.
+            "value": F.when(n == 2, F.col("value") + 3).when(n == 4, -1).otherwise(F.col("value")).cast("long"),
+            "country": F.when(n == 3, "CHINA").otherwise(F.col("country")),
+            "continent": F.when(n == 3, "ASIA").otherwise(F.col("continent")),
+        }
+    )
+    return rows.select(*[c.split()[0] for c in _REVISIONS.split(", ")])
+
+
+def no_competitions(spark):
+    return spark.createDataFrame([], "competition_id string")
+
+
+def streamed_timelines(spark, folder):
+    """The revisions in three micro-batches, dealt by a hash: later revisions may arrive first."""
+    work = _work(spark)
+    rows = revision_rows(spark, folder)
+    cells = baseline_cells(results(spark, folder).where(F.col("at") < F.lit("1996-01-01").cast("timestamp")))
+    part = F.pmod(F.xxhash64("canonical_id", "revision"), F.lit(3))
+    rows.withColumn("part", part).repartition("part").write.partitionBy("part").parquet(f"{work}/revisions")
+    stored = stage(cells)
+    state = live.LiveTimelines(stored, no_competitions(spark), f"{work}/state", _REVISIONS, buckets=8)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/revisions")
+    return state, state.run(stream, f"{work}/checkpoint"), rows, stored
+
+
 @query(
     "live_cells_stream",
-    f"""WITH {LEVELS} SELECT level, event_id, kind, scope, least(min(base), min(value)) AS value
+    f"""WITH {LEVELS.replace(RES, _HEADS)} SELECT level, event_id, kind, scope, least(min(base), min(value)) AS value
     FROM base FULL JOIN mem USING (level, event_id, kind, scope) GROUP BY ALL""",
 )
 def live_cells_stream(spark, folder):
-    """Live results in two files, one micro-batch each, advancing the cells of the baseline."""
-    work = _work(spark)
-    rows = results(spark, folder)
-    cut = F.lit("1996-01-01").cast("timestamp")
-    cells = baseline_cells(rows.where(F.col("at") < cut))
-    rows.where(F.col("at") >= cut).repartition(2, "canonical_id").write.parquet(f"{work}/results")
-    stream = (
-        spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/results")
-    )
-    running = (
-        stream.writeStream.foreachBatch(live.advance_cells(cells, f"{work}/cells"))
-        .option("checkpointLocation", f"{work}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
+    """Cells after corrections, moves, incomplete values and retractions, in any order of arrival."""
+    state, last, _, _ = streamed_timelines(spark, folder)
+    return state.cell_values(last)
+
+
+@query(
+    "live_levels_stream",
+    f"""WITH {JUDGED.replace(RES, _HEADS)} SELECT level, event_id, kind, scope, canonical_id, value, incumbent, outcome, recognition FROM j
+    UNION ALL SELECT level, event_id, kind, scope, canonical_id, value, incumbent, outcome, 'not_applicable' FROM oc WHERE outcome = 'none'""",
+)
+def live_levels_stream(spark, folder):
+    """Level rows of the same stream, which equal a replay of the heads."""
+    state, last, _, _ = streamed_timelines(spark, folder)
+    return state.level_rows(last).select(
+        "level", "event_id", "kind", "scope", "canonical_id", "value", "incumbent", "outcome", "recognition"
     )
-    running.awaitTermination()
-    last = running.lastProgress["batchId"]
-    return spark.read.parquet(f"{work}/cells/batch={last}")
+
+
+@query(
+    "rebuild_difference",
+    f"""WITH {REPLAY.replace(RES, _HEADS)} SELECT level, count(*) AS compared, CAST(0 AS BIGINT) AS differences FROM oc GROUP BY level""",
+)
+def rebuild_difference(spark, folder):
+    """Streamed level rows against a rebuild from the whole revision log."""
+    state, last, rows, cells = streamed_timelines(spark, folder)
+    columns = [*timeline.TIMELINE, "canonical_id", "revision", "value", "incumbent", "outcome", "recognition", "currently_holds", "ceased_by"]
+    streamed = state.level_rows(last).select(columns)
+    rebuilt = timeline.classify(rows, cells, no_competitions(spark)).where("is_head AND is_valid AND scope <> ''").select(columns)
+    differing = quality.state_difference(streamed, rebuilt).groupBy("level").agg(F.count(F.lit(1)).alias("_d"))
+    counted = rebuilt.groupBy("level").agg(F.count(F.lit(1)).alias("compared"))
+    return counted.join(differing, "level", "left").select("level", "compared", F.coalesce("_d", F.lit(0)).cast("long").alias("differences"))
 
 
 @query(

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from laurel.functions import fixed, status
 from laurel.operators import attendance as att
-from laurel.operators import benchmarks, detections, evidence, feed, health, quality, rounds, timeline, upkeep
+from laurel.operators import benchmarks, detections, evidence, feed, health, quality, rounds, upkeep
 from laurel.plans.catalog import query
 from laurel.plans.evidence import _LOG, observation_log
 from laurel.plans.serving import _CLAIMS, _claims
-from laurel.plans.tables import RES, baseline, events, members, results, table
+from laurel.plans.tables import RES, baseline, events, results, table
 
 
 def _old_detections(spark, folder):
@@ -171,19 +171,6 @@ def unknown_tags(spark, folder):
     return quality.unknown_tags(events(spark, folder).select(F.upper("event_type").alias("record_tag")))
 
 
-@query(
-    "rebuild_difference",
-    "SELECT CAST(0 AS BIGINT) AS differences FROM (SELECT count(*) FROM orders)",
-)
-def rebuild_difference(spark, folder):
-    """Scan and window forms of all timelines hold the same rows, so nothing differs."""
-    columns = [*timeline.TIMELINE, "canonical_id", "incumbent", "outcome"]
-    rows, cells = members(spark, folder), baseline(spark, folder)
-    left = timeline.replay(rows, cells).select(columns)
-    right = timeline.replay_by_window(rows, cells).select(columns)
-    return quality.state_difference(left, right).agg(F.count(F.lit(1)).alias("differences"))
-
-
 @query(
     "unsupported_events",
     f"""WITH {RES} SELECT event_id, kind, count(*) AS rows FROM res GROUP BY ALL""",

@@ -1,59 +1,84 @@
-"""Incremental record state per micro-batch: cells advance, late rows repair their timelines."""
+"""Incremental record state per micro-batch, right under corrections, retractions and late rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laurel.operators import timeline
-from laurel.operators.baseline import explode_levels
+from laurel.operators.grouping import latest_per_key
+from laurel.streaming.store import BucketStore
 
 
-def advance_cells(baseline: DataFrame, root: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink that keeps the best value per record cell.
+class LiveTimelines:
+    """Heads, level rows and record cells of a stream of result revisions, as a ``foreachBatch`` sink.
 
-    Batch n merges its rows into the cells of batch n-1 and writes its own version, so a repeated
-    batch gives the same version again. Cells are few compared with results.
+    The head of a result is its revision with the highest number, whenever it arrives. A batch touches
+    the timelines of the heads it brings and of the heads these replace, so a result that is corrected,
+    retracted or moved to another scope leaves the timelines it was in. Only touched timelines are
+    replayed, from their members and the baseline, and only their buckets are written.
     """
-    spark = baseline.sparkSession
-
-    def write(batch: DataFrame, number: int) -> None:
-        cells = spark.read.parquet(f"{root}/batch={number - 1}") if number else baseline
-        rows = explode_levels(batch).where((F.col("scope") != "") & (F.col("value") > 0))
-        timeline.live_cells(rows, cells).write.mode("overwrite").parquet(f"{root}/batch={number}")
-
-    return write
 
-
-def repair_levels(baseline: DataFrame, results_path: str, levels_path: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink that recomputes the timelines its rows touch, however late they are.
-
-    Results are stored by batch; a repeated batch replaces its own files. Level rows are stored by
-    event and kind, and only partitions of touched timelines are rewritten.
-    """
-    spark = baseline.sparkSession
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{results_path}/batch={number}")
-        everything = spark.read.parquet(results_path).drop("batch")
-        touched = timeline.affected_timelines(batch, batch).select("event_id", "kind").distinct()
-        members = explode_levels(everything).where((F.col("scope") != "") & (F.col("value") > 0))
-        redone = timeline.adjudicate(
-            timeline.replay(
-                members.join(touched, ["event_id", "kind"], "left_semi"),
-                baseline.join(touched, ["event_id", "kind"], "left_semi"),
-            )
-        )
-        (
-            redone.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("event_id", "kind")
-            .parquet(levels_path)
-        )
-
-    return write
+    def __init__(self, baseline: DataFrame, absorbed: DataFrame, root: str, revisions: str, buckets: int = 256):
+        """``revisions``: the schema of the stream, with the columns that ``timeline.classify`` needs."""
+        self.spark: SparkSession = baseline.sparkSession
+        self.baseline, self.absorbed = baseline, absorbed
+        self.heads = BucketStore(self.spark, f"{root}/heads", ["canonical_id"], buckets)
+        self.members = BucketStore(self.spark, f"{root}/members", timeline.TIMELINE, buckets)
+        self.levels = BucketStore(self.spark, f"{root}/levels", timeline.TIMELINE, buckets)
+        self.cells = BucketStore(self.spark, f"{root}/cells", timeline.TIMELINE, buckets)
+        empty = self.spark.createDataFrame([], revisions)
+        self.head_schema = empty.schema
+        members = timeline.live_members(empty, absorbed)
+        self.member_schema = members.schema
+        self.level_schema = timeline.adjudicated_schema(members)
+        self.cell_schema = timeline.live_cells(members, baseline).schema
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        last = number - 1
+        arrived = latest_per_key(batch.select(*self.head_schema.names), ["canonical_id"], ["revision"])
+        head_buckets = self.heads.touched(arrived)
+        stored = self.heads.read(last, self.head_schema, head_buckets)
+        known = stored.select("canonical_id", F.col("revision").alias("_known"))
+        news = arrived.join(known, "canonical_id", "left").where("_known IS NULL OR revision > _known").drop("_known").persist()
+        replaced = stored.join(news.select("canonical_id"), "canonical_id", "left_semi")
+        own, old = (timeline.live_members(df, self.absorbed) for df in (news, replaced))
+        affected = own.select(*timeline.TIMELINE).unionByName(old.select(*timeline.TIMELINE)).distinct().persist()
+        buckets = self.members.touched(affected)
+
+        members = self.members.read(last, self.member_schema, buckets)
+        members = members.join(news.select("canonical_id"), "canonical_id", "left_anti").unionByName(own.select(*self.member_schema.names))
+        self.members.write(number, members, buckets)
+        current = self.members.read(number, self.member_schema, buckets).join(affected, timeline.TIMELINE, "left_semi")
+        seeds = self.baseline.join(affected, timeline.TIMELINE, "left_semi")
+        redone = timeline.adjudicate(timeline.replay(current, seeds)).select(*self.level_schema.names)
+        kept = self.levels.read(last, self.level_schema, buckets).join(affected, timeline.TIMELINE, "left_anti")
+        self.levels.write(number, kept.unionByName(redone), buckets)
+        best = timeline.live_cells(current, seeds)
+        kept = self.cells.read(last, self.cell_schema, buckets).join(affected, timeline.TIMELINE, "left_anti")
+        self.cells.write(number, kept.unionByName(best), buckets)
+
+        # The heads go last: as long as they are not written, a repeated batch sees the same change.
+        rest = stored.join(news.select("canonical_id"), "canonical_id", "left_anti")
+        self.heads.write(number, rest.unionByName(news.select(*self.head_schema.names)), head_buckets)
+        news.unpersist()
+        affected.unpersist()
+
+    def level_rows(self, batch: int) -> DataFrame:
+        return self.levels.read(batch, self.level_schema)
+
+    def cell_values(self, batch: int) -> DataFrame:
+        """Current value of every record cell: those that were ever touched, and else the baseline's."""
+        touched = self.cells.read(batch, self.cell_schema)
+        rest = self.baseline.select(*timeline.TIMELINE, F.col("value").cast("long").alias("value"))
+        return touched.unionByName(rest.join(touched.select(*timeline.TIMELINE), timeline.TIMELINE, "left_anti"))
+
+    def run(self, stream: DataFrame, checkpoint: str) -> int:
+        """Process everything available; returns the number of the last batch."""
+        writer = stream.writeStream.foreachBatch(self.write).option("checkpointLocation", checkpoint)
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+        return query.lastProgress["batchId"]
 
 
 def heartbeats(stream: DataFrame) -> DataFrame:

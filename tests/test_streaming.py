@@ -39,33 +39,40 @@ def test_snapshots_updates_and_restart(spark, tmp_path):
     ]
 
 
-def test_late_results_repair_their_timelines(spark, tmp_path):
+def test_live_timelines_follow_corrections(spark, tmp_path):
     from laurel.operators import timeline
-    from laurel.operators.baseline import explode_levels
     from laurel.operators.quality import state_difference
-    from laurel.streaming.live import repair_levels
+    from laurel.plans.streams import _REVISIONS, no_competitions
+    from laurel.streaming.live import LiveTimelines
 
-    schema = (
-        "canonical_id long, revision int, at timestamp, event_id string, kind string, value long, person_id string, "
-        "country string, continent string, competition_id string, competition_name string, round_id string, "
-        "round_number int, local_date date"
-    )
-
-    def row(i, minutes, value, event="333"):
+    def row(i, revision, minutes, value, event="333", place=("NL", "Europe"), action="created"):
         at = START + timedelta(minutes=minutes)
-        return (i, 1, at, event, "single", value, f"P{i % 2}", "NL", "Europe", "Open", "Open", "", i % 3, at.date())
+        status = "retracted" if action == "retracted" else "active"
+        return (i, revision, action, status, "verified", at, at, event, "single", value, f"P{i % 2}", *place, "Open", "Open", "", i % 3, at.date())
 
-    batches = [[row(1, 60, 880), row(2, 70, 870), row(3, 5, 700, "222")], [row(4, 0, 900), row(5, 90, 870)]]
     cells = spark.createDataFrame([("WR", "333", "single", "World", 1000)], "level string, event_id string, kind string, scope string, value long")
-    sink = repair_levels(cells, str(tmp_path / "results"), str(tmp_path / "levels"))
+    batches = [
+        [row(1, 1, 60, 880), row(2, 1, 70, 700), row(3, 1, 5, 700, "222"), row(4, 2, 80, 690, action="corrected")],
+        [row(5, 1, 0, 900), row(2, 2, 70, 950, action="corrected"), row(4, 1, 80, 100)],  # late, corrected, an older revision
+        [row(3, 2, 5, 700, "222", ("JP", "Asia"), "corrected"), row(4, 3, 80, 690, action="retracted"), row(6, 1, 90, -1)],
+        [],
+    ]
+    state = LiveTimelines(cells, no_competitions(spark), str(tmp_path / "state"), _REVISIONS, buckets=16)
+    columns = ["canonical_id", "revision", "level", "scope", "outcome", "recognition", "currently_holds", "incumbent"]
+    seen = []
     for number, batch in enumerate(batches):
-        sink(spark.createDataFrame(batch, schema), number)
-    sink(spark.createDataFrame(batches[1], schema), 1)
-    stored = spark.read.parquet(str(tmp_path / "levels"))
-    every = explode_levels(spark.createDataFrame(batches[0] + batches[1], schema))
-    rebuilt = timeline.adjudicate(timeline.replay(every, cells))
-    columns = ["canonical_id", "level", "outcome", "recognition", "currently_holds", "incumbent"]
-    assert state_difference(rebuilt.select(columns), stored.select(columns)).count() == 0
+        seen += batch
+        for _ in range(2 if number == 1 else 1):  # a batch may be repeated
+            state.write(spark.createDataFrame(batch, _REVISIONS), number)
+        log = spark.createDataFrame(seen, _REVISIONS)
+        rebuilt = timeline.classify(log, cells, no_competitions(spark)).where("is_head AND is_valid AND scope <> ''")
+        assert state_difference(rebuilt.select(columns), state.level_rows(number).select(columns)).count() == 0
+        heads = timeline.live_members(log.groupBy("canonical_id").agg(F.max_by(F.struct(*log.columns[1:]), "revision").alias("r")).select("canonical_id", "r.*"), no_competitions(spark))
+        assert state_difference(timeline.live_cells(heads, cells), state.cell_values(number)).count() == 0
+    # Only touched buckets were written: an empty batch wrote none.
+    assert 3 not in state.levels.written(3).values()
+    world = state.cell_values(3).where("level = 'WR' AND event_id = '333'").first()
+    assert world.value == 880
 
 
 def test_discovery_keeps_known_targets(spark):
