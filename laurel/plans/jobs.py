@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import UTC, datetime
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from laurel.operators import alerts, baseline, evidence, history, quality, timeline
 from laurel.session import stage
@@ -12,28 +13,37 @@ from laurel.sources import export, publish
 
 
 def refresh_from_export(
-    spark: SparkSession, folder: str, root: str, heads: DataFrame, source: str = ""
-) -> dict[str, DataFrame]:
-    """Check and read an unpacked export, then publish baseline, facts and live cells.
+    spark: SparkSession, folder: str, root: str, heads: DataFrame, as_of: datetime, source: str = ""
+) -> str:
+    """Check and read an unpacked export, then publish baseline, facts, live cells and metadata at once.
 
-    Nothing is published before its own check passed; the fact table goes last.
+    ``heads`` are the head revisions of live results, with the columns of ``timeline.classify``; those that
+    are retracted, rejected, incomplete or absorbed by the export take no part in live cells. All tables
+    are written and checked before the release counts.
     """
-    manifest = export.inspect(spark, folder, datetime.now(UTC))
+    manifest = export.inspect(spark, folder, as_of)
     tables = export.read_export(spark, manifest)
-    report = export.load_report(tables, manifest, source)
     cells = stage(baseline.export_baseline(tables))
     absorbed = stage(baseline.absorbed_competitions(tables["results"]))
-    members = baseline.explode_levels(baseline.without_absorbed(heads, absorbed))
-    live = timeline.live_cells(members.where("scope <> ''"), cells)
+    live = timeline.live_cells(timeline.live_members(heads, absorbed), cells)
     facts = history.historical_facts(tables["result_attempts"], tables["results"], tables["competitions"])
-    publish.publish(cells, root, "baseline_cells", lambda df: df.limit(1).count() or _fail("baseline is empty"))
-    publish.publish(live, root, "live_cells", lambda df: None)
-    publish.publish(facts, root, "historical_facts", quality.require_publishable, ("event_id", "kind"))
-    return {"report": report, "baseline": cells, "absorbed": absorbed, "live": live}
+    report = export.load_report(tables, manifest, source).withColumn("absorbed_competitions", F.lit(absorbed.count()))
+    return publish.publish(
+        spark,
+        root,
+        {
+            "baseline_cells": publish.Table(cells, _has_rows),
+            "live_cells": publish.Table(live),
+            "absorbed_competitions": publish.Table(absorbed),
+            "historical_facts": publish.Table(facts, quality.require_publishable, ("event_id", "kind")),
+        },
+        report,
+    )
 
 
-def _fail(message: str) -> None:
-    raise ValueError(message)
+def _has_rows(df: DataFrame) -> None:
+    if df.isEmpty():
+        raise ValueError("The baseline has no cells")
 
 
 def rebuild(

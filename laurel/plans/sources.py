@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
 
 from laurel.operators import baseline as cells
+from laurel.plans import jobs
 from laurel.plans.catalog import query
 from laurel.plans.tables import RES, events, results, table, tune
 from laurel.session import shared_folder
-from laurel.sources import export, html_pages, payloads
+from laurel.sources import export, html_pages, payloads, publish
 
 _TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -36,37 +38,16 @@ def json_flatten(spark, folder):
     )
 
 
-@query(
-    "export_baseline",
-    f"""WITH {RES}, lv AS (SELECT 'WR' AS level, 'World' AS scope, * FROM res UNION ALL SELECT 'CR', continent, * FROM res
-      UNION ALL SELECT 'NR', country, * FROM res UNION ALL SELECT 'PR', person_id, * FROM res)
-    SELECT level, CASE event_id WHEN '1-URGENT' THEN '222' WHEN '2-HIGH' THEN '333' WHEN '3-MEDIUM' THEN '444' WHEN '4-NOT SPECIFIED' THEN '555' ELSE '666' END AS event_id,
-      kind, scope, min(value) AS value FROM lv GROUP BY ALL""",
-)
-def export_baseline(spark, folder):
-    """The tables written as a text export, read back and projected to record cells."""
-    tune(spark)
-    root = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+def _official(column):
+    names = {"1-URGENT": "222", "2-HIGH": "333", "3-MEDIUM": "444", "4-NOT SPECIFIED": "555", "5-LOW": "666"}
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col(column))
+
+
+def _write_export(spark, folder, root, rows):
+    """An unpacked export whose ranks and results are ``rows``; its tables are folders of text parts."""
     nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
-    event = F.try_element_at(
-        F.create_map(
-            *[
-                F.lit(x)
-                for pair in {
-                    "1-URGENT": "222",
-                    "2-HIGH": "333",
-                    "3-MEDIUM": "444",
-                    "4-NOT SPECIFIED": "555",
-                    "5-LOW": "666",
-                }.items()
-                for x in pair
-            ]
-        ),
-        F.col("event_id"),
-    )
-    ranks = results(spark, folder).select(
-        "person_id", event.alias("event_id"), F.col("value").alias("best"), "kind"
-    )
+    ranks = rows.select("person_id", _official("event_id").alias("event_id"), F.col("value").alias("best"), "kind")
+    dates = rows.select("competition_id", F.date_trunc("month", "at").alias("_m")).distinct()
     tables = {
         "continents": region.select(F.concat(F.lit("_"), "r_regionkey").alias("id"), F.col("r_name").alias("name")),
         "countries": nation.select(
@@ -79,12 +60,89 @@ def export_baseline(spark, folder):
         ),
         "ranks_single": ranks.where("kind = 'single'").drop("kind"),
         "ranks_average": ranks.where("kind = 'average'").drop("kind"),
+        "competitions": dates.select(
+            F.col("competition_id").alias("id"),
+            F.year("_m").alias("end_year"),
+            F.month("_m").alias("end_month"),
+            F.lit(28).alias("end_day"),
+        ),
+        "results": rows.select(
+            (F.col("canonical_id") + 1).alias("id"),
+            F.when(F.col("kind") == "average", F.col("value")).otherwise(-1).alias("average"),
+            "competition_id",
+            F.lit("X").alias("person_country_id"),
+            "person_id",
+            _official("event_id").alias("event_id"),
+            F.lit("f").alias("round_type_id"),
+        ),
+        "result_attempts": rows.where("kind = 'single'").select(
+            "value", F.lit(1).alias("attempt_number"), (F.col("canonical_id") + 1).alias("result_id")
+        ),
     }
-    read = {}
     for name, df in tables.items():
         export.write_tsv(df, f"{root}/{name}.tsv")
-        read[name] = export.read_tsv(spark, f"{root}/{name}.tsv")
-    return cells.export_baseline(read)
+    metadata = spark.range(1).select(F.lit("v2.0").alias("export_format_version"), F.lit("1996-01-01 00:00:00 UTC").alias("export_date"))
+    metadata.coalesce(1).write.json(f"{root}/metadata.json")
+
+
+@query(
+    "export_baseline",
+    f"""WITH {RES}, lv AS (SELECT 'WR' AS level, 'World' AS scope, * FROM res UNION ALL SELECT 'CR', continent, * FROM res
+      UNION ALL SELECT 'NR', country, * FROM res UNION ALL SELECT 'PR', person_id, * FROM res)
+    SELECT level, CASE event_id WHEN '1-URGENT' THEN '222' WHEN '2-HIGH' THEN '333' WHEN '3-MEDIUM' THEN '444' WHEN '4-NOT SPECIFIED' THEN '555' ELSE '666' END AS event_id,
+      kind, scope, min(value) AS value FROM lv GROUP BY ALL""",
+)
+def export_baseline(spark, folder):
+    """The tables written as a text export, read back and projected to record cells."""
+    tune(spark)
+    root = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    _write_export(spark, folder, root, results(spark, folder))
+    names = ("continents", "countries", "persons", "ranks_single", "ranks_average")
+    return cells.export_baseline({name: export.read_tsv(spark, f"{root}/{name}.tsv") for name in names})
+
+
+_EVENT_ID = "CASE event_id WHEN '1-URGENT' THEN '222' WHEN '2-HIGH' THEN '333' WHEN '3-MEDIUM' THEN '444' WHEN '4-NOT SPECIFIED' THEN '555' ELSE '666' END"
+
+
+@query(
+    "published_live_cells",
+    f"""WITH {RES}, kept AS (
+      SELECT * FROM res WHERE tm < TIMESTAMP '1996-01-01' OR (canonical_id % 5 <> 0 AND canonical_id % 7 <> 0)),
+    lv AS (SELECT 'WR' AS level, 'World' AS scope, * FROM kept UNION ALL SELECT 'CR', continent, * FROM kept
+      UNION ALL SELECT 'NR', country, * FROM kept UNION ALL SELECT 'PR', person_id, * FROM kept)
+    SELECT level, {_EVENT_ID} AS event_id, kind, scope, min(value) AS value FROM lv GROUP BY ALL""",
+)
+def published_live_cells(spark, folder):
+    """A refresh is published, a second one fails its check, and the first one is what readers get."""
+    tune(spark)
+    root = f"{shared_folder(spark)}/refresh-{uuid.uuid4().hex}"
+    rows = results(spark, folder)
+    old = rows.where(F.col("at") < F.lit("1996-01-01").cast("timestamp"))
+    _write_export(spark, folder, f"{root}/good", old)
+    # Heads of all results: those of the export are absorbed, some others retracted or incomplete.
+    retracted = (F.col("canonical_id") % 5 == 0) & (F.col("at") >= F.lit("1996-01-01").cast("timestamp"))
+    heads = rows.withColumns(
+        {
+            "event_id": _official("event_id"),
+            "action": F.when(retracted, "retracted").otherwise("created"),
+            "status": F.lit("active"),
+            "validation_status": F.lit("verified"),
+            "entered_at": F.col("at"),
+            "first_observed_at": F.col("at"),
+            "value": F.when(F.col("canonical_id") % 7 == 0, -1).otherwise(F.col("value")).cast("long"),
+        }
+    )
+    as_of = datetime(1996, 1, 1, tzinfo=UTC)
+    jobs.refresh_from_export(spark, f"{root}/good", f"{root}/releases", heads, as_of)
+    _write_export(spark, folder, f"{root}/bad", old.limit(0))
+    try:
+        jobs.refresh_from_export(spark, f"{root}/bad", f"{root}/releases", heads, as_of)
+    except Exception as refused:  # noqa: BLE001 - a task's error arrives as one of several classes
+        if "empty" not in str(refused) and "no cells" not in str(refused):
+            raise
+    else:
+        raise AssertionError("An empty export was published")
+    return publish.published(spark, f"{root}/releases", "live_cells")
 
 
 @query(

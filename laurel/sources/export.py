@@ -1,117 +1,131 @@
-"""The bulk export: tab-separated text tables with a contract."""
+"""The bulk export: tab-separated text tables with a contract.
+
+The contract is checked on a table of what the folder holds (one row for each member), all rules at
+once; what breaks a rule is a row, and all of them are named in one error.
+"""
 
 from __future__ import annotations
 
-import json
-import re
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laurel.functions import fixed
 
-_IDENTIFIER = re.compile(r"[a-z][a-z0-9_]*")
+_NAME = "^[a-z][a-z0-9_]*$"
+_MEMBER = "path string, first_line string"
+_METADATA = "struct<export_format_version:string,export_date:string>"
 
 
 @dataclass(frozen=True)
 class Export:
     format_version: str
-    generated_at: str
+    generated_at: datetime
     tables: dict[str, str]
     columns: dict[str, tuple[str, ...]]
 
 
-def table_name(path: str) -> str:
-    """Table of a member file: its stem without the export prefix."""
-    stem = path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0].casefold()
-    for prefix in fixed.EXPORT_PREFIXES:
-        if stem.startswith(prefix):
-            stem = stem.removeprefix(prefix)
-            break
-    if not _IDENTIFIER.fullmatch(stem):
-        raise ValueError(f"Unsafe export table name {stem!r}")
-    return stem
-
-
-def header_columns(line: str, member: str) -> tuple[str, ...]:
-    """Column names of a header line; a byte-order mark and quotes are allowed."""
-    names = tuple(name.strip('"') for name in line.lstrip("﻿").rstrip("\r\n").split("\t"))
-    if not names or any(not _IDENTIFIER.fullmatch(name) for name in names):
-        raise ValueError(f"Unsafe or empty header in {member}")
-    if len(names) != len(set(names)):
-        raise ValueError(f"Duplicate columns in {member}")
-    return names
-
-
-def require_version(version: str) -> str:
-    if not re.fullmatch(r"v2(\.[0-9]+)*", version):
-        raise ValueError(f"Unsupported export format {version!r}; v2 required")
-    return version
-
-
-def generated_at(raw: str, fallback: datetime) -> datetime:
-    """Export date, in UTC unless it names an offset; ``fallback`` when unreadable."""
-    from datetime import UTC
-
-    try:
-        parsed = datetime.fromisoformat(raw.removesuffix(" UTC") + ("+00:00" if raw.endswith(" UTC") else ""))
-    except ValueError:
-        return fallback
-    return parsed if parsed.tzinfo else parsed.replace(tzinfo=UTC)
-
-
-def _members(spark: SparkSession, folder: str, pattern: str) -> list[str]:
-    # Only the file listing is read, not the content; an export has a handful of members.
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return [row.path for row in listing.select("path").collect()]
-
-
-def _first_line(spark: SparkSession, path: str) -> str:
-    row = spark.read.text(path).first()
-    return row.value if row else ""
-
-
-def inspect(spark: SparkSession, folder: str, fallback: datetime) -> Export:
-    """Check the contract of an unpacked export and list its tables."""
-    found = _members(spark, folder, "*metadata.json")
-    if len(found) != 1:
-        raise ValueError(f"Expected one metadata.json export member, found {len(found)}")
-    payload = json.loads("\n".join(r.value for r in spark.read.text(found[0]).collect()))
-    version = require_version(str(payload.get("export_format_version") or ""))
-    tables: dict[str, str] = {}
-    columns: dict[str, tuple[str, ...]] = {}
-    for path in _members(spark, folder, "*.tsv"):
-        name = table_name(path)
-        if name in tables:
-            raise ValueError(f"Duplicate export table {name!r}")
-        tables[name] = path
-        columns[name] = header_columns(_first_line(spark, path), path)
-    missing = sorted(set(fixed.REQUIRED_EXPORT_COLUMNS) - set(tables))
-    if missing:
-        raise ValueError("Export is missing required tables: " + ", ".join(missing))
-    for name, required in fixed.REQUIRED_EXPORT_COLUMNS.items():
-        absent = sorted(set(required) - set(columns[name]))
-        if absent:
-            raise ValueError(f"Export table {name!r} is missing required columns: {', '.join(absent)}")
-    date = generated_at(str(payload.get("export_date") or ""), fallback).isoformat()
-    return Export(version, date, tables, columns)
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """path, table and columns of the text members; path and metadata (format and date) of the JSON ones.
+
+    An export has a handful of members; only their first lines (all of a JSON member) are read here.
+    """
+    # Spark writes a table as a folder of parts, so members are what lies directly in the folder.
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    paths = sorted(status.getPath().toString() for status in found)
+    rows = []
+    for path in paths:
+        if path.endswith((".tsv", "metadata.json")):
+            lines = spark.read.option("wholetext", path.endswith(".json")).text(path).first()
+            rows.append((path, lines.value if lines else ""))
+    members = spark.createDataFrame(rows, _MEMBER)
+    stem = F.lower(F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1))
+    prefix = "^(" + "|".join(fixed.EXPORT_PREFIXES) + ")"
+    fields = F.split(F.regexp_replace("first_line", "^\ufeff|[\r\n]+$", ""), "\t", -1)
+    is_table = F.col("path").endswith(".tsv")
+    return members.select(
+        "path",
+        F.when(is_table, F.regexp_replace(stem, prefix, "")).alias("table"),
+        F.when(is_table, F.transform(fields, lambda f: F.btrim(f, F.lit('"')))).alias("columns"),
+        F.when(~is_table, F.from_json("first_line", _METADATA)).alias("metadata"),
+    )
+
+
+def violations(members: DataFrame) -> DataFrame:
+    """rule and subject of everything in a ``listing`` that the contract does not allow."""
+    spark = members.sparkSession
+    tables = members.where("table IS NOT NULL")
+    columns = tables.select("table", F.explode("columns").alias("column"))
+    wanted = spark.createDataFrame(
+        [(t, c) for t, names in fixed.REQUIRED_EXPORT_COLUMNS.items() for c in names], "table string, column string"
+    )
+
+    def rule(name: str, rows: DataFrame, subject: Column) -> DataFrame:
+        return rows.select(F.lit(name).alias("rule"), subject.cast("string").alias("subject"))
+
+    format_version = F.coalesce(F.col("metadata.export_format_version"), F.lit("none"))
+    documents = members.where("table IS NULL")
+    broken = [
+        rule("number of metadata members", documents.agg(F.count(F.lit(1)).alias("n")).where("n <> 1"), F.col("n")),
+        rule("format", documents.where(~format_version.rlike(r"^v2(\.[0-9]+)*$")), format_version),
+        rule("table name", tables.where(~F.col("table").rlike(_NAME)), F.col("path")),
+        rule("table given twice", tables.groupBy("table").count().where("count > 1"), F.col("table")),
+        rule("column name", columns.where(~F.col("column").rlike(_NAME)), F.concat_ws(".", "table", "column")),
+        rule("column given twice", columns.groupBy("table", "column").count().where("count > 1"), F.concat_ws(".", "table", "column")),
+        rule("table is not there", wanted.select("table").distinct().join(tables, "table", "left_anti"), F.col("table")),
+        rule(
+            "column is not there",
+            wanted.join(tables.select("table"), "table", "left_semi").join(columns, ["table", "column"], "left_anti"),
+            F.concat_ws(".", "table", "column"),
+        ),
+    ]
+    out = broken[0]
+    for rows in broken[1:]:
+        out = out.unionByName(rows)
+    return out
+
+
+def inspect(spark: SparkSession, folder: str, as_of: datetime) -> Export:
+    """Check the contract of an unpacked export; ``as_of`` stands in for a date that cannot be read."""
+    members = listing(spark, folder)
+    found = violations(members).orderBy("rule", "subject").collect()
+    if found:
+        raise ValueError("The export breaks its contract: " + "; ".join(f"{r.rule}: {r.subject}" for r in found))
+    rows = members.collect()
+    raw = F.regexp_replace("metadata.export_date", " UTC$", "Z")
+    dated = members.where("table IS NULL").select(
+        F.col("metadata.export_format_version").alias("version"),
+        F.unix_micros(F.coalesce(F.try_to_timestamp(raw), F.lit(as_of).cast("timestamp"))).alias("at"),
+    ).first()
+    tables = {r.table: r for r in rows if r.table is not None}
+    return Export(
+        dated.version,
+        datetime.fromtimestamp(dated.at / 1e6, UTC),
+        {name: r.path for name, r in tables.items()},
+        {name: tuple(r.columns) for name, r in tables.items()},
+    )
 
 
 def read_tsv(spark: SparkSession, path: str, columns: tuple[str, ...] | None = None) -> DataFrame:
     """A text table: no quoting, ``NULL`` is null, an empty field stays empty.
 
-    CSV reading would turn empty fields into nulls, so lines are split as text; the scan stays
+    The first line of each file is its header; later lines are data even where they look like it. Lines
+    are taken whole and split here, as a CSV reader would turn empty fields into nulls; the scan stays
     splittable. A line with another number of fields, or with the reserved byte, fails the job.
     """
-    header = _first_line(spark, path)
-    columns = columns or header_columns(header, path)
+    lines = spark.read.schema("value string").csv(
+        path, header=True, sep="\x01", quote="", escape="", mode="FAILFAST", nullValue="\x01", emptyValue=""
+    )
+    if columns is None:
+        first = spark.read.text(path).first()
+        columns = tuple(first.value.lstrip("\ufeff").split("\t"))
     parts = F.split("value", "\t", -1)
-    checked = F.when(
-        (F.size(parts) == len(columns)) & ~F.col("value").contains("\x01"), parts
-    ).otherwise(F.raise_error(F.concat(F.lit(f"Malformed line in {path}: "), F.col("value"))))
-    lines = spark.read.text(path).where(F.col("value") != F.lit(header))
+    checked = F.when(F.size(parts) == len(columns), parts).otherwise(
+        F.raise_error(F.concat(F.lit(f"Malformed line in {path}: "), F.coalesce("value", F.lit(""))))
+    )
     return lines.select(checked.alias("_p")).select(
         *[F.nullif(F.col("_p")[i], F.lit("NULL")).alias(c) for i, c in enumerate(columns)]
     )
@@ -142,20 +156,36 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def content_mark(df: DataFrame) -> Column:
+    """A mark of a table's rows that does not depend on their order: for use in ``agg``."""
+    row = F.xxhash64(*[F.coalesce(F.col(c), F.lit("\x01")) for c in df.columns])
+    return F.coalesce(F.sum(F.pmod(row, F.lit(1 << 40))), F.lit(0))
+
+
 def load_report(tables: dict[str, DataFrame], export: Export, source: str) -> DataFrame:
-    """One metadata row with version and counts; an empty required table fails the job."""
-    counts = row_counts(tables)
+    """One metadata row with version, content hash and counts; an empty required table fails the job."""
+    counted = [
+        df.agg(F.count(F.lit(1)).alias("row_count"), content_mark(df).alias("mark")).select(F.lit(name).alias("table_name"), "row_count", "mark")
+        for name, df in sorted(tables.items())
+    ]
+    counts = counted[0]
+    for df in counted[1:]:
+        counts = counts.unionByName(df)
     empty = F.col("table_name").isin(*fixed.REQUIRED_EXPORT_COLUMNS) & (F.col("row_count") == 0)
     checked = counts.withColumn(
         "row_count",
         F.when(~empty, F.col("row_count")).otherwise(
-            F.raise_error(F.concat(F.lit("Required export table is empty: "), "table_name")).cast("long")
+            F.raise_error(F.concat(F.lit("A table that must have rows is empty: "), "table_name")).cast("long")
         ),
     )
+    entries = F.array_sort(F.collect_list(F.struct("table_name", "row_count", "mark")))
+    content = F.sha2(F.to_json(entries), 256)
     return checked.agg(
         F.lit(export.format_version).alias("format_version"),
         F.lit(export.generated_at).alias("generated_at"),
         F.lit(source).alias("source"),
+        content.alias("content_hash"),
+        F.concat_ws(":", F.lit(export.format_version), content).alias("version"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("table_name", "row_count")))).alias("row_counts"),
     )
 

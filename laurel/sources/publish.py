@@ -1,29 +1,69 @@
-"""Publishing tables: checked first, then switched in one catalog change."""
+"""Publishing tables that belong together: written, checked, then switched by one commit.
+
+A release is a folder with all its tables. It counts once a row about it is appended to the list of
+releases, which is one file that appears at once; readers take the newest row. A failing write or check
+leaves the published release as it was.
+"""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+@dataclass(frozen=True)
+class Table:
+    rows: DataFrame
+    check: Callable[[DataFrame], object] = field(default=lambda df: None)
+    partition_by: tuple[str, ...] = ()
+
 
+def _list(root: str) -> str:
+    return f"{root.rstrip('/')}/releases"
 
-def publish(df: DataFrame, root: str, name: str, check: Callable[[DataFrame], object], partition_by: tuple[str, ...] = ()) -> str:
-    """Write a new version, check it, and only then point the view ``name`` at it.
 
-    A failing write or check leaves the published version as it was. Returns the new path.
-    """
-    path = f"{root.rstrip('/')}/{name}/version={uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
-    spark = df.sparkSession
-    check(spark.read.parquet(path))
-    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM parquet.`{path}`")
+def releases(spark: SparkSession, root: str) -> DataFrame:
+    """All releases so far: number, path and metadata (JSON)."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(_list(root))
+    schema = "number long, path string, metadata string"
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(_list(root))
+
+
+def publish(spark: SparkSession, root: str, tables: dict[str, Table], metadata: DataFrame, keep: int = 2) -> str:
+    """Publish ``tables`` with a one-row ``metadata`` as the next release; only the last ``keep`` stay on disk."""
+    path = f"{root.rstrip('/')}/release-{uuid.uuid4().hex}"
+    for name, table in tables.items():
+        writer = table.rows.write.partitionBy(*table.partition_by) if table.partition_by else table.rows.write
+        writer.parquet(f"{path}/{name}")
+    for name, table in tables.items():
+        table.check(spark.read.parquet(f"{path}/{name}"))
+    before = releases(spark, root).orderBy(F.desc("number")).limit(keep + 20).collect()
+    number = before[0].number + 1 if before else 1
+    row = metadata.select(F.lit(number).cast("long").alias("number"), F.lit(path).alias("path"), F.to_json(F.struct("*")).alias("metadata"))
+    row.coalesce(1).write.mode("append").json(_list(root))
+    for old in before[keep - 1 :]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(old.path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     return path
 
 
-def published(spark: SparkSession, name: str) -> DataFrame:
-    return spark.table(name)
+def published(spark: SparkSession, root: str, name: str) -> DataFrame:
+    newest = releases(spark, root).orderBy(F.desc("number")).first()
+    if newest is None:
+        raise ValueError(f"Nothing is published under {root}")
+    return spark.read.parquet(f"{newest.path}/{name}")
+
+
+def metadata(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """The newest release's metadata, read as ``schema``."""
+    newest = releases(spark, root).orderBy(F.desc("number")).limit(1)
+    return newest.select("number", F.from_json("metadata", schema).alias("_m")).select("number", "_m.*")
 
 
 def write_detections(detections: DataFrame, path: str) -> None:
