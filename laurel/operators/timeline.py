@@ -58,6 +58,22 @@ def replay(
     )
 
 
+def replay_since(rows: DataFrame, cut: Column, buckets: list[Column] | None = None) -> DataFrame:
+    """``replay`` of the rows from ``cut`` on against all rows before them, in one pass.
+
+    ``rows`` are all level rows of the timelines. What lies before the cut is the baseline: the least
+    value of the earlier rows is the same whether they were reduced to cells before or not.
+    """
+    scanned = prefix_scan(
+        stage(rows.withColumn("value", F.col("value").cast("long"))),
+        TIMELINE,
+        ORDER,
+        buckets or time_buckets("at"),
+        {"incumbent": ("min", F.col("value"))},
+    )
+    return scanned.where(F.col("at") >= cut).withColumn("outcome", outcome("value", "incumbent"))
+
+
 def replay_by_window(members: DataFrame, baseline: DataFrame) -> DataFrame:
     """The same result with one window per timeline; for timelines known to be short."""
     earlier = (

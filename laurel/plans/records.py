@@ -17,6 +17,7 @@ from laurel.plans.tables import (
     baseline,
     live_results,
     members,
+    replayed,
     results,
     table,
 )
@@ -101,15 +102,13 @@ _OUTCOME_COLUMNS = [*cells.CELL, "canonical_id", "value", "incumbent", "outcome"
 
 @query("timeline_outcomes", _OUTCOMES)
 def timeline_outcomes(spark, folder):
-    return timeline.replay(members(spark, folder), baseline(spark, folder)).select(*_OUTCOME_COLUMNS)
+    return replayed(spark, folder).select(*_OUTCOME_COLUMNS)
 
 
 @query("timeline_outcomes_by_window", _OUTCOMES)
 def timeline_outcomes_by_window(spark, folder):
-    """One window per timeline: the simple form, for timelines known to be short."""
-    return timeline.replay_by_window(members(spark, folder), baseline(spark, folder)).select(
-        *_OUTCOME_COLUMNS
-    )
+    """Against baseline cells, with one window per timeline and minute; the form for exact instants."""
+    return timeline.replay(members(spark, folder), baseline(spark, folder)).select(*_OUTCOME_COLUMNS)
 
 
 @query(
@@ -122,14 +121,14 @@ def live_cells(spark, folder):
 
 
 def _judged(spark, folder):
-    rows = timeline.replay(members(spark, folder), baseline(spark, folder))
+    rows = replayed(spark, folder)
     return timeline.adjudicate(rows)
 
 
 def _qualifying(spark, folder):
     from laurel.session import stage
 
-    rows = timeline.replay(members(spark, folder), baseline(spark, folder))
+    rows = replayed(spark, folder)
     return timeline.adjudicate_qualifying(stage(rows.where(F.col("outcome") != "none")))
 
 

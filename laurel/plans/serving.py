@@ -10,7 +10,7 @@ from laurel.operators import benchmarks, compare, detections, feed, snapshots, t
 from laurel.operators.baseline import baseline_cells
 from laurel.operators.grouping import latest_per_key, upsert
 from laurel.plans.catalog import query
-from laurel.plans.tables import JUDGED, LEVELS, RES, baseline, events, live_results, members, results, table
+from laurel.plans.tables import JUDGED, LEVELS, RES, baseline, events, live_results, members, replayed, results, table
 from laurel.session import stage
 
 # --- feed -------------------------------------------------------------------------------------
@@ -27,7 +27,7 @@ ok AS (
 
 def _levels(spark, folder):
     """Judged level rows; rounds 1 and 2 are trusted, round 3 needs an independent verdict."""
-    rows = timeline.replay(members(spark, folder), baseline(spark, folder))
+    rows = replayed(spark, folder)
     judged = timeline.adjudicate_qualifying(stage(rows.where(F.col("outcome") != "none")))
     trusted = F.col("round_number") != 3
     return judged.withColumns(

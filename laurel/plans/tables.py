@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from laurel.operators import timeline
 from laurel.operators.baseline import baseline_cells, explode_levels
+from laurel.operators.scan import instant_buckets
 from laurel.session import tune
 
 BASELINE_END = "1996-01-01"
@@ -133,5 +135,11 @@ def members(spark: SparkSession, folder: str) -> DataFrame:
     return explode_levels(live_results(spark, folder))
 
 
+def replayed(spark: SparkSession, folder: str) -> DataFrame:
+    """Live level rows with incumbent and outcome; their instants are whole days."""
+    levels = explode_levels(results(spark, folder))
+    return timeline.replay_since(levels, _cut(), instant_buckets("at", "canonical_id"))
+
+
 def events(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
