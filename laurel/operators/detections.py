@@ -114,6 +114,18 @@ def with_round_zone(records: DataFrame, rounds: DataFrame) -> DataFrame:
     ).drop("_zone")
 
 
+def claimed_facts(claims: DataFrame) -> DataFrame:
+    """Changes of the result log that record claims stand for, with ``op`` observe or retract.
+
+    A final claim is an observation of its result. A claim that is not final (any more) takes back what
+    was observed before; where nothing was, it changes nothing.
+    """
+    rows = claims.withColumn("op", F.when(F.col("final"), "observe").otherwise("retract"))
+    rows = previous_row(rows, RESULT, ["seq"], number_buckets("seq"), ["op"])
+    known = F.coalesce(F.col("previous.op") == "observe", F.lit(False))
+    return rows.where((F.col("op") == "observe") | known).drop("previous")
+
+
 def poll_statistics(polled: DataFrame) -> DataFrame:
     """Per poll: records found, new, duplicate and malformed.
 

@@ -7,9 +7,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laurel.operators import alerts, baseline, evidence, history, quality, timeline
+from laurel.functions import fixed
+from laurel.operators import alerts, baseline, detections, evidence, grouping, history, quality, timeline
 from laurel.session import stage
-from laurel.sources import export, publish
+from laurel.sources import export, payloads, publish
 
 
 def refresh_from_export(
@@ -46,6 +47,27 @@ def _has_rows(df: DataFrame) -> None:
         raise ValueError("The baseline has no cells")
 
 
+def ingest_polls(polled: DataFrame, rounds: DataFrame) -> dict[str, DataFrame]:
+    """Poll batches of record claims: ``polled`` has poll_id, seq, observed_at and payload.
+
+    Malformed payloads are set aside. A payload that came before, in whatever poll, changes nothing. The
+    rest, with zones filled from known ``rounds``, gives detections (a claim of another level withdraws the
+    former), changes of the result log (claims that are not final take back what was observed), and
+    statistics for each poll.
+    """
+    parsed = payloads.recent_records(polled.withColumn("payload_hash", F.sha2("payload", 256)))
+    parsed = stage(parsed.withColumn("method", F.lit(fixed.POLLED)))
+    good, aside = quality.quarantine(parsed)
+    claims = grouping.first_per_key(good, ["method", "payload_hash"], ["seq"])
+    claims = stage(detections.with_round_zone(claims, rounds))
+    return {
+        "quarantine": aside,
+        "detections": detections.detections(claims),
+        "log": detections.claimed_facts(claims),
+        "statistics": detections.poll_statistics(parsed),
+    }
+
+
 def rebuild(
     log: DataFrame, countries: DataFrame, cells: DataFrame, absorbed: DataFrame, benchmarks: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:

@@ -145,18 +145,12 @@ def published_live_cells(spark, folder):
     return publish.published(spark, f"{root}/releases", "live_cells")
 
 
-@query(
-    "recent_records_parsed",
-    f"""WITH {RES} SELECT CAST(canonical_id AS VARCHAR) AS stable_identity, competition_id, person_id, event_id, kind, value,
-      'WR' AS level, CAST(round_number AS INTEGER) AS round_number, 'Europe/Amsterdam' AS competition_timezone, epoch_us(tm) AS entered,
-      round_number <> 1 AS final FROM res""",
-)
-def recent_records_parsed(spark, folder):
-    """Each result as a nested record payload, parsed back; round 1 has an unfinished attempt."""
+def _record_payload(tag, second, zone="Europe/Amsterdam"):
+    """A result row as a nested record claim with this tag and second attempt."""
     s = F.struct
     venue = s(
         F.lit("Hall").alias("name"),
-        F.lit("Europe/Amsterdam").alias("timezone"),
+        F.lit(zone).alias("timezone"),
         s(F.lit("NL").alias("iso2")).alias("country"),
     )
     competition = s(
@@ -168,7 +162,7 @@ def recent_records_parsed(spark, folder):
         F.array(venue).alias("venues"),
     )
     rnd = s(
-        F.lit("r").alias("id"),
+        F.date_format("at", "yyyyMM").alias("id"),
         F.col("round_number").alias("number"),
         s(F.lit(2).alias("numberOfAttempts")).alias("format"),
         s(
@@ -176,11 +170,10 @@ def recent_records_parsed(spark, folder):
             competition.alias("competition"),
         ).alias("competitionEvent"),
     )
-    second = F.when(F.col("round_number") == 1, 0).otherwise(F.col("value"))
-    payload = s(
+    return F.to_json(s(
         F.col("canonical_id").cast("string").alias("id"),
         F.col("kind").alias("type"),
-        F.lit("wr").alias("tag"),
+        tag.alias("tag"),
         F.col("value").alias("attemptResult"),
         s(
             F.col("canonical_id").cast("string").alias("id"),
@@ -191,8 +184,20 @@ def recent_records_parsed(spark, folder):
             s(F.col("person_id").alias("id"), F.col("person_id").alias("wcaId")).alias("person"),
             rnd.alias("round"),
         ).alias("result"),
-    )
-    frames = results(spark, folder).select(F.to_json(payload).alias("payload"))
+    ))
+
+
+@query(
+    "recent_records_parsed",
+    f"""WITH {RES} SELECT CAST(canonical_id AS VARCHAR) AS stable_identity, competition_id, person_id, event_id, kind, value,
+      'WR' AS level, CAST(round_number AS INTEGER) AS round_number, 'Europe/Amsterdam' AS competition_timezone, epoch_us(tm) AS entered,
+      round_number <> 1 AS final FROM res""",
+)
+def recent_records_parsed(spark, folder):
+    """Each result as a nested record payload, parsed back; round 1 has an unfinished attempt."""
+    second = F.when(F.col("round_number") == 1, 0).otherwise(F.col("value"))
+    payload = _record_payload(F.lit("wr"), second)
+    frames = results(spark, folder).select(payload.alias("payload"))
     return payloads.recent_records(frames).where(F.col("error").isNull()).select(
         "stable_identity",
         "competition_id",
@@ -208,6 +213,51 @@ def recent_records_parsed(spark, folder):
     )
 
 
+@query(
+    "poll_batches",
+    f"""WITH {RES}, c AS (
+      SELECT canonical_id AS id, canonical_id AS seq, 'WR' AS level, round_number <> 1 AS fin, canonical_id % 13 = 0 AS bad, false AS dup FROM res
+      UNION ALL SELECT canonical_id, canonical_id + 1000000000, 'WR', round_number <> 1, canonical_id % 13 = 0, true FROM res WHERE canonical_id % 9 = 0
+      UNION ALL SELECT canonical_id, canonical_id + 2000000000, 'NR', true, false, false FROM res WHERE canonical_id % 6 = 0
+      UNION ALL SELECT canonical_id, canonical_id + 3000000000, 'WR', false, false, round_number = 1 AND canonical_id % 13 <> 0 FROM res WHERE canonical_id % 10 = 0),
+    k AS (SELECT *, lead(level) OVER w AS nxt, lag(fin) OVER w AS before FROM c WHERE NOT bad AND NOT dup WINDOW w AS (PARTITION BY id ORDER BY seq)),
+    d AS (SELECT id, level, arg_max(nxt IS NULL, seq) AS active FROM k GROUP BY ALL)
+    SELECT 'found' AS measure, count(*) AS rows FROM c UNION ALL SELECT 'malformed', count(*) FROM c WHERE bad
+    UNION ALL SELECT 'new', count(*) FROM d UNION ALL SELECT 'ignored', (SELECT count(*) FROM c WHERE NOT bad) - (SELECT count(*) FROM d)
+    UNION ALL SELECT level || CASE WHEN active THEN ' active' ELSE ' withdrawn' END, count(*) FROM d GROUP BY 1
+    UNION ALL SELECT 'observe', count(*) FROM k WHERE fin UNION ALL SELECT 'retract', count(*) FROM k WHERE NOT fin AND before
+    UNION ALL SELECT 'zone filled', count(*) FROM k WHERE fin""",
+)
+def poll_batches(spark, folder):
+    """Claims of all results polled in four rounds: first claims, repeats, other levels, unfinished ones."""
+    rows = results(spark, folder)
+    open_ = F.when(F.col("round_number") == 1, 0).otherwise(F.col("value"))
+    wr, own = F.lit("wr"), F.col("canonical_id")
+    first = F.when(own % 13 == 0, "{}").otherwise(_record_payload(wr, open_, ""))
+    claims = F.array(
+        F.struct(F.lit(0).alias("poll"), F.lit(1).alias("every"), first.alias("payload")),
+        F.struct(F.lit(1).alias("poll"), F.lit(9).alias("every"), first.alias("payload")),
+        F.struct(F.lit(2).alias("poll"), F.lit(6).alias("every"), _record_payload(F.lit("nr"), F.col("value"), "").alias("payload")),
+        F.struct(F.lit(3).alias("poll"), F.lit(10).alias("every"), _record_payload(wr, F.lit(0).cast("long"), "").alias("payload")),
+    )
+    polled = rows.select("canonical_id", "at", F.explode(F.filter(claims, lambda c: own % c["every"] == 0)).alias("c")).select(
+        F.col("c.poll").alias("poll_id"),
+        (F.col("canonical_id") + F.col("c.poll").cast("long") * 1_000_000_000).alias("seq"),
+        F.col("at").alias("observed_at"),
+        F.col("c.payload").alias("payload"),
+    )
+    rounds = rows.select(F.col("competition_id").alias("round_id"), "competition_id", F.lit("Asia/Tokyo").alias("competition_timezone")).distinct()
+    out = jobs.ingest_polls(polled, rounds)
+    totals = out["statistics"].agg(
+        *[F.sum(c).alias(n) for c, n in (("records_found", "found"), ("malformed", "malformed"), ("new_observations", "new"), ("duplicates_ignored", "ignored"))]
+    )
+    counts = totals.unpivot([], ["found", "malformed", "new", "ignored"], "measure", "rows")
+    states = out["detections"].groupBy(F.concat_ws(" ", "level", "status").alias("measure")).agg(F.count(F.lit(1)).alias("rows"))
+    ops = out["log"].groupBy(F.col("op").alias("measure")).agg(F.count(F.lit(1)).alias("rows"))
+    zones = out["log"].where("op = 'observe' AND competition_timezone = 'Asia/Tokyo'").agg(F.count(F.lit(1)).alias("rows"))
+    return counts.unionByName(states).unionByName(ops).unionByName(zones.select(F.lit("zone filled").alias("measure"), "rows"))
+
+
 # An order's lines make this many documents (by part), each of all its lines.
 PAGES_PER_ORDER = 2
 _LINES = f"""ln AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CAST(floor(l_extendedprice) AS BIGINT) AS price,
