@@ -632,13 +632,18 @@ def ages(spark, folder):
 
 @query(
     "name_split",
-    """SELECT c_custkey, c_name AS romanized_name, c_mktsegment AS native_name, 'CR' AS tag FROM customer""",
+    """SELECT c_custkey, CASE c_custkey % 3 WHEN 2 THEN c_name || ' (' || c_mktsegment ELSE c_name END AS romanized_name,
+      CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS native_name,
+      CASE WHEN c_nationkey % 4 = 0 THEN 'CR' ELSE ['', 'WR', 'NR', 'PB'][c_nationkey % 4 + 1] END AS tag FROM customer""",
 )
 def name_split(spark, folder):
-    """Names written as ``Romanized (Native)`` and a continental tag, split and normalised."""
-    whole = F.concat("c_name", F.lit(" ("), "c_mktsegment", F.lit(") "))
+    """Names with, without and with half a native part, and tags of all kinds, split and normalised."""
+    kind = F.col("c_custkey") % 3
+    native = F.concat(F.lit(" ("), "c_mktsegment")
+    whole = F.when(kind == 0, F.concat("c_name", native, F.lit(") "))).when(kind == 1, F.col("c_name")).otherwise(F.concat("c_name", native))
+    tags = F.array(F.lit(" asr "), F.lit("wr"), F.lit("NR "), F.lit("pb"))
     return table(spark, folder, "customer").select(
-        "c_custkey", F.inline(F.array(split_native_name(whole))), record_tag(F.lit(" asr ")).alias("tag")
+        "c_custkey", F.inline(F.array(split_native_name(whole))), record_tag(F.get(tags, F.col("c_nationkey") % 4)).alias("tag")
     )
 
 

@@ -470,11 +470,16 @@ def html_live_rounds(spark, folder):
 
 @query(
     "html_pages_checked",
-    """SELECT CASE WHEN html LIKE '%id="live-container"%' THEN 'ok' ELSE 'live container was not found' END AS outcome,
+    """SELECT CASE page_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'page cannot be read' ELSE 'live container was not found' END AS outcome,
       count(*) AS pages FROM pages GROUP BY ALL""",
 )
 def html_pages_checked(spark, folder):
-    """Raw pages tried as live pages; none of them is one, and each says so."""
-    found = html_pages.live_rounds(table(spark, folder, "pages"))
-    once = found.select("page_id", F.coalesce("error", F.lit("ok")).alias("outcome")).distinct()
+    """Raw pages tried as live pages: some have a live container added, some are broken, the rest say so."""
+    number = F.col("page_id") % 4
+    live = '<div id="live-container" data-c="7" data-type="WCA" data-events="[{&quot;i&quot;:&quot;333&quot;,&quot;rs&quot;:[{&quot;i&quot;:&quot;1&quot;}]}]"></div>'
+    pages = table(spark, folder, "pages").withColumn("html", F.when(number == 0, F.concat(F.lit(live), "html")).when(number == 1, F.concat(F.lit("<![foo bar]>"), "html")).otherwise(F.col("html")))
+    tabled = html_pages.registrations(html_pages.page_tables(pages.where(number == 1)))
+    broken = tabled.select("page_id", F.substring_index("error", ":", 1).alias("outcome"))
+    found = html_pages.live_rounds(pages.where(number != 1))
+    once = found.select("page_id", F.coalesce("error", F.lit("ok")).alias("outcome")).unionByName(broken).distinct()
     return once.groupBy("outcome").agg(F.count(F.lit(1)).alias("pages"))

@@ -166,6 +166,29 @@ def live_levels_stream(spark, folder):
     )
 
 
+@query(
+    "classified_revisions",
+    f"""WITH {_HEADS}, lv AS (
+      SELECT 'WR' AS level, 'World' AS scope, * FROM revs UNION ALL SELECT 'CR', continent, * FROM revs
+      UNION ALL SELECT 'NR', country, * FROM revs UNION ALL SELECT 'PR', person_id, * FROM revs),
+    base AS (SELECT level, event_id, kind, scope, min(value) AS base FROM lv WHERE tm < TIMESTAMP '1996-01-01' GROUP BY ALL),
+    hd AS (SELECT canonical_id, max(revision) AS head FROM revs GROUP BY ALL),
+    rep AS (
+      SELECT lv.*, head, least(base, min(value) OVER (PARTITION BY level, event_id, kind, scope ORDER BY tm, canonical_id, revision
+                                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS incumbent
+      FROM lv JOIN hd USING (canonical_id) LEFT JOIN base USING (level, event_id, kind, scope) WHERE tm >= TIMESTAMP '1996-01-01' AND value > 0)
+    SELECT level, event_id, kind, scope, canonical_id, revision, incumbent,
+      CASE WHEN incumbent IS NULL OR value < incumbent THEN 'broken' WHEN value = incumbent THEN 'tied' ELSE 'none' END AS outcome
+    FROM rep WHERE revision < head""",
+)
+def classified_revisions(spark, folder):
+    """Replaced revisions, whose values differ from those that replaced them, in replay order."""
+    cells = baseline_cells(results(spark, folder).where(F.col("at") < F.lit("1996-01-01").cast("timestamp")))
+    levels = timeline.classify(revision_rows(spark, folder), cells, no_competitions(spark))
+    past = levels.where(~F.col("is_head") & (F.col("value") > 0) & (F.col("scope") != ""))
+    return past.select("level", "event_id", "kind", "scope", "canonical_id", "revision", "incumbent", "outcome")
+
+
 @query(
     "rebuild_difference",
     f"""WITH {REPLAY.replace(RES, _HEADS)} SELECT level, count(*) AS compared, CAST(0 AS BIGINT) AS differences FROM oc GROUP BY level""",

@@ -173,12 +173,15 @@ def unknown_tags(spark, folder):
 
 @query(
     "unsupported_events",
-    f"""WITH {RES} SELECT event_id, kind, count(*) AS rows FROM res GROUP BY ALL""",
+    f"""WITH {RES}, e AS (SELECT CASE event_id WHEN '1-URGENT' THEN '333' WHEN '2-HIGH' THEN '333mbf' ELSE event_id END AS event_id, kind FROM res)
+    SELECT event_id, kind, event_id = '333' OR (event_id = '333mbf' AND kind = 'single') AS known, count(*) AS rows FROM e GROUP BY ALL""",
 )
 def unsupported_events(spark, folder):
-    """None of the priorities is an official event, so all rows are set aside."""
-    _, aside = quality.split_unsupported(results(spark, folder))
-    return aside.groupBy("event_id", "kind").agg(F.count(F.lit(1)).alias("rows"))
+    """Two priorities stand for official events, one of them without averages; the others are set aside."""
+    named = F.when(F.col("event_id") == "1-URGENT", "333").when(F.col("event_id") == "2-HIGH", "333mbf").otherwise(F.col("event_id"))
+    known, aside = quality.split_unsupported(results(spark, folder).withColumn("event_id", named))
+    both = known.withColumn("known", F.lit(True)).unionByName(aside.withColumn("known", F.lit(False)))
+    return both.groupBy("event_id", "kind", "known").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query(
