@@ -48,6 +48,11 @@ def comparison(detections: DataFrame, key: str = "comparison_key") -> DataFrame:
     )
 
 
+def comparison_by_key(detections: DataFrame, key: str = "comparison_key") -> DataFrame:
+    """``comparison`` in the order of its key, as it is shown."""
+    return comparison(detections, key).orderBy(key)
+
+
 def comparison_table(detections: DataFrame, key: str, methods: Sequence[str]) -> DataFrame:
     """The same as flat columns for a fixed list of methods."""
     aggregates = [

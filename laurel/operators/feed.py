@@ -109,6 +109,16 @@ def page(rows: DataFrame, number: int, order: list[Column], size: int = fixed.PA
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def page_with_total(rows: DataFrame, number: int, order: list[Column], size: int = fixed.PAGE_SIZE) -> DataFrame:
+    """``page`` with the count of all rows, ``total_count``, on every row."""
+    total = rows.agg(F.count(F.lit(1)).alias("total_count"))  # one row
+    return page(rows, number, order, size).crossJoin(F.broadcast(total))
+
+
+def newest_detections_first() -> list[Column]:
+    return [F.col("detected_at").desc(), F.col("detection_id").desc()]
+
+
 def level_top_lists(rows: DataFrame) -> DataFrame:
     """Newest rows of each level, as many as the overview shows."""
     return top_per_group(rows, "level", fixed.LEVEL_ROW_LIMITS, newest_first())

@@ -29,6 +29,7 @@ def load_all() -> None:
     from laurel.plans import (  # noqa: F401
         alerts,
         attendance,
+        coverage,
         evidence,
         records,
         serving,

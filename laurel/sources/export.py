@@ -213,6 +213,20 @@ def country_dimension(countries: DataFrame, continents: DataFrame, overrides: Da
     )
 
 
+def require_country_codes(rows: DataFrame, countries: DataFrame, name: str) -> DataFrame:
+    """``country_codes``, but an unknown name fails the job."""
+    found = country_codes(rows, countries, name)
+    unknown = F.raise_error(F.concat(F.lit("Unknown country name: "), F.coalesce(F.col(name), F.lit(""))))
+    return found.withColumn("country_code", F.when(F.col("country_code") != "", F.col("country_code")).otherwise(unknown.cast("string")))
+
+
+def with_continent(rows: DataFrame, countries: DataFrame, code: str = "country_code") -> DataFrame:
+    """Add ``continent`` of a country code; blank where the dimension does not have it."""
+    known = countries.select(F.col("country_code").alias("_code"), F.col("continent").alias("_continent")).dropDuplicates(["_code"])
+    joined = rows.join(known, F.upper(F.col(code)) == F.col("_code"), "left")
+    return joined.withColumn("continent", F.coalesce("_continent", F.lit(""))).drop("_code", "_continent")
+
+
 def country_codes(rows: DataFrame, countries: DataFrame, name: str) -> DataFrame:
     """Add ``country_code`` from a country name: known aliases first, then the dimension."""
     from laurel.functions.text import collapsed, looked_up
