@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every plan relies on; the number of shuffle partitions stays the cluster's choice.
@@ -22,7 +24,7 @@ RUNTIME_SETTINGS = {
 }
 
 
-_local_folders: dict[str, str] = {}
+_folders: dict[str, str] = {}
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -57,16 +59,41 @@ def build_session(app_name: str = "laurel", **settings: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can reach")
+    """This application's folder in the one that ``spark.checkpoint.dir`` names.
+
+    Where the setting is missing a local folder stands in, in local mode only. The folder is deleted when
+    the driver's Python ends while its session still runs, or by ``clean``; results that are read later
+    must be written elsewhere.
+    """
     application = spark.sparkContext.applicationId
-    if application not in _local_folders:
-        _local_folders[application] = tempfile.mkdtemp(prefix="laurel-")
-    return _local_folders[application]
+    if application not in _folders:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can reach")
+            base = tempfile.mkdtemp(prefix="laurel-")
+        _folders[application] = f"{base.rstrip('/')}/laurel-{application}"
+        atexit.register(_clean_at_exit, spark, application)
+    return _folders[application]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that this application has staged."""
+    folder = _folders.pop(spark.sparkContext.applicationId, None)
+    if folder:
+        delete(spark, folder)
+
+
+def _clean_at_exit(spark: SparkSession, application: str) -> None:
+    context = SparkContext._active_spark_context
+    if context is not None and context._jsc is not None and context.applicationId == application:
+        clean(spark)
 
 
 def stage(df: DataFrame) -> DataFrame:

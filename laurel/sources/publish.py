@@ -14,6 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from laurel.session import delete
+
 
 @dataclass(frozen=True)
 class Table:
@@ -48,8 +50,7 @@ def publish(spark: SparkSession, root: str, tables: dict[str, Table], metadata:
     row = metadata.select(F.lit(number).cast("long").alias("number"), F.lit(path).alias("path"), F.to_json(F.struct("*")).alias("metadata"))
     row.coalesce(1).write.mode("append").json(_list(root))
     for old in before[keep - 1 :]:
-        where = spark._jvm.org.apache.hadoop.fs.Path(old.path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        delete(spark, old.path)
     return path
 
 
