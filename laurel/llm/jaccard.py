@@ -41,6 +41,7 @@ COMMON = 1000
 BITS = 1024
 BLOCK = 512
 CHUNK_ROWS = 16_384
+MEMBER_SLOTS = 1 << 22
 _U = np.uint64
 
 
@@ -185,17 +186,35 @@ def exact(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * common >= SIMILARITY * (len(x) + len(y) - common)
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingle arrays of the documents' texts, as binary."""
+def _slot(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.uint64)) & _U(MEMBER_SLOTS - 1)).astype(np.int64)
+
+
+def _member_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for slab in slabs(batch.column("text"), lower=True):
-            h, first = sets(slab)
-            total = np.concatenate([[_U(0)], np.cumsum(h)])
-            s1 = (total[first[1:]] - total[first[:-1]]).view(np.int64)
-            part = batch.slice(slab.rows.start, slab.rows.stop - slab.rows.start)
-            part = part.append_column("hashes", pa.Array.from_buffers(pa.large_binary(), len(s1), [None, pa.py_buffer(8 * first.astype(np.int64)), pa.py_buffer(h)]).cast(pa.binary()))
-            part = part.filter(pa.array(s1 == part.column("s1").to_numpy()))
-            yield part.select(["rep", "comp", "block", "n", "hashes"])
+        yield pa.RecordBatch.from_pydict({"slot": np.unique(_slot(batch.column("rep").to_numpy()))})
+
+
+def _set_rows(slots):
+    """The shingle arrays, as binary, of the documents whose id's slot is marked."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.unpackbits(slots.value, count=MEMBER_SLOTS).astype(bool)
+        for batch in batches:
+            batch = batch.filter(pa.array(marked[_slot(batch.column("doc_id").to_numpy())]))
+            for slab in slabs(batch.column("text"), lower=True):
+                h, first = sets(slab)
+                total = np.concatenate([[_U(0)], np.cumsum(h)])
+                hashes = pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(8 * first.astype(np.int64)), pa.py_buffer(h)])
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": batch.column("doc_id")[slab.rows.start : slab.rows.stop],
+                        "s1": (total[first[1:]] - total[first[:-1]]).view(np.int64),
+                        "hashes": hashes.cast(pa.binary()),
+                    }
+                )
+
+    return build
 
 
 def _arrays(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
@@ -286,8 +305,15 @@ def similar(docs: DataFrame) -> DataFrame:
     members = staged(members, "members")
     sizes = members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     dealt = members.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
-    asked = texts.join(dealt.drop("blocks"), F.col("doc_id") == F.col("rep")).select("rep", "comp", "block", "n", "s1", "text")
-    built = staged(asked.mapInArrow(_set_rows, "rep long, comp long, block long, n long, hashes binary"), "sets")
+    # A bitmap of bounded size tells which texts may be asked for, so the other texts are not shuffled.
+    found = members.select("rep").mapInArrow(_member_slots, "slot long").distinct().toArrow().column("slot").to_numpy()
+    bits = np.zeros(MEMBER_SLOTS, bool)
+    bits[found] = True
+    slots = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    built = texts.where("doc_id IS NOT NULL").mapInArrow(_set_rows(slots), "doc_id long, s1 long, hashes binary")
+    built = built.dropDuplicates(["doc_id", "s1"]).withColumnsRenamed({"doc_id": "rep"})
+    built = built.join(dealt.drop("blocks"), ["rep", "s1"]).select("rep", "comp", "block", "n", "hashes")
+    built = staged(built, "sets")
 
     # In every block of a divided component its first class takes part as well.
     large = staged(sizes.where("blocks > 1"), "large")
