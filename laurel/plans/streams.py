@@ -12,7 +12,9 @@ from laurel.plans.catalog import query
 from laurel.plans.serving import _CHANGES, daily_snapshots
 from laurel.plans.tables import JUDGED, LEVELS, REPLAY, RES, events, results, table
 from laurel.session import shared_folder, stage
+from laurel.sources import payloads
 from laurel.streaming import frames, live, snapshot_state
+from laurel.streaming import results as stream_results
 
 _PER_ROUND = 100
 
@@ -35,13 +37,17 @@ def snapshot_diff_stream(spark, folder):
                 F.col("user_id").cast("string").alias("result_id"),
                 F.col("meaningful_hash").alias("mark"),
                 F.lit(None).cast("timestamp").alias("entered_at"),
+                F.lit("{}").alias("row"),
             )
         ).alias("rows")
     )
     days = rows.select("round_id").distinct().select(
         "round_id", F.explode(F.sequence(F.lit(span[0]), F.lit(span[1]))).alias("day")
     )
-    written = days.join(results_of, ["round_id", "day"], "left").select(
+    results_of = results_of.withColumnRenamed("rows", "_rows")
+    nobody = F.array().cast(results_of.schema["_rows"].dataType)
+    joined = days.join(results_of, ["round_id", "day"], "left").withColumn("rows", F.coalesce("_rows", nobody))
+    written = joined.select(
         "round_id",
         F.col("day").alias("seq"),
         F.lit("2024-01-01").cast("timestamp").alias("observed_at"),
@@ -204,6 +210,73 @@ def rebuild_difference(spark, folder):
     return counted.join(differing, "level", "left").select("level", "compared", F.coalesce("_d", F.lit(0)).cast("long").alias("differences"))
 
 
+# Two snapshots of every round: some results come with the second, some are corrected, removed or open
+# again in it.
+_STREAMED = (
+    RES.replace("res AS (", "res0 AS (")
+    + """,
+res AS (
+  SELECT * REPLACE (CASE WHEN canonical_id % 7 = 0 AND tm >= TIMESTAMP '1996-01-01' THEN value + 3 ELSE value END AS value) FROM res0
+  WHERE tm < TIMESTAMP '1996-01-01' OR (canonical_id % 11 <> 0 AND canonical_id % 17 <> 0))"""
+)
+_STREAMED_CELLS = f"""WITH {LEVELS.replace(RES, _STREAMED)} SELECT level, event_id, kind, scope, least(min(base), min(value)) AS value
+    FROM base FULL JOIN mem USING (level, event_id, kind, scope) GROUP BY ALL"""
+
+
+def _streamed_cells(spark, folder, first_source):
+    work = _work(spark)
+    rows = results(spark, folder)
+    cut = F.lit("1996-01-01").cast("timestamp")
+    cells = stage(baseline_cells(rows.where(F.col("at") < cut)))
+    own = F.col("canonical_id")
+    live_rows = rows.where(F.col("at") >= cut).withColumn("round_id", F.concat_ws("/", "competition_id", "round_number", "event_id"))
+    copies = live_rows.withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2)))).where((F.col("seq") == 2) | (own % 3 != 0))
+    copies = copies.where((F.col("seq") == 1) | (own % 11 != 0))
+    late = F.col("seq") == 2
+    value = F.when(late & (own % 17 == 0), 0).when(late & (own % 7 == 0), F.col("value") + 3).otherwise(F.col("value"))
+    single = F.col("kind") == "single"
+    best, average = F.when(single, value).otherwise(0), F.when(single, 0).otherwise(value)
+    if first_source:
+        row = F.struct(
+            own.cast("string").alias("id"), F.array(F.struct(value.alias("result"))).alias("attempts"), best.alias("best"), average.alias("average"),
+            F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("enteredAt"),
+            F.struct(F.col("person_id").alias("id"), F.col("person_id").alias("wcaId"), F.struct(F.col("country").alias("iso2")).alias("country")).alias("person"))
+        payload, users = F.to_json(F.struct(F.first("round_id").alias("id"), F.collect_list(row).alias("results"))), F.lit(None).cast("string")
+    else:
+        row = F.struct(own.alias("i"), F.lit(1).alias("c"), own.alias("n"), F.array(value).alias("v"), best.alias("b"), average.alias("a"))
+        user = F.struct(own.cast("string"), F.struct(F.col("person_id").alias("wcaid"), F.col("country").alias("region")))
+        payload, users = F.to_json(F.collect_list(row)), F.to_json(F.map_from_entries(F.collect_list(user)))
+    frames_ = copies.groupBy("round_id", "seq").agg(F.min("at").alias("observed_at"), payload.alias("payload"), users.alias("users"))
+    # The second snapshot of a round comes in a later file than the first.
+    written = frames_.select("round_id", F.col("seq").cast("long").alias("seq"), "observed_at", F.lit("snapshot").alias("type"), "payload", "users")
+    for seq in (1, 2):
+        written.where(F.col("seq") == seq).coalesce(1).write.mode("append").parquet(f"{work}/frames")
+    stream = spark.readStream.schema(written.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/frames")
+    parsed = payloads.first_source_frames(stream).drop("users") if first_source else payloads.second_source_frames(stream)
+    changes = snapshot_state.snapshot_changes(parsed, -1)
+    described = live_rows.select(
+        "round_id", "event_id", "round_number", "competition_id", F.lit("").alias("competition_name"), F.lit(1).alias("expected_attempts"),
+        F.lit(None).cast("int").alias("cutoff_attempts"), F.lit(None).cast("int").alias("cutoff_value")).distinct()
+    places = rows.select("country", "continent").distinct()
+    state = live.LiveTimelines(cells, no_competitions(spark), f"{work}/state", _REVISIONS, buckets=8)
+    sink = stream_results.timeline_sink(state, stage(described), stage(places))
+    running = changes.writeStream.foreachBatch(sink).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return state.cell_values(running.lastProgress["batchId"])
+
+
+@query("first_source_to_cells", _STREAMED_CELLS)
+def first_source_to_cells(spark, folder):
+    """Raw frames of the first source, through parsing, state and revisions, to record cells."""
+    return _streamed_cells(spark, folder, True)
+
+
+@query("second_source_to_cells", _STREAMED_CELLS)
+def second_source_to_cells(spark, folder):
+    """The same from compact rows with rosters."""
+    return _streamed_cells(spark, folder, False)
+
+
 @query(
     "queue_windows_stream",
     """SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_micros, max(user_id) AS queue_size FROM events GROUP BY 1""",

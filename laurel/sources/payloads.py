@@ -234,6 +234,75 @@ def compact_results(frames: DataFrame, rows: str = "payload", roster: str = "use
     )
 
 
+FRAME_ROW = (
+    "struct<result_id:string,person_id:string,person_name:string,country:string,attempts:array<bigint>,"
+    "best:bigint,average:bigint,single_tag:string,average_tag:string,entered_at:timestamp>"
+)
+FRAME_ROWS = "array<struct<result_id:string,mark:string,entered_at:timestamp,row:string>>"
+
+
+def _frame_rows(rows: Column) -> Column:
+    """Normalised result rows with a mark of their content; null stays null."""
+    return F.transform(
+        rows,
+        lambda r: F.struct(
+            r["result_id"].alias("result_id"),
+            F.sha2(F.to_json(r, {"ignoreNullFields": "false"}), 256).alias("mark"),
+            r["entered_at"].alias("entered_at"),
+            F.to_json(r).alias("row"),
+        ),
+    )
+
+
+def first_source_frames(frames: DataFrame, json: str = "payload") -> DataFrame:
+    """Raw frames of the first source with ``rows`` in place of the payload, for ``SnapshotDiff``.
+
+    Works row by row, so on streams too. A payload that is no snapshot has null rows.
+    """
+    results = F.from_json(json, ROUND_SNAPSHOT)["results"]
+    last = _last_of_each(results, lambda r: r["id"])
+    rows = F.transform(
+        last,
+        lambda r: F.struct(
+            r["id"].alias("result_id"),
+            _blank(r["person"]["wcaId"]).alias("person_id"),
+            _blank(r["person"]["name"]).alias("person_name"),
+            _blank(r["person"]["country"]["iso2"]).alias("country"),
+            F.transform(F.coalesce(r["attempts"], F.array().cast(_ATTEMPTS)), lambda a: a["result"].cast("bigint")).alias("attempts"),
+            r["best"].cast("bigint").alias("best"),
+            r["average"].cast("bigint").alias("average"),
+            F.upper(_blank(r["singleRecordTag"])).alias("single_tag"),
+            F.upper(_blank(r["averageRecordTag"])).alias("average_tag"),
+            times.strict_instant(r["enteredAt"]).alias("entered_at"),
+        ),
+    )
+    return frames.withColumn("rows", _frame_rows(rows)).drop(json)
+
+
+def second_source_frames(frames: DataFrame, json: str = "payload", roster: str = "users") -> DataFrame:
+    """The same for compact rows with a roster; the frame's time stands in for the time of entry."""
+    users = F.from_json(roster, ROSTER)
+    parsed = frames.withColumns({"_users": users, "_rows": F.from_json(json, f"array<{COMPACT_ROW}>")})
+    last = _last_of_each(F.col("_rows"), lambda r: r["i"].cast("string"))
+
+    def normal(r: Column) -> Column:
+        user = F.try_element_at(F.col("_users"), r["n"].cast("string"))
+        return F.struct(
+            r["i"].cast("string").alias("result_id"),
+            F.upper(_blank(user["wcaid"])).alias("person_id"),
+            _blank(user["name"]).alias("person_name"),
+            _blank(user["region"]).alias("country"),
+            F.coalesce(r["v"], F.array().cast("array<bigint>")).alias("attempts"),
+            r["b"].alias("best"),
+            r["a"].alias("average"),
+            record_tag(r["sr"]).alias("single_tag"),
+            record_tag(r["ar"]).alias("average_tag"),
+            F.lit(None).cast("timestamp").alias("entered_at"),
+        )
+
+    return parsed.withColumn("rows", _frame_rows(F.transform(last, normal))).drop("_users", "_rows", json, roster)
+
+
 def record_benchmarks(payloads: DataFrame, json: str = "payload") -> DataFrame:
     """Official records as long (level, event, kind, region, value) rows.
 

@@ -1,7 +1,7 @@
 """Stateful diff of full round snapshots and single-row updates.
 
-State lives per round: the content mark of each result and whether the round was seen before. The
-state store spills to disk, and rounds spread over the cluster by key.
+State lives per round: the content mark of each result and the row itself, so a change carries what was
+before. The state store spills to disk, and rounds spread over the cluster by key.
 """
 
 from __future__ import annotations
@@ -14,57 +14,61 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from laurel.session import tune
 
-OUTPUT = "round_id string, seq bigint, result_id string, change string, mark string, evaluate boolean"
+OUTPUT = (
+    "round_id string, seq bigint, observed_at timestamp, result_id string, change string, mark string, evaluate boolean, "
+    "row string, before string"
+)
 
 
 class SnapshotDiff(StatefulProcessor):
-    """Rows in: ``round_id, seq, observed_at, type, rows`` (``rows``: result_id, mark, entered_at).
+    """Rows in: ``round_id, seq, observed_at, type, rows`` (``rows``: result_id, mark, entered_at, row).
 
-    ``type`` is ``snapshot`` (all results of the round) or ``update`` (one changed result). On the
-    first snapshot only results entered within the catch-up time are marked for evaluation; with a
-    negative catch-up all are. A ``retire`` message forgets the round.
+    ``type`` is ``snapshot`` (all results of the round) or ``update`` (changed results). A snapshot is the
+    first while no row of the round is stored: then only results entered within the catch-up time are
+    marked for evaluation; with a negative catch-up all are. Frames without rows (null, a payload that
+    could not be read) are rejected and change nothing. A ``retire`` message forgets the round.
     """
 
     def __init__(self, catchup_minutes: int) -> None:
         self.catchup = pd.Timedelta(minutes=max(catchup_minutes, 0)) if catchup_minutes >= 0 else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.marks = handle.getMapState("marks", "result_id string", "mark string")
-        self.seen = handle.getValueState("seen", "seen boolean")
+        self.known = handle.getMapState("known", "result_id string", "mark string, row string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # A micro-batch's frames of a round must be put in order; the source's batch size bounds them.
         frames = pd.concat(list(rows)).sort_values("seq")
         for frame in frames.itertuples(index=False):
             changes = self._apply(frame)
             if changes:
-                out = pd.DataFrame(changes, columns=["result_id", "change", "mark", "evaluate"])
+                out = pd.DataFrame(changes, columns=["result_id", "change", "mark", "evaluate", "row", "before"])
+                out.insert(0, "observed_at", frame.observed_at)
                 out.insert(0, "seq", frame.seq)
                 out.insert(0, "round_id", key[0])
                 yield out
 
     def _apply(self, frame) -> list[tuple]:
         if frame.type == "retire":
-            self.marks.clear()
-            self.seen.clear()
+            self.known.clear()
             return []
-        given = {r["result_id"]: r for r in (frame.rows if frame.rows is not None else [])}
-        first = frame.type == "snapshot" and not self.seen.exists()
+        if frame.rows is None:
+            return [(None, "rejected", None, False, None, None)]
+        given = {r["result_id"]: r for r in frame.rows}
+        first = frame.type == "snapshot" and next(iter(self.known.keys()), None) is None
         changes = []
         for result_id, row in given.items():
             state_key = (result_id,)
-            old = self.marks.getValue(state_key)[0] if self.marks.containsKey(state_key) else None
-            if old == row["mark"]:
+            old = self.known.getValue(state_key) if self.known.containsKey(state_key) else None
+            if old is not None and old[0] == row["mark"]:
                 continue
-            changes.append(
-                (result_id, "addition" if old is None else "change", row["mark"], self._due(first, row, frame))
-            )
-            self.marks.updateValue(state_key, (row["mark"],))
+            change = "addition" if old is None else "change"
+            changes.append((result_id, change, row["mark"], self._due(first, row, frame), row["row"], old and old[1]))
+            self.known.updateValue(state_key, (row["mark"], row["row"]))
         if frame.type == "snapshot":
-            gone = [k[0] for k in self.marks.keys() if k[0] not in given]
-            for result_id in gone:
-                self.marks.removeKey((result_id,))
-                changes.append((result_id, "removal", None, True))
-            self.seen.update((True,))
+            for result_id in [k[0] for k in self.known.keys() if k[0] not in given]:
+                before = self.known.getValue((result_id,))[1]
+                self.known.removeKey((result_id,))
+                changes.append((result_id, "removal", None, True, None, before))
         return changes
 
     def _due(self, first: bool, row, frame) -> bool:

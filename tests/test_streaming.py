@@ -6,7 +6,7 @@ from laurel.operators import alerts, rounds
 from laurel.streaming import frames, snapshot_state
 
 START = datetime(2026, 8, 8, 10)
-FRAME = "round_id string, seq long, observed_at timestamp, type string, rows array<struct<result_id:string,mark:string,entered_at:timestamp>>"
+FRAME = "round_id string, seq long, observed_at timestamp, type string, rows array<struct<result_id:string,mark:string,entered_at:timestamp,row:string>>"
 
 
 def changes(spark, tmp_path, batches, catchup):
@@ -16,27 +16,38 @@ def changes(spark, tmp_path, batches, catchup):
         stream = spark.readStream.schema(FRAME).parquet(str(source))
         frames.run_to_parquet(snapshot_state.snapshot_changes(stream, catchup), str(tmp_path / "out"), str(tmp_path / "check"))
     rows = spark.read.schema(snapshot_state.OUTPUT).parquet(str(tmp_path / "out")).collect()
-    return sorted((r.round_id, r.seq, r.result_id, r.change, r.evaluate) for r in rows)
+    return sorted(((r.round_id, r.seq, r.result_id, r.change, r.evaluate) for r in rows), key=repr)
 
 
 def test_snapshots_updates_and_restart(spark, tmp_path):
     old, new = START - timedelta(hours=3), START - timedelta(minutes=5)
-    first = [("r", 1, START, "snapshot", [("a", "1", old), ("b", "1", new)]), ("q", 1, START, "snapshot", [])]
+    row = lambda name, mark, at: (name, mark, at, name + mark)
+    first = [("r", 1, START, "snapshot", [row("a", "1", old), row("b", "1", new)]), ("q", 1, START, "snapshot", [])]
     second = [
-        ("r", 2, START, "snapshot", [("b", "1", new), ("a", "1", old)]),
-        ("r", 3, START, "update", [("a", "2", old)]),
-        ("r", 4, START, "snapshot", [("a", "2", old), ("c", "1", new)]),
-        ("r", 5, START, "snapshot", []),
+        ("r", 2, START, "snapshot", [row("b", "1", new), row("a", "1", old)]),
+        ("r", 3, START, "update", [row("a", "2", old)]),
+        ("r", 4, START, "snapshot", [row("a", "2", old), row("c", "1", new)]),
+        ("r", 5, START, "snapshot", None),  # cannot be read: nothing is removed
+        ("r", 6, START, "snapshot", []),
+        ("q", 2, START, "snapshot", [row("z", "1", old)]),  # an empty snapshot does not end the catch-up
+        ("p", 1, START, "update", [row("x", "1", old)]),  # after an update a snapshot is not the first
+        ("p", 2, START, "snapshot", [row("x", "1", old), row("y", "1", old)]),
     ]
-    assert changes(spark, tmp_path, [first, second], 60) == [
+    found = changes(spark, tmp_path, [first, second], 60)
+    assert [f for f in found if f[0] != "r"] == [
+        ("p", 1, "x", "addition", True), ("p", 2, "y", "addition", True), ("q", 2, "z", "addition", False)]
+    assert [f for f in found if f[0] == "r" and f[3] != "rejected"] == [
         ("r", 1, "a", "addition", False),
         ("r", 1, "b", "addition", True),
         ("r", 3, "a", "change", True),
         ("r", 4, "b", "removal", True),
         ("r", 4, "c", "addition", True),
-        ("r", 5, "a", "removal", True),
-        ("r", 5, "c", "removal", True),
+        ("r", 6, "a", "removal", True),
+        ("r", 6, "c", "removal", True),
     ]
+    assert [f[1] for f in found if f[3] == "rejected"] == [5]
+    stored = spark.read.schema(snapshot_state.OUTPUT).parquet(str(tmp_path / "out")).where("round_id = 'r' AND result_id = 'a'")
+    assert sorted((r.seq, r.before, r.row) for r in stored.collect()) == [(1, None, "a1"), (3, "a1", "a2"), (6, "a2", None)]
 
 
 def test_live_timelines_follow_corrections(spark, tmp_path):
