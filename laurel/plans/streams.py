@@ -247,8 +247,13 @@ def _streamed_cells(spark, folder, first_source):
         user = F.struct(own.cast("string"), F.struct(F.col("person_id").alias("wcaid"), F.col("country").alias("region")))
         payload, users = F.to_json(F.collect_list(row)), F.to_json(F.map_from_entries(F.collect_list(user)))
     frames_ = copies.groupBy("round_id", "seq").agg(F.min("at").alias("observed_at"), payload.alias("payload"), users.alias("users"))
-    # The second snapshot of a round comes in a later file than the first.
-    written = frames_.select("round_id", F.col("seq").cast("long").alias("seq"), "observed_at", F.lit("snapshot").alias("type"), "payload", "users")
+    # Every round has both snapshots, an empty one where no result is left; the second comes in a later file.
+    held = live_rows.groupBy("round_id").agg(F.min("at").alias("_at")).withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2))))
+    nobody = F.lit('{"results":[]}' if first_source else "[]")
+    written = held.join(frames_, ["round_id", "seq"], "left").select(
+        "round_id", F.col("seq").cast("long").alias("seq"), F.coalesce("observed_at", "_at").alias("observed_at"),
+        F.lit("snapshot").alias("type"), F.coalesce("payload", nobody).alias("payload"), F.coalesce("users", F.lit("{}")).alias("users"),
+    )
     for seq in (1, 2):
         written.where(F.col("seq") == seq).coalesce(1).write.mode("append").parquet(f"{work}/frames")
     stream = spark.readStream.schema(written.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/frames")
