@@ -22,5 +22,6 @@ SQL = {
     "op4_decontamination": decontamination.ORACLE,
     "op5_near_vectors": sql_forms.NEAR_VECTORS,
     "op7_jaccard": sql_forms.JACCARD,
+    "op8_secrets": sql_forms.SECRETS,
     "op10_substrings": sql_forms.SUBSTRINGS,
 }

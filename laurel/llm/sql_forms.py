@@ -43,3 +43,42 @@ SELECT w.doc_id, CAST(any_value(len(w.w)) AS BIGINT) AS n_words, CAST(count(*) F
        sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM w LEFT JOIN m ON m.doc_id = w.doc_id GROUP BY w.doc_id
 """
+
+_ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_PLACES = "[list_sum([length(x) FOR x IN gaps[1:i]]) + coalesce(list_sum([length(x) FOR x IN hits[1:i - 1]]), 0) FOR i IN range(1, len(hits) + 1)]"
+
+
+def _found(kind: int, pattern: str) -> str:
+    return f"""SELECT doc_id, {kind} AS kind, unnest(hits) AS hit, unnest({_PLACES}) AS start FROM (
+      SELECT doc_id, regexp_extract_all(t, '{pattern}') AS hits, string_split_regex(t, '{pattern}') AS gaps FROM d WHERE regexp_matches(t, '{pattern}'))"""
+
+
+SECRETS = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (
+  {_found(0, _ASSIGN)} UNION ALL {_found(1, "AKIA[A-Z0-9]+")} UNION ALL {_found(2, "[0-9a-f]+")} UNION ALL {_found(3, "[A-Za-z0-9+/_=-]{20,}")}),
+base AS (
+  SELECT doc_id, kind, CAST(start AS BIGINT) AS a, CAST(start + length(hit) AS BIGINT) AS b FROM m
+  WHERE CASE kind WHEN 0 THEN length(regexp_extract(hit, '{_ASSIGN}', 2)) >= 8 WHEN 1 THEN length(hit) >= 16 WHEN 2 THEN length(hit) >= 32 ELSE false END),
+cand AS (
+  SELECT doc_id, hit, start, CASE WHEN regexp_full_match(hit, '[0-9a-f]+|[0-9A-F]+') THEN 3 ELSE 4 END AS kind FROM m
+  WHERE kind = 3 AND regexp_matches(hit, '[0-9]')
+    AND CASE WHEN regexp_full_match(hit, '[0-9a-f]+|[0-9A-F]+') THEN regexp_matches(hit, '[A-Fa-f]') ELSE regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[A-Z]') END
+    AND NOT regexp_matches(hit, '(?i)example|sample|placeholder|dummy|changeme|your[_-]|abcdefghij')
+    AND NOT regexp_matches(hit, '^[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}$|^sha(256|384|512)-|0123456789')),
+w AS (SELECT *, unnest(range(0, length(hit) - 19)) AS j FROM cand),
+c AS (SELECT doc_id, hit, start, kind, j, unnest(string_split(substr(hit, j + 1, 20), '')) AS ch FROM w),
+n AS (SELECT doc_id, hit, start, kind, j, ch, count(*) AS n FROM c GROUP BY ALL),
+h AS (SELECT doc_id, hit, start, kind, j, sum(round(n * log2(n) * 1048576)) AS s FROM n GROUP BY ALL),
+hot AS (
+  SELECT doc_id, kind, CAST(start + min(j) AS BIGINT) AS a, CAST(start + max(j) + 20 AS BIGINT) AS b FROM h
+  WHERE s <= floor((log2(20) - CASE kind WHEN 3 THEN 3.0 ELSE 3.7 END) * 20 * 1048576) GROUP BY doc_id, hit, start, kind),
+more AS (
+  SELECT * FROM hot WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = hot.doc_id AND base.a <= hot.a AND hot.b <= base.b)),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM more),
+named AS (SELECT *, ['assign', 'access', 'hex', 'entropy_hex', 'entropy_base64'][kind + 1] || ':' || a || ':' || b AS name FROM every)
+SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  sha256(coalesce(string_agg(name, ',' ORDER BY a, kind) FILTER (kind < 3), '')) AS base_sha256,
+  coalesce(string_agg(name, ',' ORDER BY a, kind), '') AS spans
+FROM d LEFT JOIN named ON named.doc_id = d.doc_id GROUP BY d.doc_id
+"""
