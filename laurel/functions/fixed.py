@@ -55,7 +55,6 @@ EVENT_SHORT_NAMES = {
     "mmagic": "Master Magic",
 }
 
-_RETIRED = ("dead events", "removed", "retired", "discontinued", "former")
 EVENT_SEARCH_TERMS = {
     "222": ("small cubes", "nxnxn"),
     "333": ("small cubes", "nxnxn"),
@@ -74,10 +73,10 @@ EVENT_SEARCH_TERMS = {
     "pyram": ("side events",),
     "skewb": ("side events",),
     "sq1": ("side events",),
-    "333ft": _RETIRED,
-    "magic": _RETIRED,
-    "mmagic": _RETIRED,
-    "333mbo": ("blindfolded", "bld", *_RETIRED),
+    "333ft": ("dead events", "removed", "retired", "discontinued", "former"),
+    "magic": ("dead events", "removed", "retired", "discontinued", "former"),
+    "mmagic": ("dead events", "removed", "retired", "discontinued", "former"),
+    "333mbo": ("blindfolded", "bld", "dead events", "removed", "retired", "discontinued", "former"),
 }
 
 CONTINENTS = ("Africa", "Asia", "Europe", "North America", "South America", "Oceania")

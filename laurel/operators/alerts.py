@@ -111,15 +111,23 @@ def eligible_endpoints(endpoints: DataFrame, preferences: DataFrame) -> DataFram
     )
 
 
+RECIPIENTS_PER_CUT = 50_000
+
+
 def fan_out(alerts: DataFrame, recipients: DataFrame, existing: DataFrame) -> DataFrame:
     """New deliveries: recipients active by the time of the alert and not yet served.
 
     Both sides are cut by a salt of the recipient, so the few alert types do not decide the
-    parallelism: alerts (few) are repeated per salt, recipients (many) are split.
+    parallelism: a type with many recipients has many cuts, over which its recipients are split and
+    its alerts are repeated.
     """
-    cuts = 64
-    many = recipients.withColumn("_cut", F.pmod(F.xxhash64("endpoint_id"), F.lit(cuts)).cast("int"))
-    few = alerts.withColumn("_cut", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))))
+    cuts = recipients.groupBy("alert_type").agg(
+        (F.floor(F.count(F.lit(1)) / RECIPIENTS_PER_CUT) + 1).alias("_cuts")
+    )
+    many = attach_lookup(recipients, cuts, ["alert_type"])
+    many = many.withColumn("_cut", F.pmod(F.xxhash64("endpoint_id"), "_cuts")).drop("_cuts")
+    few = alerts.join(cuts, "alert_type")
+    few = few.withColumn("_cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cuts") - 1))).drop("_cuts")
     pairs = few.join(many, ["alert_type", "_cut"]).where(
         F.col("activated_at") <= F.col("created_at")
     )

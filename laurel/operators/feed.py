@@ -109,6 +109,20 @@ def page(rows: DataFrame, number: int, order: list[Column], size: int = fixed.PA
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def page_after(rows: DataFrame, last: dict | None, size: int = fixed.PAGE_SIZE) -> DataFrame:
+    """The newest rows after ``last`` (at, canonical_id and level of the last row shown; None: the first page).
+
+    Every task keeps one page's rows, however deep the page; ``page`` keeps all pages before it too.
+    """
+    if last is not None:
+        shown = fixed.LEVELS.index(last["level"])
+        rank, at = level_rank(), F.lit(last["at"])
+        same = F.col("at") == at
+        same_result = same & (F.col("canonical_id") == last["canonical_id"])
+        rows = rows.where((F.col("at") < at) | (same & (F.col("canonical_id") < last["canonical_id"])) | (same_result & (rank < shown)))
+    return rows.orderBy(*newest_first()).limit(size)
+
+
 def page_with_total(rows: DataFrame, number: int, order: list[Column], size: int = fixed.PAGE_SIZE) -> DataFrame:
     """``page`` with the count of all rows, ``total_count``, on every row."""
     total = rows.agg(F.count(F.lit(1)).alias("total_count"))  # one row

@@ -66,13 +66,14 @@ def global_rank(
 ) -> DataFrame:
     """1-based position in one global order without a single-task sort.
 
-    Rows are range-partitioned and staged, so partition numbers are fixed; each partition is
+    Rows are staged (their ranges are sampled first, which must not make them twice), then
+    range-partitioned and staged again, so partition numbers are fixed; each partition is
     numbered on its own and shifted by the rows of the partitions before it (a table with one
     row per partition). ``order`` must be unique.
     """
     count = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = stage(
-        df.repartitionByRange(count, *order).withColumn("_part", F.spark_partition_id())
+        stage(df).repartitionByRange(count, *order).withColumn("_part", F.spark_partition_id())
     )
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -117,6 +117,20 @@ def feed_page(spark, folder):
     )
 
 
+@query(
+    "feed_page_after",
+    f"""WITH {_FEED} SELECT canonical_id, level, value FROM ok WHERE recognition = 'recognized' AND verified
+    ORDER BY tm DESC, canonical_id DESC, rk DESC LIMIT 50 OFFSET 50""",
+)
+def feed_page_after(spark, folder):
+    """The second page, asked for by the last row of the first."""
+    rows = stage(_feed_rows(spark, folder).select("at", "canonical_id", "level", "value"))
+    shown = feed.page_after(rows, None).collect()  # one page
+    if not shown:
+        return rows.select("canonical_id", "level", "value")
+    return feed.page_after(rows, shown[-1].asDict()).select("canonical_id", "level", "value")
+
+
 @query(
     "feed_search",
     """SELECT p_partkey, p_name, p_brand FROM part

@@ -13,18 +13,18 @@ def one(spark, column):
 @pytest.mark.parametrize(
     ("event", "kind", "value", "shown"),
     [
-        ("333", "single", 326, "3.26"),
+        ("444", "single", 1187, "11.87"),
         ("333", "single", -1, "DNF"),
         ("333", "single", -2, "DNS"),
         ("333", "single", -3, "Invalid"),
         ("333", "single", 0, ""),
-        ("333", "single", 6005, "1:00.05"),
-        ("333mbf", "single", 910360002, "10/12 1:00:00"),
-        ("333mbf", "single", 919999902, "10/12"),
-        ("333fm", "single", 25, "25"),
-        ("333fm", "average", 2533, "25.33"),
-        ("333fm", "average", 2530, "25.3"),
-        ("333fm", "average", 2500, "25.0"),
+        ("555", "single", 7215, "1:12.15"),
+        ("333mbf", "single", 940271003, "8/11 45:10"),
+        ("333mbf", "single", 929999900, "7/7"),
+        ("333fm", "single", 31, "31"),
+        ("333fm", "average", 2867, "28.67"),
+        ("333fm", "average", 2740, "27.4"),
+        ("333fm", "average", 3100, "31.0"),
     ],
 )
 def test_display_text(spark, event, kind, value, shown):
@@ -32,11 +32,11 @@ def test_display_text(spark, event, kind, value, shown):
 
 
 def test_order_of_values(spark):
-    rows = spark.createDataFrame([(v,) for v in (None, -1, 326, 325, 0)], "v long")
+    rows = spark.createDataFrame([(v,) for v in (None, -1, 742, 741, 0)], "v long")
     ordered = rows.orderBy(values.comparison_key("v"), F.desc_nulls_last("v")).collect()
-    assert [r.v for r in ordered] == [325, 326, 0, -1, None]
-    assert one(spark, values.is_better(F.lit(326), F.lit(-1)))
-    assert not one(spark, values.is_better(F.lit(-1), F.lit(326)))
+    assert [r.v for r in ordered] == [741, 742, 0, -1, None]
+    assert one(spark, values.is_better(F.lit(742), F.lit(-1)))
+    assert not one(spark, values.is_better(F.lit(-1), F.lit(742)))
 
 
 @pytest.mark.parametrize(
