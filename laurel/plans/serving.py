@@ -370,7 +370,7 @@ def detection_matches(spark, folder):
     FROM (SELECT *, min(first_at) OVER (PARTITION BY comparison_key) AS e FROM f) GROUP BY ALL""",
 )
 def comparison_documents(spark, folder):
-    rows = compare.comparison(_detections(spark, folder))
+    rows = compare.comparison_by_key(_detections(spark, folder))
     return rows.select(
         "comparison_key",
         "matched",

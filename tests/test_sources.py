@@ -210,4 +210,9 @@ def test_country_codes(spark, tmp_path):
     places = export.country_dimension(tables["countries"], tables["continents"])
     rows = spark.createDataFrame([(" Chinese  Taipei ",), ("japan",), ("Elsewhere",)], "region string")
     assert [r.country_code for r in export.country_codes(rows, places, "region").collect()] == ["TW", "JP", ""]
+    with pytest.raises(Exception, match="Unknown country name: Elsewhere"):
+        export.require_country_codes(rows, places, "region").collect()
+    known = rows.where("region <> 'Elsewhere'")
+    assert [r.country_code for r in export.require_country_codes(known, places, "region").collect()] == ["TW", "JP"]
+    assert [r.continent for r in export.with_continent(spark.createDataFrame([("jp",), ("XX",)], "country_code string"), places).collect()] == ["Asia", ""]
     assert len(fixed.AVERAGE_EVENTS) == 19 and len(fixed.SINGLE_EVENTS) == 21
