@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from laurel.functions import finalize, fixed, keys, status, text, times, values
-from laurel.operators import attendance, detections, evidence, feed, grouping, health, snapshots, zones
+from laurel.operators import attendance, benchmarks, detections, evidence, feed, grouping, health, rounds, snapshots, upkeep, zones
 from laurel.plans.catalog import query
 from laurel.plans.serving import _CHANGES, _CLAIMS, _claims, daily_snapshots
 from laurel.plans.tables import RES, events, results, table, tune
@@ -112,7 +112,7 @@ def _competitions(spark, folder):
     venue = lambda name, zone: F.struct(F.lit(name).alias("name"), F.lit(zone).alias("timezone"), F.struct(F.lit("JP").alias("iso2")).alias("country"))
     event = F.array_distinct(F.transform("found", lambda f: f["event_id"]))
 
-    def rounds(name):
+    def held_rounds(name):
         own = F.filter("found", lambda f: f["event_id"] == name)
         return F.transform(own, lambda f: F.struct(
             F.concat_ws("-", F.lit("r"), name, f["round_number"]).alias("id"), f["round_number"].alias("number"),
@@ -122,7 +122,7 @@ def _competitions(spark, folder):
         F.col("competition_id").alias("id"), F.col("competition_id").alias("wcaId"), F.lit("Open").alias("name"),
         F.lit("2026-08-08").alias("startDate"), F.lit("2026-08-09").alias("endDate"),
         F.array(venue("a", "Asia/Tokyo"), venue("b", "Asia/Seoul")).alias("venues"),
-        F.transform(event, lambda e: F.struct(F.struct(e.alias("id"), e.alias("name")).alias("event"), rounds(e).alias("rounds"))).alias("competitionEvents"),
+        F.transform(event, lambda e: F.struct(F.struct(e.alias("id"), e.alias("name")).alias("event"), held_rounds(e).alias("rounds"))).alias("competitionEvents"),
     )
     # Round 1 is held at the first venue, round 2 at the second, round 3 at both, three activities deep.
     activity = lambda f: F.struct(F.lit("other").alias("activityCode"), F.array(F.struct(F.lit("misc").alias("activityCode"), F.array(F.struct(
@@ -343,3 +343,174 @@ def benchmark_first_last(spark, folder):
     first = grouping.first_per_key(rows, ["payload_hash"], ["event_id"]).withColumnRenamed("event_id", "first_seen")
     last = grouping.latest_per_key(rows, ["payload_hash"], ["event_id"]).withColumnRenamed("event_id", "last_seen")
     return first.join(last, "payload_hash")
+
+
+@query(
+    "snapshots_by_content",
+    """SELECT event_type AS payload_hash, epoch_us(min(ts)) AS first_micros, epoch_us(max(ts)) AS last_micros, min(event_id) AS snapshot_id FROM events GROUP BY ALL""",
+)
+def snapshots_by_content(spark, folder):
+    rows = events(spark, folder).select(F.col("event_type").alias("payload_hash"), F.col("ts").alias("fetched_at"), F.col("event_id").alias("snapshot_id"))
+    found = benchmarks.distinct_snapshots(rows)
+    return found.select("payload_hash", F.unix_micros("first_fetched_at").alias("first_micros"), F.unix_micros("last_fetched_at").alias("last_micros"), "snapshot_id")
+
+
+@query(
+    "latest_snapshot_rows",
+    """WITH s AS (SELECT event_id, date_trunc('day', ts) AS d, user_id % 5 AS n FROM events)
+    SELECT event_id FROM s WHERE (d, n) = (SELECT (d, n) FROM s ORDER BY d DESC, n DESC LIMIT 1)""",
+)
+def latest_snapshot_rows(spark, folder):
+    """Rows of the last snapshot of the last day."""
+    rows = events(spark, folder).select("event_id", F.date_trunc("day", "ts").alias("fetched_at"), (F.col("user_id") % 5).alias("snapshot_id"))
+    return benchmarks.latest_snapshot(rows).select("event_id")
+
+
+@query(
+    "weakest_benchmarks",
+    f"""WITH {RES}, b AS (SELECT 'WR' AS level, '' AS region, event_id, kind, min(value) AS value FROM res GROUP BY ALL
+      UNION ALL SELECT 'CR', '_' || continent, event_id, kind, min(value) FROM res GROUP BY ALL
+      UNION ALL SELECT 'NR', country, event_id, kind, min(value) FROM res WHERE canonical_id % 2 = 0 GROUP BY ALL),
+    p AS (SELECT n_nationkey AS code, CASE WHEN n_nationkey % 3 <> 0 THEN n_name END AS name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)
+    SELECT event_id, kind, 'N' || code AS country_code, max(value) AS value FROM p JOIN b
+      ON level = 'WR' OR (level = 'CR' AND region = '_' || r_name) OR (level = 'NR' AND region = name) GROUP BY ALL""",
+)
+def weakest_benchmarks(spark, folder):
+    """The easiest benchmark of each country; some countries have no name in the records list."""
+    rows = results(spark, folder)
+
+    def best(level, region, of=rows):
+        return of.groupBy("event_id", "kind", region.alias("region")).agg(F.min("value").alias("value")).withColumn("level", F.lit(level))
+
+    national = best("NR", F.col("country"), rows.where("canonical_id % 2 = 0"))
+    listed = best("WR", F.lit("")).unionByName(best("CR", F.concat(F.lit("_"), "continent"))).unionByName(national)
+    places = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.concat(F.lit("N"), "n_nationkey").alias("country_code"), F.col("r_name").alias("continent"),
+        F.when(F.col("n_nationkey") % 3 != 0, F.col("n_name")).alias("records_name"))
+    return benchmarks.weakest_per_country(listed, places)
+
+
+@query(
+    "evidence_flags",
+    f"""WITH o AS (SELECT l_orderkey, l_linenumber AS value, bool_or(l_suppkey % 2 = 0) AS second, bool_or(l_partkey % 3 = 0) AS trusted
+      FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL)
+    SELECT o_orderkey AS canonical_id, coalesce(second, false) AND o_orderkey % 7 > 0 AS checked, coalesce(trusted, false) AS trusted
+    FROM orders LEFT JOIN o ON l_orderkey = o_orderkey AND value = o_orderkey % 7""",
+)
+def evidence_flags(spark, folder):
+    """Order numbers as values, lines as observations of them by two sources and methods."""
+    heads = table(spark, folder, "orders").select(F.col("o_orderkey").alias("canonical_id"), (F.col("o_orderkey") % 7).alias("value"))
+    seen = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("canonical_id"), F.col("l_linenumber").cast("long").alias("value"),
+        F.when(F.col("l_returnflag") == "R", "retracted").otherwise("active").alias("status"),
+        F.when(F.col("l_suppkey") % 2 == 0, fixed.SECOND_SOURCE).otherwise("other").alias("source"),
+        F.when(F.col("l_partkey") % 3 == 0, fixed.POLLED).otherwise(fixed.SOCKET).alias("method"))
+    return benchmarks.evidence_flags(heads, seen).select("canonical_id", "checked", "trusted")
+
+
+@query(
+    "unlinked_frames",
+    """SELECT event_id, CASE WHEN ts >= TIMESTAMP '2024-01-20' - INTERVAL 5 DAY THEN event_id END AS raw_id FROM events""",
+)
+def unlinked_frames(spark, folder):
+    """Observations keep their row when retention drops the raw frame."""
+    rows = events(spark, folder)
+    kept = upkeep.expire_frames(rows.select(F.col("event_id").alias("frame_id"), F.col("ts").alias("observed_at")), 5, F.lit("2024-01-20").cast("timestamp"))
+    return upkeep.unlink_expired(rows.select("event_id", F.col("event_id").alias("raw_id")), kept).select("event_id", "raw_id")
+
+
+@query(
+    "first_revision_actions",
+    """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'retracted' WHEN 'P' THEN 'corrected' ELSE 'active' END AS action FROM orders""",
+)
+def first_revision_actions(spark, folder):
+    state = F.when(F.col("o_orderstatus") == "F", "retracted").when(F.col("o_orderstatus") == "P", "corrected").otherwise("pending")
+    return upkeep.first_revisions(table(spark, folder, "orders").select("o_orderkey", state.alias("status"))).select("o_orderkey", "action")
+
+
+@query(
+    "rounds_rediscovered",
+    """WITH e AS (SELECT o_custkey % 50 AS slug, o_orderpriority AS event_id, o_orderkey AS round_id, o_orderkey % 4 <> 0 AS active FROM orders WHERE o_orderkey % 3 <> 0),
+    f AS (SELECT o_custkey % 50 AS slug, o_orderpriority AS event_id, o_orderkey AS round_id FROM orders WHERE o_orderkey % 5 = 0 AND o_custkey % 50 < 20),
+    l AS (SELECT DISTINCT slug, true AS listed FROM f)
+    SELECT slug, event_id, round_id, CASE WHEN f.round_id IS NOT NULL THEN true WHEN listed THEN false ELSE e.active END AS active
+    FROM e FULL JOIN f USING (slug, event_id, round_id) LEFT JOIN l USING (slug)""",
+)
+def rounds_rediscovered(spark, folder):
+    rows = table(spark, folder, "orders").select(
+        (F.col("o_custkey") % 50).alias("slug"), F.col("o_orderpriority").alias("event_id"), F.col("o_orderkey").alias("round_id"))
+    existing = rows.where("round_id % 3 <> 0").withColumn("active", F.col("round_id") % 4 != 0)
+    return rounds.retire_missing_rounds(existing, rows.where("round_id % 5 = 0 AND slug < 20")).select("slug", "event_id", "round_id", "active")
+
+
+@query(
+    "targets_discovered",
+    """WITH o AS (SELECT o_orderkey AS slug, CAST(o_orderdate AS DATE) AS d FROM orders),
+    e AS (SELECT slug, slug + 1000000 AS live_id, d AS end_date FROM o WHERE slug % 2 = 0),
+    f AS (SELECT slug, CASE WHEN slug % 5 <> 0 THEN slug + 2000000 END AS live_id, d + 1 AS end_date, slug % 7 <> 0 AS ok FROM o WHERE slug % 3 = 0),
+    j AS (SELECT coalesce(e.slug, f.slug) AS slug, e.slug IS NOT NULL AS known, f.slug IS NOT NULL AS listed, coalesce(ok, false) AS ok, e.live_id AS old_id, f.live_id AS new_id,
+      CASE WHEN coalesce(ok, false) THEN f.end_date ELSE e.end_date END AS fin, f.end_date AS fend FROM e FULL JOIN f ON e.slug = f.slug),
+    c AS (SELECT *, ok AND new_id IS NOT NULL AS ready, TIMESTAMP '1998-06-01' <= CAST(fin + 1 AS TIMESTAMP) + INTERVAL 12 HOUR AS due FROM j WHERE known OR ok),
+    a AS (SELECT *, known OR ok AS act FROM c)
+    SELECT slug, CASE WHEN ready THEN new_id ELSE old_id END AS live_id,
+      CASE WHEN act AND (NOT listed OR NOT due) THEN 'retired' WHEN ready THEN CASE WHEN due THEN 'active' ELSE 'pending' END WHEN known THEN 'active' ELSE 'pending' END AS status,
+      act AND NOT (NOT listed OR NOT due) AS active FROM a""",
+)
+def targets_discovered(spark, folder):
+    """Orders as known and listed targets: some not listed, not ready or not verified."""
+    rows = table(spark, folder, "orders").select(F.col("o_orderkey").alias("slug"), F.col("o_orderdate").cast("date").alias("d"))
+    text_ = lambda name: F.lit("").alias(name)
+    existing = rows.where("slug % 2 = 0").select(
+        "slug", (F.col("slug") + 1_000_000).alias("live_id"), text_("official_id"), text_("name"), F.col("d").alias("start_date"),
+        F.col("d").alias("end_date"), F.lit("active").alias("status"), F.lit(True).alias("active"), text_("last_error"))
+    found = rows.where("slug % 3 = 0").select(
+        "slug", F.when(F.col("slug") % 5 != 0, F.col("slug") + 2_000_000).alias("live_id"), text_("official_id"), text_("name"),
+        F.col("d").alias("start_date"), F.date_add("d", 1).alias("end_date"), text_("error"), (F.col("slug") % 7 != 0).alias("detail_verified"))
+    merged = rounds.merge_discovery(existing, found, F.lit("1998-06-01").cast("timestamp"))
+    return merged.select("slug", "live_id", "status", "active")
+
+
+@query(
+    "detections_described",
+    f"""WITH {_CLAIMS}, d AS (SELECT user_id, level, arg_max(value, seq) AS value FROM cl WHERE level <> '' GROUP BY ALL)
+    SELECT user_id, level, CASE WHEN user_id % 2 = 0 THEN 'wca|OPEN|P' || user_id || '|333|1|single|' ELSE 'stream:R' || user_id || '|single|' END || level AS comparison_key,
+      CASE WHEN value < 100 THEN '0.' || lpad(CAST(value AS VARCHAR), 2, '0') ELSE (value // 100) || '.' || lpad(CAST(value % 100 AS VARCHAR), 2, '0') END AS formatted FROM d""",
+)
+def detections_described(spark, folder):
+    """Detections with the key and text of their result; odd users have no competition."""
+    found = detections.detections(_claims(spark, folder)).withColumn("stable_identity", F.col("stable_identity").cast("string"))
+    own = F.col("stable_identity")
+    candidates = events(spark, folder).select(F.col("user_id").cast("string").alias("stable_identity")).distinct().select(
+        "stable_identity", F.when(own.cast("long") % 2 == 0, "OPEN").alias("competition_id"), F.concat(F.lit("P"), own).alias("person_id"),
+        F.lit("333").alias("event_id"), F.lit(1).alias("round_number"), F.lit("stream").alias("source"), F.concat(F.lit("R"), own).alias("source_result_id"))
+    rows = detections.described(found, candidates)
+    return rows.select(own.cast("long").alias("user_id"), "level", "comparison_key", "formatted")
+
+
+@query(
+    "attendance_nested",
+    """SELECT o_orderkey, c_name AS competitor, n_name AS competition FROM orders JOIN customer ON o_custkey = c_custkey
+    JOIN nation ON o_orderkey % 30 = n_nationkey""",
+)
+def attendance_nested(spark, folder):
+    rows = table(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").alias("person_id"), (F.col("o_orderkey") % 30).alias("source_key"))
+    people = table(spark, folder, "customer").select(F.col("c_custkey").alias("person_id"), F.col("c_name").alias("name"))
+    places = table(spark, folder, "nation").select(F.col("n_nationkey").alias("source_key"), F.col("n_name").alias("name"))
+    found = attendance.attendance_table(rows, people, places)
+    return found.select("o_orderkey", F.col("competitor.name").alias("competitor"), F.col("competition.name").alias("competition"))
+
+
+@query(
+    "competition_countries",
+    """SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'JP' WHEN 1 THEN 'N' || s_nationkey ELSE '' END AS country, s_suppkey % 4 = 0 AS no_format FROM supplier""",
+)
+def competition_countries(spark, folder):
+    """Countries stated, taken from the first venue, or unknown; and rounds without a format."""
+    kind = F.col("s_suppkey") % 3
+    venue = F.struct(F.struct(F.concat(F.lit("N"), "s_nationkey").alias("iso2")).alias("country"))
+    venues = F.when(kind == 1, F.array(venue)).otherwise(F.array().cast("array<struct<country:struct<iso2:string>>>"))
+    rows = table(spark, folder, "supplier").select(
+        "s_suppkey", status.competition_country(F.when(kind == 0, "JP").otherwise(""), venues).alias("country"),
+        F.when(F.col("s_suppkey") % 4 != 0, 5).alias("expected_attempts"))
+    open_ = rounds.rounds_without_format(rows).select("s_suppkey", F.lit(True).alias("_open"))
+    return rows.join(open_, "s_suppkey", "left").select("s_suppkey", "country", F.coalesce("_open", F.lit(False)).alias("no_format"))
