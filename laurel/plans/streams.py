@@ -309,3 +309,57 @@ def queue_windows_stream(spark, folder):
     running.awaitTermination()
     windows = spark.read.parquet(f"{work}/windows")
     return windows.select(F.unix_micros("window_start").alias("start_micros"), "queue_size")
+
+
+@query(
+    "archive_stream",
+    """SELECT DISTINCT CASE event_type WHEN 'signup' THEN 'round.update' WHEN 'view' THEN 'users' WHEN 'error' THEN 'hello' ELSE '' END AS type, user_id
+    FROM events WHERE event_type <> 'purchase'""",
+)
+def archive_stream(spark, folder):
+    """Messages that are no results, untyped ones too, archived once for each content."""
+    work = _work(spark)
+    kinds = {"purchase": "result.new", "signup": "round.update", "view": "users", "error": "hello"}
+    kind = F.try_element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.col("event_type"))
+    events(spark, folder).select(kind.alias("type"), "user_id").write.json(f"{work}/frames")
+    raw = frames.read_frames(spark, f"{work}/frames", "type string, user_id long", files_per_batch=1)
+    others = frames.route(raw)["others"].withColumn("payload", F.to_json(F.struct("type", "user_id"), {"ignoreNullFields": "false"}))
+    kept = frames.distinct_frames(frames.with_payload_hash(others), ["payload_hash"])
+    frames.run_to_parquet(kept, f"{work}/archive", f"{work}/checkpoint")
+    return spark.read.parquet(f"{work}/archive").select(F.coalesce("type", F.lit("")).alias("type"), "user_id")
+
+
+def _completely(stream, work):
+    """The whole result of an aggregation over everything available."""
+    writer = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True)
+    writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{work}/result")).start().awaitTermination()
+    return stream.sparkSession.read.parquet(f"{work}/result")
+
+
+@query(
+    "heartbeats_stream",
+    """SELECT user_id % 10 AS worker, event_type AS method, epoch_us(max(ts)) AS last_micros FROM events GROUP BY ALL""",
+)
+def heartbeats_stream(spark, folder):
+    work = _work(spark)
+    rows = events(spark, folder).select((F.col("user_id") % 10).alias("worker"), F.col("event_type").alias("method"), F.col("ts").alias("at"))
+    rows.write.parquet(f"{work}/beats")
+    found = _completely(live.heartbeats(spark.readStream.schema(rows.schema).parquet(f"{work}/beats")), work)
+    return found.select("worker", "method", F.unix_micros("last_at").alias("last_micros"))
+
+
+@query(
+    "publications_stream",
+    """SELECT DISTINCT user_id, event_type AS formatted FROM events""",
+)
+def publications_stream(spark, folder):
+    """Publications without exact repeats."""
+    from laurel.operators.alerts import ANNOUNCED
+
+    work = _work(spark)
+    rows = events(spark, folder).select(F.col("user_id").alias("deduplication_key"), F.col("event_type").alias("formatted"))
+    rows = rows.withColumns({c: F.lit("") for c in ANNOUNCED if c != "formatted"})
+    rows.write.parquet(f"{work}/published")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{work}/published")
+    frames.run_to_parquet(live.distinct_publications(stream), f"{work}/once", f"{work}/checkpoint")
+    return spark.read.parquet(f"{work}/once").select(F.col("deduplication_key").alias("user_id"), "formatted")
