@@ -32,7 +32,7 @@ BLOCK_BITS = 8
 BLOCK_RADIUS = RADIUS // BLOCKS
 LANE_BITS = 20  # counters up to 2**20 - 1: items of up to a million shingles
 LANES = 3
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 SPACE = r"[\x20\x09-\x0D]+"
 
 
