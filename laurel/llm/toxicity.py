@@ -11,8 +11,8 @@ has hardly seen make small ratios that add up over long texts, so a word counts
 exceeds a margin by. Two margins give two figures, which a logistic fit on held-back labels turns into
 a probability. The models are then counted on all labels that may be learned from.
 
-Counts are gathered by Spark over every labelled document of the sample. What a task gets of the models
-is one table of ``SLOTS`` places for each level, whatever the size of the corpus.
+Counts are gathered by Spark over every labelled document of the sample. A task gets the models as sorted
+arrays of whole 64-bit nodes, as many as the sample's texts have, so no node stands for another one.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ from laurel.llm.tables import prepare, read, staged
 from laurel.llm.words import Slab, mix, slabs, span_hashes, trimmed
 
 LEVELS = (4, 6, 8, 11)
-SLOTS = 1 << 20
 DISCOUNT = 0.75
 FLOOR = 1e-3  # probability of a step that neither class has seen, below a known place
 MARGINS = (3.0, 1.0)
@@ -97,10 +96,7 @@ def step_counts(labelled: DataFrame) -> DataFrame:
 
 
 def _ratios(counts: DataFrame, ordinary: Column, toxic: Column) -> DataFrame:
-    """level, slot, value: the log ratio of each known step, and of an unknown step below a node.
-
-    Unknown steps are found under the level's number plus that of the levels.
-    """
+    """known, at, value: the log ratio of each known step, and of an unknown step below a node."""
     rows = counts.select("level", "node", "parent", ordinary.alias("c0"), toxic.alias("c1")).where("c0 + c1 > 0")
     below = rows.groupBy("level", "parent").agg(
         *[F.sum(f"c{i}").alias(f"n{i}") for i in (0, 1)],
@@ -116,38 +112,63 @@ def _ratios(counts: DataFrame, ordinary: Column, toxic: Column) -> DataFrame:
 
     zero = F.lit(0.0)
     unseen = shared_mass / (F.col("n0") + F.col("n1"))
-    known = joined.select("level", F.col("node").alias("at"), (F.col("c0") + F.col("c1")).alias("n"), (log_p(1, shared, F.col("c1")) - log_p(0, shared, F.col("c0"))).alias("value"))
-    unknown = below.select((F.col("level") + len(LEVELS)).alias("level"), F.col("parent").alias("at"), (F.col("n0") + F.col("n1")).alias("n"), (log_p(1, unseen, zero) - log_p(0, unseen, zero)).alias("value"))
-    slot = F.pmod("at", F.lit(SLOTS)).cast("int").alias("slot")
-    # Two nodes in one slot: the more frequent one has it.
-    return known.unionByName(unknown).groupBy("level", slot).agg(F.max_by("value", F.struct("n", "value")).cast("float").alias("value"))
+    known = joined.select(F.lit(True).alias("known"), F.col("node").alias("at"), (log_p(1, shared, F.col("c1")) - log_p(0, shared, F.col("c0"))).alias("value"))
+    unknown = below.select(F.lit(False).alias("known"), F.col("parent").alias("at"), (log_p(1, unseen, zero) - log_p(0, unseen, zero)).alias("value"))
+    return known.unionByName(unknown).withColumn("value", F.col("value").cast("float"))
+
+
+class Ratios:
+    """Values by whole node: sorted nodes and, for the leading bits of a node, where such nodes begin."""
+
+    def __init__(self, nodes: np.ndarray, values: np.ndarray):
+        order = np.argsort(nodes.view(np.uint64))
+        self.nodes, self.values = nodes.view(np.uint64)[order], values[order]
+        bits = max(1, len(nodes).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.begin = np.searchsorted(self.nodes >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def get(self, nodes: np.ndarray) -> np.ndarray:
+        """The value of every node; NaN where there is none."""
+        nodes = nodes.view(np.uint64)
+        out = np.full(len(nodes), np.nan, np.float32)
+        bucket = (nodes >> self.shift).astype(np.int64)
+        at, end = self.begin[bucket], self.begin[bucket + 1]
+        left = np.flatnonzero(at < end)
+        while len(left):
+            hit = self.nodes[at[left]] == nodes[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
+
+
+def tables(ratios: DataFrame) -> tuple[Ratios, Ratios]:
+    """The ratios of known steps by node and of unknown steps by parent."""
+    got = ratios.toArrow()
+    known, at, value = (got.column(c).to_numpy() for c in ("known", "at", "value"))
+    return Ratios(at[known], value[known]), Ratios(at[~known], value[~known])
 
 
-def tables(ratios: DataFrame) -> list[np.ndarray]:
-    """The ratios as arrays; at most ``2 * len(LEVELS) * SLOTS`` rows come to the driver."""
-    got = ratios.toArrow()
-    level, slot, value = (got.column(c).to_numpy() for c in ("level", "slot", "value"))
-    out = [np.zeros(SLOTS, np.float32) for _ in LEVELS]
-    gaps = [np.full(SLOTS, np.nan, np.float32) for _ in LEVELS]
-    for i in range(len(LEVELS)):
-        known = np.full(SLOTS, np.nan, np.float32)
-        known[slot[level == i]] = value[level == i]
-        gaps[i][slot[level == i + len(LEVELS)]] = value[level == i + len(LEVELS)]
-        out[i] = known
-    return out + gaps
-
-
-def _features(slab: Slab, model: list[np.ndarray]) -> np.ndarray:
-    """Two figures for each text: the mean of what the words' ratios exceed the margins by."""
-    nodes, last = paths(slab)
+def _path_ratios(nodes: list[np.ndarray], last: np.ndarray, model: tuple[Ratios, Ratios], root: int = 0) -> np.ndarray:
+    """The sum of the log ratios of each path's steps; an unknown step takes its parent's backoff."""
+    known, below = model
     ratio = np.zeros(len(last), np.float32)
-    at = np.zeros(len(last), np.int64)
+    parent = np.full(len(last), root, np.int64)
     for level, node in enumerate(nodes):
-        slot = node & (SLOTS - 1)
-        value = model[level][slot]
-        value = np.where(np.isnan(value), model[len(LEVELS) + level][at], value)
+        value = known.get(node)
+        gap = np.flatnonzero(np.isnan(value) & (last >= level))
+        value[gap] = below.get(parent[gap])
         ratio += np.where((last >= level) & ~np.isnan(value), value, 0)
-        at = slot
+        parent = node
+    return ratio
+
+
+def _features(slab: Slab, model: tuple[Ratios, Ratios]) -> np.ndarray:
+    """Two figures for each text: the mean of what the words' ratios exceed the margins by."""
+    nodes, last = paths(slab)
+    _, one, word = np.unique(nodes[-1], return_index=True, return_inverse=True)
+    ratio = _path_ratios([node[one] for node in nodes], last[one], model)[word]
     out = np.zeros((len(slab.counts), len(MARGINS)))
     for j, margin in enumerate(MARGINS):
         over = np.concatenate([[0.0], np.cumsum(np.maximum(ratio - margin, 0), dtype=np.float64)])
@@ -198,7 +219,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarra
 class ToxicityModel:
     """Both models and the fit; ``score`` adds a probability to any documents."""
 
-    def __init__(self, spark: SparkSession, arrays: list[np.ndarray] | None, weights: np.ndarray):
+    def __init__(self, spark: SparkSession, arrays: tuple[Ratios, Ratios] | None, weights: np.ndarray):
         self.model = spark.sparkContext.broadcast(arrays) if arrays else None
         self.weights = weights
 

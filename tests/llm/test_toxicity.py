@@ -61,3 +61,21 @@ def test_awkward_rows_and_labels(spark):
     rows = out.collect()
     assert len(rows) == len(helpers.AWKWARD) and all(0 <= r.p <= 1 for r in rows)
     assert model.score(docs.limit(0), ["doc_id"]).count() == 0
+
+
+def test_nodes_that_share_low_bits_stay_apart(spark):
+    rows = [(0, 7, 0, 9, 1), (0, 7 + (1 << 20), 0, 1, 9), (0, 7 + (5 << 40), 0, 2, 2), (0, -7, 0, 1, 1)]
+    counts = spark.createDataFrame(rows, "level int, node long, parent long, a0 long, a1 long")
+    known, below = toxicity.tables(toxicity._ratios(counts, counts.a0, counts.a1))
+    nodes = np.array([7, 7 + (1 << 20), 7 + (5 << 40), -7, 7 + (2 << 20), 8], np.int64)
+    got = known.get(nodes)
+    assert got[0] < got[2] < got[1] and np.isnan(got).tolist() == [False] * 4 + [True] * 2
+    assert np.isnan(below.get(np.array([0, 1 << 20], np.int64))).tolist() == [False, True]
+
+
+def test_the_model_grows_with_the_words():
+    rng = np.random.default_rng(1)
+    nodes = np.unique(rng.integers(-(2**63), 2**63 - 1, (1 << 20) + 5000, dtype=np.int64))
+    values = np.arange(len(nodes)).astype(np.float32)
+    assert (toxicity.Ratios(nodes, values).get(nodes) == values).all()
+    assert np.isnan(toxicity.Ratios(nodes[:0], values[:0]).get(nodes[:3])).all()
