@@ -1,7 +1,9 @@
 """Toxicity scores from two class-conditional Kneser-Ney models.
 
-An expression is a word's path through a tree of prefixes (4, 6, 8 and 11 bytes; marks around the word
-and case do not count). Each class has its own counts for every step of a path: for every word
+An expression is a word's path through a tree of prefixes (4, 6, 8 and 11 bytes, then all of the word;
+marks around the word and case do not count). A longer run is cut at the marks inside it, and a part that
+is still longer than the prefixes also gives windows: from each of its characters on, a path of 4, 6 and
+8 bytes in a tree of their own. So texts without blanks count to their last byte. Each class has its own counts for every step of a path: for every word
 below it the documents with that word, as Kneser-Ney counts contexts, not tokens. A step's probability is the
 discounted class count plus the discounted mass times the probability that the counts of both classes
 together give, so rare steps fall back to shared counts and differ little between the classes.
@@ -26,25 +28,75 @@ from pyspark.sql import functions as F
 
 from laurel.llm.labelled import FOLDS, LABELLED, fold, sample
 from laurel.llm.tables import prepare, read, staged
-from laurel.llm.words import Slab, mix, slabs, span_hashes, trimmed
+from laurel.llm.words import Slab, is_mark, mix, slabs, span_hashes, trimmed
 
 LEVELS = (4, 6, 8, 11)
+WINDOW = (4, 6, 8)  # bytes of the steps of a window in a part longer than the last of ``LEVELS``
+WINDOW_WEIGHT = 0.25  # of a window beside a word's 1, as windows overlap
+WINDOWS_ROOT = 1
 DISCOUNT = 0.75
 FLOOR = 1e-3  # probability of a step that neither class has seen, below a known place
 MARGINS = (3.0, 1.0)
-SHORT = 20  # words added to a text's length, so that few words prove little
+SHORT = 20  # expressions added to a text's length, so that few words prove little
 
 
-def paths(slab: Slab) -> tuple[list[np.ndarray], np.ndarray]:
-    """For every word its node at each level (signed 64 bit) and the number of its last step."""
+def runs(slab: Slab) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and texts of all words; words beyond the last prefix are cut at the marks in them."""
     starts, ends = trimmed(slab)
+    doc = slab.doc_of_word()
+    long = ends - starts > LEVELS[-1]
+    size = (ends - starts)[long]
+    if not len(size):
+        return starts, ends, doc
+    word = np.repeat(np.flatnonzero(long), size)
+    at = starts[word] + np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+    mark = is_mark(slab.data[at])
+    edge = np.append(True, word[1:] != word[:-1])
+    begin = ~mark & (edge | np.append(True, mark[:-1]))
+    end = ~mark & (np.append(edge[1:], True) | np.append(mark[1:], True))
+    short = ~long
+    return (
+        np.concatenate([starts[short], at[begin]]),
+        np.concatenate([ends[short], at[end] + 1]),
+        np.concatenate([doc[short], doc[word[begin]]]),
+    )
+
+
+def paths(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """For every word its node at each level (signed 64 bit) and the number of its last step."""
     length = ends - starts
     nodes = []
     for level, size in enumerate(LEVELS):
-        h = span_hashes(slab.data, starts, np.minimum(ends, starts + size))
+        h = span_hashes(data, starts, np.minimum(ends, starts + size))
         whole = (length <= size).astype(np.uint64)
         nodes.append(mix(h + np.uint64(2 * level) + whole).view(np.int64))
-    return nodes, np.minimum(np.searchsorted(LEVELS, length), len(LEVELS) - 1)
+    nodes.append(mix(span_hashes(data, starts, ends) + np.uint64(2 * len(LEVELS))).view(np.int64))
+    return nodes, np.searchsorted(LEVELS, length)
+
+
+def windows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of words beyond the last prefix: their bytes as a number, their lengths and their words."""
+    own = np.flatnonzero(ends - starts > LEVELS[-1])
+    size = (ends - starts)[own]
+    word = np.repeat(own, size)
+    at = starts[word] + np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+    head = (data[at] & 0xC0) != 0x80  # not inside a character
+    word, at = word[head], at[head]
+    length = np.minimum(ends[word] - at, WINDOW[-1])
+    value = np.zeros(len(at), np.uint64)
+    for j in range(WINDOW[-1]):
+        inside = np.flatnonzero(length > j)
+        value[inside] |= data[at[inside] + j].astype(np.uint64) << np.uint64(8 * j)
+    return value, length, word
+
+
+def window_paths(value: np.ndarray, length: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """As ``paths``, of windows."""
+    nodes = []
+    for level, size in enumerate(WINDOW):
+        kept = value & np.uint64((1 << 8 * size) - 1)
+        nodes.append(mix(mix(kept) + np.uint64(2 * (len(LEVELS) + 1 + level))).view(np.int64))
+    return nodes, np.searchsorted(WINDOW, length)
 
 
 COUNTED = pa.schema(
@@ -52,36 +104,65 @@ COUNTED = pa.schema(
 )
 
 
+def _steps(nodes: list[np.ndarray], last: np.ndarray, counts: np.ndarray, base: int, root: int) -> Iterator[pa.RecordBatch]:
+    """Rows of the steps of paths that come ``counts`` (a column for each part) times."""
+    for level, node in enumerate(nodes):
+        own = np.flatnonzero(last >= level)
+        if not len(own):
+            continue
+        own = own[np.argsort(node[own])]
+        at = node[own]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        sums = np.add.reduceat(counts[own], first, axis=0)
+        row, of = np.nonzero(sums)
+        parent = nodes[level - 1][own[first]] if level else np.full(len(first), root, np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(len(row), base + level, np.int32)),
+                pa.array(at[first][row]),
+                pa.array(parent[row]),
+                pa.array(of.astype(np.int32)),
+                pa.array(sums[row, of]),
+            ],
+            schema=COUNTED,
+        )
+
+
+def _by_part(item: np.ndarray, doc: np.ndarray, part: np.ndarray, items: int) -> np.ndarray:
+    """The texts of each part with each item."""
+    item, doc = np.divmod(np.unique(item * len(part) + doc), len(part))
+    return np.bincount(item * 4 + part[doc], minlength=4 * items).reshape(-1, 4)
+
+
+def _distinct(slab: Slab) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the distinct words, and for each word its number among them and its text."""
+    starts, ends, doc = runs(slab)
+    _, one, word = np.unique(span_hashes(slab.data, starts, ends), return_index=True, return_inverse=True)
+    return starts[one], ends[one], word, doc
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Steps by part (class and fold), each word once for each document, summed over a slab."""
     for batch in batches:
         part = batch.column("part").to_numpy()
         for slab in slabs(batch.column("text"), lower=True):
-            nodes, last = paths(slab)
-            doc = slab.doc_of_word()
-            order = np.lexsort((doc, nodes[-1]))
-            word, doc = nodes[-1][order], doc[order]
-            new = np.append(True, (word[1:] != word[:-1]) | (doc[1:] != doc[:-1]))[: len(order)]
-            order, of = order[new], part[slab.rows][doc[new]]
-            for level, node in enumerate(nodes):
-                own = order[last[order] >= level]
-                if not len(own):
-                    continue
-                node_, of_ = node[own], of[last[order] >= level]
-                parent = nodes[level - 1][own] if level else np.zeros(len(own), np.int64)
-                by = np.lexsort((of_, node_))
-                node_, of_, parent = node_[by], of_[by], parent[by]
-                first = np.flatnonzero(np.append(True, (node_[1:] != node_[:-1]) | (of_[1:] != of_[:-1])))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(first), level, np.int32)),
-                        pa.array(node_[first]),
-                        pa.array(parent[first]),
-                        pa.array(of_[first].astype(np.int32)),
-                        pa.array(np.diff(np.append(first, len(node_)))),
-                    ],
-                    schema=COUNTED,
-                )
+            starts, ends, word, doc = _distinct(slab)
+            if not len(word):
+                continue
+            own = part[slab.rows].astype(np.int64)
+            yield from _steps(*paths(slab.data, starts, ends), _by_part(word, doc, own, len(starts)), 0, 0)
+            value, length, of = windows(slab.data, starts, ends)
+            if not len(value):
+                continue
+            # Each distinct word's windows, for every text that has the word.
+            pairs = np.unique(word * len(own) + doc)
+            word, doc = np.divmod(pairs, len(own))
+            low, high = np.searchsorted(of, word), np.searchsorted(of, word, "right")
+            size = high - low
+            at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            _, one, window = np.unique(value, return_index=True, return_inverse=True)
+            counts = _by_part(window[at], np.repeat(doc, size), own, len(one))
+            yield from _steps(*window_paths(value[one], length[one]), counts, len(LEVELS) + 1, WINDOWS_ROOT)
 
 
 def step_counts(labelled: DataFrame) -> DataFrame:
@@ -165,14 +246,20 @@ def _path_ratios(nodes: list[np.ndarray], last: np.ndarray, model: tuple[Ratios,
 
 
 def _features(slab: Slab, model: tuple[Ratios, Ratios]) -> np.ndarray:
-    """Two figures for each text: the mean of what the words' ratios exceed the margins by."""
-    nodes, last = paths(slab)
-    _, one, word = np.unique(nodes[-1], return_index=True, return_inverse=True)
-    ratio = _path_ratios([node[one] for node in nodes], last[one], model)[word]
-    out = np.zeros((len(slab.counts), len(MARGINS)))
+    """Two figures for each text: the mean of what the expressions' ratios exceed the margins by."""
+    starts, ends, word, doc = _distinct(slab)
+    ratio = _path_ratios(*paths(slab.data, starts, ends), model)
+    value, length, of = windows(slab.data, starts, ends)
+    _, one, window = np.unique(value, return_index=True, return_inverse=True)
+    inner = _path_ratios(*window_paths(value[one], length[one]), model, WINDOWS_ROOT)[window]
+    texts, words = len(slab.counts), len(starts)
+    weight = 1 + WINDOW_WEIGHT * np.bincount(of, minlength=words)
+    weights = np.bincount(doc, weight[word], texts) + SHORT
+    out = np.zeros((texts, len(MARGINS)))
     for j, margin in enumerate(MARGINS):
-        over = np.concatenate([[0.0], np.cumsum(np.maximum(ratio - margin, 0), dtype=np.float64)])
-        out[:, j] = np.diff(over[slab.first]) / (slab.counts + SHORT)
+        over = np.maximum(ratio - margin, 0).astype(np.float64)
+        over += WINDOW_WEIGHT * np.bincount(of, np.maximum(inner - margin, 0), words)
+        out[:, j] = np.bincount(doc, over[word], texts) / weights
     return np.log1p(100 * out)
 
 

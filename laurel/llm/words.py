@@ -86,6 +86,10 @@ _MARK = np.zeros(256, bool)
 _MARK[[ord(x) for x in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
 
 
+def is_mark(data: np.ndarray) -> np.ndarray:
+    return _MARK[data]
+
+
 def trimmed(slab: Slab) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words without the marks around them; a word of marks keeps one."""
     starts, ends = slab.starts.copy(), slab.ends.copy()

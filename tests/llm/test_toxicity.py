@@ -79,3 +79,37 @@ def test_the_model_grows_with_the_words():
     values = np.arange(len(nodes)).astype(np.float32)
     assert (toxicity.Ratios(nodes, values).get(nodes) == values).all()
     assert np.isnan(toxicity.Ratios(nodes[:0], values[:0]).get(nodes[:3])).all()
+
+
+def scores(spark, docs, labels, asked):
+    model = toxicity.learn(helpers.documents(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    rows = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    return [r.score for r in sorted(model.score(rows, ["doc_id"]).collect(), key=lambda r: r.doc_id)]
+
+
+def test_text_beyond_a_prefix_counts(spark):
+    docs, labels = corpus(600, 5)
+    rng = np.random.default_rng(6)
+    signs = [chr(c) for c in range(0x4E00, 0x4E00 + 60)]
+    for i in range(600, 1200):
+        text = "".join(rng.choice(signs, 120))
+        toxic = bool(rng.random() < 0.3)
+        if toxic:  # two signs that ordinary texts do not have, far behind the first bytes
+            for at in (40, 60, 80, 100):
+                text = text[:at] + "毒物" + text[at:]
+        docs.append((i, text, "zh", "s"))
+        labels.append((i, int(toxic)))
+    plain = ["".join(rng.choice(signs, 120)) for _ in range(2)]
+    hidden = plain[0][:50] + "毒物" + plain[0][50:80] + "毒物" + plain[0][80:]
+    joined = docs[0][1].replace(" ", "-")
+    toxic = "-".join([*docs[0][1].split()[:40], "grumfen", "blargung", "snorkeligole"])
+    got = scores(spark, docs, labels, [plain[0], hidden, joined.split("grumf")[0], toxic])
+    assert got[0] < 0.5 < got[1] and got[2] < got[3]
+
+
+def test_long_words_that_begin_alike_are_told_apart(spark):
+    texts = [("donaudampfschiffblume " if i % 3 else "donaudampfschiffgrumf ") + f"wort{i % 7} und mehr" for i in range(400)]
+    labels = [(i, int(i % 3 == 0)) for i in range(400)]
+    docs = [(i, t, "de", "s") for i, t in enumerate(texts)]
+    clean, toxic = scores(spark, docs, labels, ["donaudampfschiffblume und", "donaudampfschiffgrumf und"])
+    assert clean < toxic
