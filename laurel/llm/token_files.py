@@ -193,8 +193,6 @@ class Encoder:
             slot[left] = (slot[left] + 1) % SLOTS
 
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        if self.known + len(pieces) > SLOTS // 2:
-            self.reset()
         encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         ids = [x.ids for x in encoded]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -212,32 +210,45 @@ class Encoder:
         self.known += len(ids)
         self._insert(keys, np.arange(have, have + len(ids), dtype=np.int32))
 
+    def _entries(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The entries of at most ``SLOTS // 2`` pieces; new ones are learned, in an empty table if need be."""
+        missing = np.flatnonzero(self._find(keys) < 0)
+        new, one = np.unique(keys[missing], return_index=True)
+        rows = missing[one]
+        if self.known + len(new) > SLOTS // 2:
+            self.reset()
+            new, rows = np.unique(keys, return_index=True)
+        raw = memoryview(data)
+        for at in range(0, len(new), SLOTS // 8):
+            some = rows[at : at + SLOTS // 8]
+            pieces = [str(raw[a:b], "utf-8") for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
+            self._learn(new[at : at + SLOTS // 8], pieces)
+        return self._find(keys)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, an end id after each, and the number of ids of each text."""
+        """The ids of all texts, an end id after each, and the number of ids of each text.
+
+        Pieces are taken in runs that the table can hold, so a text may have any number of them.
+        """
         texts = len(offsets) - 1
         starts = _cuts(data, offsets)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
         keys = span_hashes(data, starts, ends)
-        piece = self._find(keys)
-        missing = np.flatnonzero(piece < 0)
-        for at in range(0, len(missing), SLOTS // 8):
-            some = missing[at : at + SLOTS // 8]
-            new, one = np.unique(keys[some], return_index=True)
-            raw = data.tobytes()
-            rows = some[one]
-            known = self.known
-            self._learn(new, [raw[a:b].decode() for a, b in zip(starts[rows].tolist(), ends[rows].tolist(), strict=True)])
-            if self.known < known + len(new):  # started afresh: look up everything again
-                return self.encode(data, offsets)
-            piece[some] = self._find(keys[some])
-        lengths = self.length[piece]
-        total = np.concatenate([[0], np.cumsum(lengths)])
+        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(keys), SLOTS // 2):
+            some = slice(at, at + SLOTS // 2)
+            piece = self._entries(keys[some], data, starts[some], ends[some])
+            length = self.length[piece]
+            before = np.cumsum(length) - length
+            where = np.repeat(self.start[piece] - before, length) + np.arange(int(length.sum()))
+            ids.append(self.pool[where])
+            lengths.append(length)
+        total = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
         per_text = np.diff(total[np.searchsorted(starts, offsets)])
         out = np.full(int(total[-1]) + texts, END_ID, np.uint32)
         own = np.ones(len(out), bool)
         own[np.cumsum(per_text + 1) - 1] = False
-        where = np.repeat(self.start[piece] - total[:-1], lengths) + np.arange(total[-1])
-        out[own] = self.pool[where]
+        out[own] = np.concatenate(ids)
         return out, per_text + 1
 
 

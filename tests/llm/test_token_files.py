@@ -54,6 +54,18 @@ def test_a_full_table_of_pieces_starts_afresh(library, monkeypatch):
         assert ids.tolist() == [x for t in texts for x in [*library.encode(t, add_special_tokens=False).ids, token_files.END_ID]]
 
 
+def test_one_text_may_have_more_pieces_than_the_table(library, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "SLOTS", 1 << 8)
+    own = token_files.Encoder(token_files.TOKENIZER)
+    long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)} again{chr(97 + i % 5)}" for i in range(600))
+    for texts in ([long], ["before", long, "", long + " tail"], ["after one"]):
+        ids, counts = own.encode(*text_buffers(pa.array(texts)))
+        want = [[*library.encode(t, add_special_tokens=False).ids, token_files.END_ID] for t in texts]
+        assert ids.tolist() == [x for t in want for x in t] and counts.tolist() == list(map(len, want))
+
+
 def test_files_hold_all_documents_in_order(spark, library, tmp_path):
     rows = [*helpers.AWKWARD, *[(1000 - i, f"text number {i} " * (i % 7), "en", "s") for i in range(300)]]
     docs = helpers.documents(spark, rows).repartition(5)
