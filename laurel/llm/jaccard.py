@@ -8,11 +8,13 @@ that the other lacks stands for at least one shingle that the other lacks, so co
 the overlap from above; only what the bound leaves is a candidate. Candidates are verified by exact
 intersection of their sorted shingle arrays.
 
-* Order: shingles that more than ``COMMON`` documents lead with come last, the rest go by hash, so
-  passages that many documents share make no large tiles. Documents that lead with nothing else are tied
-  to one document of the shingle, as possible candidates, without being compared in pairs.
-* Prefix: of a set of 80 shingles or more the first 16 are taken. Two such sets of similarity 0.8 share
-  none of them with a chance below 0.2 ** 16; up to 80 shingles the prefix is complete.
+* Order: by hash, so what a set leads with is a random sample of it. Shingles that more than ``COMMON``
+  documents lead with make no tiles: documents that have one in their prefix are tied to one document of
+  the shingle, as possible candidates, without being compared in pairs. A document with common shingles has
+  tiles for all the others among its ``LEADING`` first; with ``SURE`` others it needs no tie.
+* Prefix: of a set of 80 shingles or more the first 16 are taken. A link of similarity 0.8 is missed if one
+  of its two sets shares none of these (a chance below 0.2 ** 16) or shares fewer than 8 of the first 32
+  (below 3e-12), whatever is common: 2e-11 in all. Up to 80 shingles no link is missed.
 * Equal sets are one class, so exact copies are never paired. What leaves a tile is a spanning forest of
   its candidates. Candidate components hold all true links; sets are built once more for their documents.
 * A component is verified in blocks of ``BLOCK`` classes, each together with the component's first
@@ -37,6 +39,7 @@ SHINGLE = 5
 SIMILARITY = 80  # per cent
 PREFIX = 16
 LEADING = 32
+SURE = 25  # shingles that are not common, of the leading ones
 COMMON = 1000
 BITS = 1024
 BLOCK = 512
@@ -273,12 +276,17 @@ def _candidates(classes: DataFrame) -> DataFrame:
     )
     rows = classes.join(own, "rep")
     need = F.least(F.lit(PREFIX), F.floor(F.col("n") * (100 - SIMILARITY) / 100).cast("int") + 1)
-    prefix = F.slice(F.concat(F.array_except("lead", "many"), F.array_intersect("lead", "many")), F.lit(1), need)
-    rows = staged(rows.withColumn("_prefix", prefix), "prefixes")
-    tiles = rows.select("rep", "n", "bits", F.explode(F.array_intersect("_prefix", "few")).alias("key"))
+    prefix, common = F.slice("lead", F.lit(1), need), F.size("many")
+    # Of the others among the leading ones some are shared then, and so few common ones keep no partner from leading with them.
+    enough = F.least(F.lit(SURE), F.floor(F.col("n") * (100 - SIMILARITY) / 100).cast("int") + 1)
+    sure = (common <= LEADING - SURE) & (F.size("lead") - common >= enough)
+    tiled = F.array_intersect(F.when(common > 0, F.col("lead")).otherwise(prefix), "few")
+    ties = F.when(~sure, F.array_intersect(prefix, "many"))
+    rows = staged(rows.select("rep", "n", "bits", tiled.alias("_tiles"), ties.alias("_ties")), "prefixes")
+    tiles = rows.select("rep", "n", "bits", F.explode("_tiles").alias("key"))
     tiles = tiles.repartition("key").sortWithinPartitions("key", "n", "rep").select("key", "rep", "n", "bits")
     near = tiles.mapInArrow(_tiles, "a long, b long")
-    tied = rows.select("rep", F.explode(F.array_intersect("_prefix", "many")).alias("key"))
+    tied = rows.select("rep", F.explode("_ties").alias("key"))
     heads = tied.groupBy("key").agg(F.min("rep").alias("b"))
     return near.unionByName(tied.join(heads, "key").select(F.col("rep").alias("a"), "b"))
 

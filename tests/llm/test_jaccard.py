@@ -46,6 +46,21 @@ def test_every_link_is_found(spark, monkeypatch, small):
     assert got == brute(rows)
 
 
+def test_own_shingles_do_not_crowd_out_the_common_ones(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "COMMON", 3)
+    bits = bytearray(jaccard.BITS // 8)
+    common = list(range(0, 3200, 100))
+    # The last document leads with 16 common shingles and 16 of its own; some of those are in one other document.
+    own = [100 * i + 1 for i in range(16)]
+    leads = [common] * 5 + [sorted(common[:16] + own), own[:2] + [9000 + i for i in range(30)]]
+    rows = [(i, 125, i, i, bits, lead) for i, lead in enumerate(leads)]
+    classes = spark.createDataFrame(rows, "rep long, n long, s1 long, s2 long, bits binary, lead array<bigint>")
+    link = helpers.Sets()
+    for r in jaccard._candidates(classes).collect():
+        link.join(r.a, r.b)
+    assert {link.find(i) for i in range(6)} == {0}
+
+
 def test_one_document_of_a_group_stays(spark):
     docs = helpers.documents(spark, helpers.AWKWARD)
     out = jaccard.deduplicated(docs)
