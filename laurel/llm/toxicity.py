@@ -10,8 +10,9 @@ together give, so rare steps fall back to shared counts and differ little betwee
 
 A document is scored by its toxic minus its ordinary log-likelihood, per word. Steps into what a class
 has hardly seen make small ratios that add up over long texts, so a word counts with what its ratio
-exceeds a margin by. Two margins give two figures, which a logistic fit on held-back labels turns into
-a probability. The models are then counted on all labels that may be learned from.
+exceeds a margin by. Two margins give two figures; the plain difference, with all that speaks for
+ordinary text, is the third. A logistic fit on held-back labels turns them into a probability. Words are
+taken one by one: their order does not count. The models are then counted on all labels that may be learned from.
 
 Counts are gathered by Spark over every labelled document of the sample. A task gets the models as sorted
 arrays of whole 64-bit nodes, as many as the sample's texts have, so no node stands for another one.
@@ -37,6 +38,7 @@ WINDOWS_ROOT = 1
 DISCOUNT = 0.75
 FLOOR = 1e-3  # probability of a step that neither class has seen, below a known place
 MARGINS = (3.0, 1.0)
+FIGURES = len(MARGINS) + 1
 SHORT = 20  # expressions added to a text's length, so that few words prove little
 
 
@@ -246,7 +248,7 @@ def _path_ratios(nodes: list[np.ndarray], last: np.ndarray, model: tuple[Ratios,
 
 
 def _features(slab: Slab, model: tuple[Ratios, Ratios]) -> np.ndarray:
-    """Two figures for each text: the mean of what the expressions' ratios exceed the margins by."""
+    """Figures for each text: the mean of what the expressions' ratios exceed the margins by, and of the ratios."""
     starts, ends, word, doc = _distinct(slab)
     ratio = _path_ratios(*paths(slab.data, starts, ends), model)
     value, length, of = windows(slab.data, starts, ends)
@@ -255,12 +257,14 @@ def _features(slab: Slab, model: tuple[Ratios, Ratios]) -> np.ndarray:
     texts, words = len(slab.counts), len(starts)
     weight = 1 + WINDOW_WEIGHT * np.bincount(of, minlength=words)
     weights = np.bincount(doc, weight[word], texts) + SHORT
-    out = np.zeros((texts, len(MARGINS)))
+    out = np.zeros((texts, FIGURES))
     for j, margin in enumerate(MARGINS):
         over = np.maximum(ratio - margin, 0).astype(np.float64)
         over += WINDOW_WEIGHT * np.bincount(of, np.maximum(inner - margin, 0), words)
-        out[:, j] = np.bincount(doc, over[word], texts) / weights
-    return np.log1p(100 * out)
+        out[:, j] = np.log1p(100 * np.bincount(doc, over[word], texts) / weights)
+    plain = ratio + WINDOW_WEIGHT * np.bincount(of, inner, words)
+    out[:, -1] = np.bincount(doc, plain[word], texts) / weights
+    return out
 
 
 def _scorer(model, weights: np.ndarray | None, name: str = ""):
@@ -270,10 +274,10 @@ def _scorer(model, weights: np.ndarray | None, name: str = ""):
         arrays = model.value
         for batch in batches:
             parts = [_features(slab, arrays) for slab in slabs(batch.column(batch.num_columns - 1), lower=True)]
-            x = np.concatenate(parts) if parts else np.zeros((0, len(MARGINS)))
+            x = np.concatenate(parts) if parts else np.zeros((0, FIGURES))
             kept = {n: batch.column(n) for n in batch.schema.names[:-1]}
             if weights is None:
-                yield pa.RecordBatch.from_pydict(kept | {f"x{j}": pa.array(x[:, j]) for j in range(len(MARGINS))})
+                yield pa.RecordBatch.from_pydict(kept | {f"x{j}": pa.array(x[:, j]) for j in range(FIGURES)})
             else:
                 z = weights[0] + x @ weights[1:]
                 yield pa.RecordBatch.from_pydict(kept | {name: pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))})
@@ -342,11 +346,11 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Toxic
     if not toxic or not ordinary:
         return ToxicityModel(spark, None, np.array([1.0 if toxic else 0.0]))
     first = spark.sparkContext.broadcast(tables(_ratios(counts, F.col("a0"), F.col("a1"))))
-    fields = "part int, x0 double, x1 double"
+    fields = "part int, " + ", ".join(f"x{j} double" for j in range(FIGURES))
     held = rows.where("part >= 2").select("part", "text").mapInArrow(_scorer(first, None), fields).toArrow()
     y = held.column("part").to_numpy() - 2.0
-    x = np.column_stack([held.column(f"x{j}").to_numpy() for j in range(len(MARGINS))])
-    weights = fit_logistic(x, y) if len(y) else np.array([-2.0, 1.0, 0.0])
+    x = np.column_stack([held.column(f"x{j}").to_numpy() for j in range(FIGURES)])
+    weights = fit_logistic(x, y) if len(y) else np.array([-2.0, 1.0, 0.0, 0.0])
     first.destroy()
     arrays = tables(_ratios(counts, F.col("a0") + F.col("b0"), F.col("a1") + F.col("b1")))
     return ToxicityModel(spark, arrays, weights)

@@ -113,3 +113,16 @@ def test_long_words_that_begin_alike_are_told_apart(spark):
     docs = [(i, t, "de", "s") for i, t in enumerate(texts)]
     clean, toxic = scores(spark, docs, labels, ["donaudampfschiffblume und", "donaudampfschiffgrumf und"])
     assert clean < toxic
+
+
+def test_many_mild_words_and_ordinary_words_count(spark):
+    rng = np.random.default_rng(8)
+    mild, usual, rest = ([f"{x}{i}" for i in range(40)] for x in ("mild", "kind", "some"))
+    docs, labels = [], []
+    for i in range(600):
+        toxic = bool(rng.random() < 0.4)
+        words = [*rng.choice(mild, 30 if toxic else 18), *rng.choice(usual, 18 if toxic else 30), *rng.choice(rest, 20)]
+        docs.append((i, " ".join(rng.permutation(words)), "en", "s"))
+        labels.append((i, int(toxic)))
+    toxic, empty, ordinary = scores(spark, docs, labels, [" ".join(mild * 2), "", " ".join(usual * 2)])
+    assert ordinary < empty < toxic
