@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from laurel.llm import chat, decontamination, jaccard, mixing, near_vectors, quality, secrets, sql_forms, substrings, token_files, toxicity
+from laurel.llm import chat, decontamination, jaccard, merkle, mixing, near_vectors, quality, secrets, sql_forms, substrings, token_files, toxicity
 
 RUNS = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,7 @@ RUNS = {
     "op8_secrets": secrets.op8_secrets,
     "op9_token_files": token_files.op9_token_files,
     "op10_substrings": substrings.op10_substrings,
+    "op13_merkle": merkle.op13_merkle,
 }
 SQL = {
     "op1_mixing": mixing.ORACLE,
@@ -24,4 +25,5 @@ SQL = {
     "op7_jaccard": sql_forms.JACCARD,
     "op8_secrets": sql_forms.SECRETS,
     "op10_substrings": sql_forms.SUBSTRINGS,
+    "op13_merkle": merkle.ORACLE,
 }
