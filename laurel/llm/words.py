@@ -70,16 +70,29 @@ class Slab:
         return span_hashes(self.data, self.starts, ends)
 
 
+def is_space(data: np.ndarray) -> np.ndarray:
+    return _SPACE[data]
+
+
+# Bytes hashed at once: hashing takes about 32 bytes of memory for each.
+HASHED_BYTES = 4 << 20
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes from every start to its end (at least one byte each)."""
     lengths = ends - starts
     if not len(lengths):
         return np.zeros(0, np.uint64)
     before = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(before, lengths)
-    value = _BYTE[data[np.repeat(starts, lengths) + place]]
-    value *= powers(int(lengths.max()))[place]
-    return mix(np.add.reduceat(value, before))
+    cuts = np.unique(np.append(np.searchsorted(before, np.arange(0, before[-1] + 1, HASHED_BYTES)), len(lengths)))
+    parts = []
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        own, first = lengths[low:high], before[low:high] - before[low]
+        place = np.arange(int(own.sum())) - np.repeat(first, own)
+        value = _BYTE[data[np.repeat(starts[low:high], own) + place]]
+        value *= powers(int(own.max()))[place]
+        parts.append(mix(np.add.reduceat(value, first)))
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 _MARK = np.zeros(256, bool)
