@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from laurel.llm import chat, decontamination, jaccard, merkle, mixing, near_vectors, quality, quality_rules, secrets, sql_forms, substrings, token_files, toxicity
+from laurel.llm import chat, decontamination, jaccard, merkle, mixing, near_vectors, prefix_trie, quality, quality_rules, secrets, sql_forms, substrings, token_files, toxicity
 
 RUNS = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,7 @@ RUNS = {
     "op8_secrets": secrets.op8_secrets,
     "op9_token_files": token_files.op9_token_files,
     "op10_substrings": substrings.op10_substrings,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_quality_rules": quality_rules.op12_quality_rules,
     "op13_merkle": merkle.op13_merkle,
 }
@@ -26,6 +27,7 @@ SQL = {
     "op7_jaccard": sql_forms.JACCARD,
     "op8_secrets": sql_forms.SECRETS,
     "op10_substrings": sql_forms.SUBSTRINGS,
+    "op11_prefix_trie": prefix_trie.ORACLE,
     "op12_quality_rules": quality_rules.ORACLE,
     "op13_merkle": merkle.ORACLE,
 }

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laurel.llm.order import running
+from laurel.llm.sql_forms import crc32_sql
 from laurel.llm.tables import prepare, read, staged
 
 FAN = 16
@@ -214,12 +215,6 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified(manifest(docs, tampered(docs)))
 
 
-def _crc32(text: str) -> str:
-    """CRC-32 of a short ASCII text in SQL: 0 to 255 is a byte to take in, -1 one of the eight shifts after it."""
-    steps = f"list_concat([4294967295], flatten(list_transform(string_split({text}, ''), lambda c: list_concat([ord(c)], [-1, -1, -1, -1, -1, -1, -1, -1]))))"
-    return f"xor(list_reduce({steps}, lambda a, s: CASE WHEN s >= 0 THEN xor(a, s) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295)"
-
-
 def _sql(levels: int = 5) -> str:
     """The manifest of up to ``FAN ** levels`` leaves a source, and as many sources, in SQL."""
 
@@ -233,7 +228,7 @@ def _sql(levels: int = 5) -> str:
     lower = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
     parts = [
         f"""d AS (SELECT doc_id, source, {one("text")} AS leaf,
-          CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN {one(lower)} END AS altered FROM documents)""",
+          CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN {one(lower)} END AS altered FROM documents)""",
         "p AS (SELECT source, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT source FROM d))",
         """l AS (SELECT d.*, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, altered) - 1 AS idx
           FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)""",
