@@ -1,20 +1,19 @@
 """Joining documents whose word shingles are similar: size-banded tiles with bitmap signatures.
 
-A document's set is its distinct five-word shingles. Two sets of similarity 0.8 or more have sizes within
-a factor 0.8 and share one of the first ``floor(0.2 n) + 1`` shingles of either in any common order. So
-documents meet in tiles: one for each shingle, sorted by size, in which a document is compared with the
-following ones as long as the size band allows. In a tile bitmaps are compared first. A bit of one bitmap
-that the other lacks stands for at least one shingle that the other lacks, so counting such bits bounds
-the overlap from above; only what the bound leaves is a candidate. Candidates are verified by exact
-intersection of their sorted shingle arrays.
-
-* Order: by hash, so what a set leads with is a random sample of it. Shingles that more than ``COMMON``
-  documents lead with make no tiles: documents that have one in their prefix are tied to one document of
-  the shingle, as possible candidates, without being compared in pairs. A document with common shingles has
-  tiles for all the others among its ``LEADING`` first; with ``SURE`` others it needs no tie.
-* Prefix: of a set of 80 shingles or more the first 16 are taken. A link of similarity 0.8 is missed if one
-  of its two sets shares none of these (a chance below 0.2 ** 16) or shares fewer than 8 of the first 32
-  (below 3e-12), whatever is common: 2e-11 in all. Up to 80 shingles no link is missed.
+A document's set is its distinct five-word shingles. Documents meet in tiles, one for a shingle, sorted by
+size, in which a document is compared with the following ones as long as the size band allows. In a tile
+bitmaps are compared first. A bit of one bitmap that the other lacks stands for at least one shingle that the
+other lacks, so counting such bits bounds the overlap from above; only what the bound leaves is a candidate.
+Candidates are verified by exact intersection of their sorted shingle arrays. No link is missed:
+
+* Posted shingles: a set of size n posts its ``posted(n)`` first shingles in hash order. Two sets of similarity
+  0.8 or more, of any sizes, have ``needed(n)`` of these in common or more (prefix lemma, with the overlap of
+  0.8 n that any partner of a set of n needs). Sets with fewer shingles that others post as well have no partner.
+* Tiles: of its posted shingles a set takes those that fewest post first, but for the last ``needed(n)`` - 1;
+  partners share one of these (the same lemma, in another order). So what many documents have in common makes
+  tiles only for documents that consist of it. Shingles with the same members are one tile.
+* Tiles of more than ``COMMON`` classes are not compared in one task: their classes are tied to one of them,
+  as possible candidates. Tied classes are verified like all candidates, in blocks over many tasks.
 * Equal sets are one class, so exact copies are never paired. What leaves a tile is a spanning forest of
   its candidates. Candidate components hold all true links; sets are built once more for their documents.
 * A component is verified in blocks of ``BLOCK`` classes, each together with the component's first
@@ -28,23 +27,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laurel.llm.components import components, forest
-from laurel.llm.tables import prepare, read, staged
+from laurel.llm.tables import prepare, read, remove, staged, staged_at
 from laurel.llm.words import Slab, grams, mix, slabs
 
 SHINGLE = 5
 SIMILARITY = 80  # per cent
-PREFIX = 16
-LEADING = 32
-SURE = 25  # shingles that are not common, of the leading ones
 COMMON = 1000
 BITS = 1024
 BLOCK = 512
 CHUNK_ROWS = 16_384
-MEMBER_SLOTS = 1 << 22
+SEEN = 1 << 20  # classes that a task remembers to have posted; others may be posted again
+MEMBER_BITS = (1 << 16, 1 << 27)  # of the filter of members: least and most, by their number
 _U = np.uint64
 
 
@@ -90,24 +88,48 @@ def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
 PRINTS = "doc_id long, n long, s1 long, s2 long, bits binary, lead array<bigint>"
 
 
+def posted(n: np.ndarray) -> np.ndarray:
+    """How many shingles a set of ``n`` posts."""
+    return n // 4 + 1
+
+
+def needed(n: Column) -> Column:
+    """How many of the shingles that a set of ``n`` posts any partner posts as well, at least.
+
+    A set of n has 0.8 n in common with a partner, so at most n // 5 of its own are elsewhere. Among its first
+    n // 5 + l and the partner's (likewise) l are common; posted(n) gives l > n / 20. The smaller set of a pair
+    has 0.8 of the larger one's size or more, so more than n / 25 holds for both.
+    """
+    return F.floor(n / 25) + 1
+
+
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()
     for batch in batches:
         for slab in slabs(batch.column("text"), lower=True):
             h, first = sets(slab)
             n = np.diff(first)
             total = np.concatenate([[_U(0)], np.cumsum(h)])
             other = np.concatenate([[_U(0)], np.cumsum(mix(h + _U(1)))])
+            s1 = (total[first[1:]] - total[first[:-1]]).view(np.int64)
+            # Copies of what this task has posted need no bitmap and no shingles.
+            usable = np.flatnonzero((n > 0) & batch.column("doc_id")[slab.rows.start : slab.rows.stop].is_valid().to_numpy(zero_copy_only=False))
+            new = np.zeros(len(n), bool)
+            for i in usable[np.unique(s1[usable], return_index=True)[1]]:
+                new[i] = int(s1[i]) not in seen
+            seen.update(s1[new].tolist())
+            seen = seen if len(seen) <= SEEN else set()
             # Sets are sorted, so a set's first hashes are its smallest.
-            lead = np.minimum(n, LEADING)
+            lead = np.where(new, posted(n), 0)
             bounds = np.concatenate([[0], np.cumsum(lead)])
             at = np.repeat(first[:-1] - bounds[:-1], lead) + np.arange(bounds[-1])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id")[slab.rows.start : slab.rows.stop],
                     pa.array(n),
-                    pa.array((total[first[1:]] - total[first[:-1]]).view(np.int64)),
+                    pa.array(s1),
                     pa.array((other[first[1:]] - other[first[:-1]]).view(np.int64)),
-                    _fixed(bitmaps(h, first)),
+                    pc.if_else(pa.array(new), _fixed(bitmaps(h, first)), pa.scalar(None, pa.binary())),
                     _lists(h[at], bounds),
                 ],
                 names=["doc_id", "n", "s1", "s2", "bits", "lead"],
@@ -164,7 +186,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in whole_groups(batches, ["key"]):
         key, n = table.column("key").to_numpy(), table.column("n").to_numpy()
         bits = _words(table.column("bits"))
-        ids, node = np.unique(table.column("rep").to_numpy(), return_inverse=True)
+        ids, node = np.unique(table.column("class").to_numpy(), return_inverse=True)
         root = np.arange(len(ids))
         active, step = np.arange(len(key)), 0
         while len(active):
@@ -189,22 +211,37 @@ def exact(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * common >= SIMILARITY * (len(x) + len(y) - common)
 
 
-def _slot(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.uint64)) & _U(MEMBER_SLOTS - 1)).astype(np.int64)
+def _slot(ids: np.ndarray, slots: int) -> np.ndarray:
+    return (mix(ids.astype(np.uint64)) & _U(slots - 1)).astype(np.int64)
 
 
-def _member_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_pydict({"slot": np.unique(_slot(batch.column("rep").to_numpy()))})
+def _member_words(slots: int):
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = _slot(batch.column("rep").to_numpy(), slots)
+            yield pa.RecordBatch.from_pydict({"word": slot >> 6, "marks": np.left_shift(1, slot & 63)})
+
+    return words
+
+
+def member_filter(members: DataFrame) -> np.ndarray:
+    """A bit for each slot of the ids ``rep``: 16 for each of them, 16 MB at most whatever their number."""
+    slots = 1 << max(16 * members.count(), 1).bit_length()
+    slots = min(max(slots, MEMBER_BITS[0]), MEMBER_BITS[1])
+    got = members.select("rep").mapInArrow(_member_words(slots), "word long, marks long").groupBy("word").agg(F.bit_or("marks").alias("marks")).toArrow()
+    out = np.zeros(slots >> 6, np.int64)
+    out[got.column("word").to_numpy()] = got.column("marks").to_numpy()
+    return out
 
 
-def _set_rows(slots):
+def _set_rows(marks):
     """The shingle arrays, as binary, of the documents whose id's slot is marked."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = np.unpackbits(slots.value, count=MEMBER_SLOTS).astype(bool)
+        words = marks.value
         for batch in batches:
-            batch = batch.filter(pa.array(marked[_slot(batch.column("doc_id").to_numpy())]))
+            slot = _slot(batch.column("doc_id").to_numpy(), 64 * len(words))
+            batch = batch.filter(pa.array((words[slot >> 6] >> (slot & 63)) & 1 == 1))
             for slab in slabs(batch.column("text"), lower=True):
                 h, first = sets(slab)
                 total = np.concatenate([[_U(0)], np.cumsum(h)])
@@ -266,29 +303,32 @@ def _verified(groups: list[str], two_sided: bool) -> Callable:
     return verify
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """a, b: links that join whatever may be similar."""
-    leading = classes.select("rep", F.explode("lead").alias("key"))
-    shared = leading.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
-    own = leading.join(shared, "key").groupBy("rep").agg(
-        F.collect_list(F.when(F.col("count") <= COMMON, F.col("key"))).alias("few"),
-        F.collect_list(F.when(F.col("count") > COMMON, F.col("key"))).alias("many"),
-    )
-    rows = classes.join(own, "rep")
-    need = F.least(F.lit(PREFIX), F.floor(F.col("n") * (100 - SIMILARITY) / 100).cast("int") + 1)
-    prefix, common = F.slice("lead", F.lit(1), need), F.size("many")
-    # Of the others among the leading ones some are shared then, and so few common ones keep no partner from leading with them.
-    enough = F.least(F.lit(SURE), F.floor(F.col("n") * (100 - SIMILARITY) / 100).cast("int") + 1)
-    sure = (common <= LEADING - SURE) & (F.size("lead") - common >= enough)
-    tiled = F.array_intersect(F.when(common > 0, F.col("lead")).otherwise(prefix), "few")
-    ties = F.when(~sure, F.array_intersect(prefix, "many"))
-    rows = staged(rows.select("rep", "n", "bits", tiled.alias("_tiles"), ties.alias("_ties")), "prefixes")
-    tiles = rows.select("rep", "n", "bits", F.explode("_tiles").alias("key"))
-    tiles = tiles.repartition("key").sortWithinPartitions("key", "n", "rep").select("key", "rep", "n", "bits")
-    near = tiles.mapInArrow(_tiles, "a long, b long")
-    tied = rows.select("rep", F.explode("_ties").alias("key"))
-    heads = tied.groupBy("key").agg(F.min("rep").alias("b"))
-    return near.unionByName(tied.join(heads, "key").select(F.col("rep").alias("a"), "b"))
+def _candidates(prints: DataFrame) -> DataFrame:
+    """a, b: links that join all classes (by s1) that may be similar."""
+    spark = prints.sparkSession
+    usable = prints.where("bits IS NOT NULL")
+    postings = usable.select(F.col("s1").alias("class"), F.explode("lead").alias("key"))
+    # Copies that several tasks have posted count more than once: any number orders the shingles, if all use the same.
+    counted = postings.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.min("class").alias("_low"), F.max("class").alias("_high"))
+    shared = counted.where("_low <> _high").select("key", F.least("count", F.lit(COMMON + 1)).cast("int").alias("count"))
+    found = postings.join(shared, "key").distinct()
+    own = found.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("_found"))
+    payload = usable.select(F.col("s1").alias("class"), "n", "bits").dropDuplicates(["class"])
+    left = F.size("_found") - needed(F.col("n")) + 1
+    rows = own.join(payload, "class").where(left > 0)
+    rows, rows_path = staged_at(rows.select("class", "n", "bits", F.slice(F.col("_found")["key"], F.lit(1), left.cast("int")).alias("keys")), "prefixes")
+
+    tiles = rows.select("class", F.explode("keys").alias("key"))
+    members = [F.count(F.lit(1)).alias("size"), F.min("class").alias("head"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y")]
+    same = tiles.groupBy("key").agg(*members).where("size > 1").groupBy("size", "head", "x", "y").agg(F.min("key").alias("key"))
+    same, same_path = staged_at(same, "tiles")
+    few = tiles.join(same.where(F.col("size") <= COMMON).select("key"), "key", "left_semi").join(rows.select("class", "n", "bits"), "class")
+    few = few.select("key", "class", "n", "bits").repartition("key").sortWithinPartitions("key", "n", "class")
+    many = tiles.join(same.where(F.col("size") > COMMON).select("key", "head"), "key").select(F.col("class").alias("a"), F.col("head").alias("b"))
+    out = staged(few.mapInArrow(_tiles, "a long, b long").unionByName(many.distinct()), "candidates")
+    remove(spark, rows_path)
+    remove(spark, same_path)
+    return out
 
 
 def similar(docs: DataFrame) -> DataFrame:
@@ -299,41 +339,39 @@ def similar(docs: DataFrame) -> DataFrame:
     component. Rows of one doc_id with several texts link whatever any of them links. Other columns are
     ignored; an empty table gives none.
     """
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
     texts = docs.select("doc_id", "text")
     prints = staged(texts.mapInArrow(_prints, PRINTS), "prints")
-    usable = prints.where("doc_id IS NOT NULL AND n > 0")
-    reps = usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    classes = usable.join(reps, ["s1", "s2"]).where("doc_id = rep").dropDuplicates(["s1", "s2"])
-    classes = staged(classes.select("rep", "n", "s1", "s2", "bits", "lead"), "classes")
-    reached = components(staged(_candidates(classes), "candidates"))
+    reps = prints.where("doc_id IS NOT NULL AND n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    reps = staged(reps, "classes")
+    reached = components(_candidates(prints))
 
     both = reached.unionByName(reached.select(F.col("component").alias("id"), "component")).distinct()
-    members = classes.select("rep", "n", "s1").join(both.select(F.col("id").alias("rep"), F.col("component").alias("comp")), "rep")
+    members = reps.select("rep", "n", "s1").join(both.select(F.col("id").alias("s1"), F.col("component").alias("comp")), "s1")
     members = staged(members, "members")
     sizes = members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     dealt = members.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
-    # A bitmap of bounded size tells which texts may be asked for, so the other texts are not shuffled.
-    found = members.select("rep").mapInArrow(_member_slots, "slot long").distinct().toArrow().column("slot").to_numpy()
-    bits = np.zeros(MEMBER_SLOTS, bool)
-    bits[found] = True
-    slots = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
-    built = texts.where("doc_id IS NOT NULL").mapInArrow(_set_rows(slots), "doc_id long, s1 long, hashes binary")
+    # A filter of bounded size tells which texts may be asked for, so the other texts are not shuffled.
+    marks = spark.sparkContext.broadcast(member_filter(members))
+    built = texts.where("doc_id IS NOT NULL").mapInArrow(_set_rows(marks), "doc_id long, s1 long, hashes binary")
     built = built.dropDuplicates(["doc_id", "s1"]).withColumnsRenamed({"doc_id": "rep"})
-    built = built.join(dealt.drop("blocks"), ["rep", "s1"]).select("rep", "comp", "block", "n", "hashes")
-    built = staged(built, "sets")
+    built = built.join(dealt.drop("blocks"), ["rep", "s1"]).select("rep", (F.col("s1") == F.col("comp")).alias("first"), "comp", "block", "n", "hashes")
+    built, built_path = staged_at(built, "sets")
+    marks.destroy()
 
     # In every block of a divided component its first class takes part as well.
     large = staged(sizes.where("blocks > 1"), "large")
-    guests = built.where("rep = comp").join(large, "comp").withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    guests = guests.where("_b <> block").select("rep", "comp", F.col("_b").alias("block"), "n", "hashes")
+    guests = built.where("first").join(large, "comp").withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    guests = guests.where("_b <> block").select("rep", "first", "comp", F.col("_b").alias("block"), "n", "hashes")
     inside = built.unionByName(guests).repartition("comp", "block").sortWithinPartitions("comp", "block", "n", "rep")
     links = staged(inside.mapInArrow(_verified(["comp", "block"], False), "a long, b long"), "links")
     if large.count():
         links = links.unionByName(_across(built.join(large.select("comp"), "comp"), links))
     found = components(links).select(F.col("id").alias("rep"), "component")
-    rows = prints.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(reps, ["s1", "s2"], "left").join(found, "rep", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
+    remove(spark, built_path)
+    classes = staged(reps.join(found, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component")), "found")
+    rows = prints.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(classes, ["s1", "s2"], "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component).alias("component_id")
     return rows.select("doc_id", "n_shingles", component)
 
@@ -343,7 +381,7 @@ def _across(built: DataFrame, links: DataFrame) -> DataFrame:
     reached = components(links).select(F.col("id").alias("rep"), F.col("component").alias("_c"))
     rows = built.join(reached, "rep", "left").withColumn("label", F.coalesce("_c", "rep")).drop("_c")
     rows = staged(rows, "labels")
-    main = rows.where("rep = comp").select("comp", F.col("label").alias("_main"))
+    main = rows.where("first").select("comp", F.col("label").alias("_main"))
     rest = rows.join(main, "comp").where("label <> _main")
     parts = rest.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     rest = rest.join(parts, "comp").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(5)), "parts"))
@@ -356,12 +394,18 @@ def _across(built: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller doc_id.
+    """``docs`` without the rows whose component has a smaller doc_id, and with one of the rows of an id and text.
 
-    Rows without an id stay, and so do all rows of the id that a component keeps.
+    Rows without an id are in no component; of those with the same text one stays as well.
     """
     dropped = similar(docs).where("component_id < doc_id").select(F.col("doc_id").alias("_laurel_id")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("_laurel_id"), "left_anti")
+    kept = docs.join(dropped, F.col("doc_id") == F.col("_laurel_id"), "left_anti")
+    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_laurel_rows")).where("_laurel_rows > 1").select(F.col("doc_id").alias("_laurel_id"))
+    repeated = staged(repeated, "repeated")
+    if repeated.isEmpty():
+        return kept
+    same = F.col("doc_id").eqNullSafe(F.col("_laurel_id"))
+    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

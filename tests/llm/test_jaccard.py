@@ -47,26 +47,35 @@ def test_every_link_is_found(spark, monkeypatch, small):
 
 
 def test_own_shingles_do_not_crowd_out_the_common_ones(spark, monkeypatch):
+    """Documents of a common text and a fifth of their own, all like the common text and unlike each other."""
     monkeypatch.setattr(jaccard, "COMMON", 3)
-    bits = bytearray(jaccard.BITS // 8)
-    common = list(range(0, 3200, 100))
-    # The last document leads with 16 common shingles and 16 of its own; some of those are in one other document.
-    own = [100 * i + 1 for i in range(16)]
-    leads = [common] * 5 + [sorted(common[:16] + own), own[:2] + [9000 + i for i in range(30)]]
-    rows = [(i, 125, i, i, bits, lead) for i, lead in enumerate(leads)]
-    classes = spark.createDataFrame(rows, "rep long, n long, s1 long, s2 long, bits binary, lead array<bigint>")
-    link = helpers.Sets()
-    for r in jaccard._candidates(classes).collect():
-        link.join(r.a, r.b)
-    assert {link.find(i) for i in range(6)} == {0}
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(125)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 40):
+        rows.append((i, " ".join(base + [f"own{i}x{rng.randrange(10**9)}" for _ in range(28)])))
+    docs = helpers.documents(spark, [(*r, "en", "s") for r in rows]).repartition(4)
+    got = helpers.plain(jaccard.similar(docs).collect())
+    assert got == brute(rows) and {r[2] for r in got} == {0}
+
+
+def test_a_posted_prefix_holds_what_any_partner_shares():
+    import numpy as np
+
+    for n in range(1, 2000):
+        share = int(jaccard.posted(np.array([n]))[0]) - n // 5
+        assert share <= n - n // 5
+        for m in (n, -(-4 * n // 5)):
+            # Both sets' prefixes hold this many common shingles at least.
+            assert min(share, int(jaccard.posted(np.array([m]))[0]) - m // 5) >= n // 25 + 1
 
 
 def test_one_document_of_a_group_stays(spark):
     docs = helpers.documents(spark, helpers.AWKWARD)
     out = jaccard.deduplicated(docs)
     assert out.columns == docs.columns
-    # 6 is 1 in other case, 8 is nearly 7; rows without words or id stay, and so do equal rows of one id.
-    assert sorted(str(r.doc_id) for r in out.collect()) == sorted(map(str, [1, 2, 3, 4, 5, 5, 7, None, None, 9]))
+    # 6 is 1 in other case, 8 is nearly 7; rows without words or id stay, and one of the equal rows of 5.
+    assert sorted(str(r.doc_id) for r in out.collect()) == sorted(map(str, [1, 2, 3, 4, 5, 7, None, None, 9]))
     assert jaccard.similar(docs.limit(0)).count() == 0
 
 
