@@ -32,9 +32,11 @@ def components(links: DataFrame) -> DataFrame:
     mark = _mark(pairs)
     while mark[0]:
         both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("_v")).select("u", F.least("u", "_v").alias("m"))
+        # Written, so that the join with a node of very many links is one that adaptive execution can split.
+        lowest, lowest_path = staged_at(both.groupBy("u").agg(F.min("v").alias("_v")).select("u", F.least("u", "_v").alias("m")), "lowest")
         large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large, large_path = staged_at(large, "large")
+        remove(spark, lowest_path)
         root = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(root, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after, after_path = staged_at(root.withColumnRenamed("m", "b").unionByName(moved).distinct(), "links")

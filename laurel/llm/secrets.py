@@ -4,18 +4,22 @@ DataFrame and SQL functions only. Matches of a pattern get their places from the
 match starts after all pieces and matches before it. Places count code points, ends are exclusive.
 
 Entropy: a candidate is a run of at least ``WINDOW`` letters, digits or ``+/_=-`` with a digit and a
-letter. Its character class is hex (digits and a-f of one case only) or, with both cases, base64; other
-runs are no candidates. A window moves over the candidate one character at a time. The sum of
+letter. Its character class is hex (digits and a-f of one case only), base36 (digits and letters of one case,
+other ones too) or, with both cases, base64; other runs are no candidates. A window moves over the candidate one character at a time. The sum of
 ``c * log2(c)`` over its character counts, in fixed point, is kept by the count of the character that
 enters and of the one that leaves; entropy is ``log2(WINDOW) - sum / WINDOW``. The span goes from the
 first window at or over the class's threshold to the last. Candidates that an allow-list pattern matches
 are suppressed, and spans inside a pattern's match are not added.
+
+Work grows with the text, also with very long strings and very many matches in one: places are added up in
+chunks of ``CHUNK`` matches, and a candidate is cut into pieces of ``PIECE`` windows' starts, each with the
+characters that its last windows need.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +34,7 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW
 CLASSES = (
     ("entropy_hex", r"^(?=.*[0-9])(?=.*[A-Fa-f])([0-9a-f]+|[0-9A-F]+)$", 3.0),
     ("entropy_base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z]).*$", 3.7),
+    ("entropy_base36", r"^(?=.*[0-9])(?=.*[G-Zg-z])([0-9a-z]+|[0-9A-Z]+)$", 3.7),
 )
 ALLOWED = (
     r"(?i)example|sample|placeholder|dummy|changeme|your[_-]",
@@ -37,6 +42,8 @@ ALLOWED = (
     r"^sha(256|384|512)-",  # integrity digest
     r"0123456789|(?i)abcdefghij",
 )
+CHUNK = 64
+PIECE = 256
 _SCALE = 1 << 20
 KINDS = ("assign", "access", "hex", *[c[0] for c in CLASSES])
 
@@ -45,13 +52,25 @@ def _literal(text: str) -> Column:
     return F.lit(text)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _chunks(values: Column, size: int) -> Column:
+    """An array cut into arrays of ``size`` values."""
+    return _once(values, lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(v), F.lit(1)) - 1) / size).cast("int")), lambda k: F.slice(v, k * size + 1, F.lit(size))))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """All leftmost non-overlapping matches: array of (start, end, text); none for other texts."""
     found = F.regexp_extract_all(text, _literal(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    # A running length over pieces and matches gives the starts.
+    # A running length over pieces and matches gives the starts: inside chunks, and over the chunks.
     pairs = F.arrays_zip(gaps.alias("gap"), found.alias("hit"))
-    nothing = F.expr("struct(0 AS at, CAST(array() AS array<struct<start: int, end: int, hit: string>>) AS spans)")
+    spans = "array<struct<start: int, end: int, hit: string>>"
+    of_chunk = F.expr(f"CAST(array() AS {spans})")
+    of_all = F.expr(f"struct(0 AS at, CAST(array() AS array<{spans}>) AS spans)")
 
     def add(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.length(pair["gap"])
@@ -60,7 +79,14 @@ def matches(text: Column, pattern: str) -> Column:
         grown = F.when(pair["hit"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span)))
         return F.struct(end.alias("at"), grown.alias("spans"))
 
-    return F.when(F.regexp_like(text, _literal(pattern)), F.aggregate(pairs, nothing, add, lambda acc: acc["spans"]))
+    def add_chunk(acc: Column, chunk: Column) -> Column:
+        return _once(
+            F.aggregate(chunk, F.struct(acc["at"].alias("at"), of_chunk.alias("spans")), add),
+            lambda own: F.struct(own["at"].alias("at"), F.concat(acc["spans"], F.array(own["spans"])).alias("spans")),
+        )
+
+    every = F.aggregate(_chunks(pairs, CHUNK), of_all, add_chunk, lambda acc: F.flatten(acc["spans"]))
+    return F.when(F.regexp_like(text, _literal(pattern)), every)
 
 
 def _spans(found: Column, number: int) -> Column:
@@ -111,21 +137,41 @@ def _entropy_spans(found: Column, number: int, shape: str, threshold: float, all
             keep = keep & ~F.regexp_like(m["hit"], _literal(pattern))
         return keep
 
-    def span(m: Column) -> Column:
-        sums = _entropy_sums(m["hit"])
-        high = F.transform(sums, lambda s: s <= limit(threshold))
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), high.alias("high"))
+    def hot(piece: Column, at: Column) -> Column:
+        """The first and the last place of a piece where a window of enough entropy starts; null without one."""
+        high = F.transform(_entropy_sums(piece), lambda s: s <= limit(threshold))
+        return _once(
+            high,
+            lambda h: F.when(
+                F.array_contains(h, True),
+                F.struct(
+                    (at + F.array_position(h, F.lit(True)).cast("int") - 1).alias("first"),
+                    (at + F.size(h) - F.array_position(F.reverse(h), F.lit(True)).cast("int")).alias("last"),
+                ),
+            ),
+        )
 
-    windows = F.transform(F.filter(F.coalesce(found, none), wanted), span)
-    hot = F.filter(windows, lambda m: F.array_contains(m["high"], True))
-    return F.transform(
-        hot,
-        lambda m: F.struct(
-            (m["start"] + F.array_position(m["high"], F.lit(True)).cast("int") - 1).alias("start"),
-            F.lit(number).alias("kind"),
-            (m["end"] - F.array_position(F.reverse(m["high"]), F.lit(True)).cast("int") + 1).alias("end"),
-        ),
-    )
+    def span(m: Column) -> Column:
+        pieces = F.regexp_extract_all(m["hit"], _literal(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+        def of_pieces(p: Column) -> Column:
+            more = lambda k: F.coalesce(F.get(p, k + 1), F.lit(""))
+            found_in = F.transform(p, lambda piece, k: hot(F.concat(piece, F.substr(more(k), F.lit(1), F.lit(WINDOW - 1))), k * PIECE))
+            return _once(
+                F.array_compact(found_in),
+                lambda f: F.when(
+                    F.size(f) > 0,
+                    F.struct(
+                        (m["start"] + F.array_min(F.transform(f, lambda x: x["first"]))).alias("start"),
+                        F.lit(number).alias("kind"),
+                        (m["start"] + F.array_max(F.transform(f, lambda x: x["last"])) + WINDOW).alias("end"),
+                    ),
+                ),
+            )
+
+        return _once(pieces, of_pieces)
+
+    return F.array_compact(F.transform(F.filter(F.coalesce(found, none), wanted), span))
 
 
 def scan(docs: DataFrame, allowed: Sequence[str] = ALLOWED) -> DataFrame:

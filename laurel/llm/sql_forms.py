@@ -68,9 +68,11 @@ base AS (
   SELECT doc_id, kind, CAST(start AS BIGINT) AS a, CAST(start + length(hit) AS BIGINT) AS b FROM m
   WHERE CASE kind WHEN 0 THEN length(regexp_extract(hit, '{_ASSIGN}', 2)) >= 8 WHEN 1 THEN length(hit) >= 16 WHEN 2 THEN length(hit) >= 32 ELSE false END),
 cand AS (
-  SELECT doc_id, hit, start, CASE WHEN regexp_full_match(hit, '[0-9a-f]+|[0-9A-F]+') THEN 3 ELSE 4 END AS kind FROM m
+  SELECT doc_id, hit, start, CASE WHEN regexp_full_match(hit, '[0-9a-f]+|[0-9A-F]+') THEN 3 WHEN regexp_full_match(hit, '[0-9a-z]+|[0-9A-Z]+') THEN 5 ELSE 4 END AS kind FROM m
   WHERE kind = 3 AND regexp_matches(hit, '[0-9]')
-    AND CASE WHEN regexp_full_match(hit, '[0-9a-f]+|[0-9A-F]+') THEN regexp_matches(hit, '[A-Fa-f]') ELSE regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[A-Z]') END
+    AND CASE WHEN regexp_full_match(hit, '[0-9a-f]+|[0-9A-F]+') THEN regexp_matches(hit, '[A-Fa-f]')
+             WHEN regexp_full_match(hit, '[0-9a-z]+|[0-9A-Z]+') THEN true
+             ELSE regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[A-Z]') END
     AND NOT regexp_matches(hit, '(?i)example|sample|placeholder|dummy|changeme|your[_-]|abcdefghij')
     AND NOT regexp_matches(hit, '^[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}$|^sha(256|384|512)-|0123456789')),
 w AS (SELECT *, unnest(range(0, length(hit) - 19)) AS j FROM cand),
@@ -83,7 +85,7 @@ hot AS (
 more AS (
   SELECT * FROM hot WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = hot.doc_id AND base.a <= hot.a AND hot.b <= base.b)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM more),
-named AS (SELECT *, ['assign', 'access', 'hex', 'entropy_hex', 'entropy_base64'][kind + 1] || ':' || a || ':' || b AS name FROM every)
+named AS (SELECT *, ['assign', 'access', 'hex', 'entropy_hex', 'entropy_base64', 'entropy_base36'][kind + 1] || ':' || a || ':' || b AS name FROM every)
 SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
   sha256(coalesce(string_agg(name, ',' ORDER BY a, kind) FILTER (kind < 3), '')) AS base_sha256,
   coalesce(string_agg(name, ',' ORDER BY a, kind), '') AS spans

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import helpers
@@ -64,3 +65,28 @@ def test_allow_list_suppresses(spark):
     spans = {r.doc_id: len(r.spans) for r in secrets.scan(docs).collect()}
     assert spans == {1: 1, 2: 0, 3: 0}
     assert {r.doc_id: len(r.spans) for r in secrets.scan(docs, allowed=()).collect()} == {1: 1, 2: 1, 3: 0}
+
+
+def test_work_grows_with_the_text(spark):
+    """A string of 250,000 characters and texts of very many matches take seconds, not hours."""
+    rng = random.Random(4)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    image = "".join(rng.choices(alphabet, k=250_000))
+    late = "aA1" * 25_000 + "".join(rng.choices(alphabet, k=40)) + "aA1" * 25_000
+    many = "\n".join(f"token = {i:08d}x" for i in range(10_000))
+    rows = [(1, "x " + image), (2, late), (3, many)]
+    started = time.time()
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - started < 60
+    assert [tuple(s) for s in got[1].spans] == [(2, 4, 250_002)]
+    [(start, kind, end)] = [tuple(s) for s in got[2].spans]
+    assert kind == 4 and 75_000 - 20 < start < 75_000 + 40 and 75_000 + 20 < end < 75_000 + 60
+    size = len("token = 00000000x\n")
+    assert [(s["start"], s["end"]) for s in got[3].base] == [(size * i, size * (i + 1) - 1) for i in range(10_000)]
+
+
+def test_keys_of_one_case_are_found(spark):
+    keys = ["k9x2mq7vz4tw8rj3hp6ygs5nb1", "JBSWY3DPEHPK3PXPQZ7TMK2V", "this-is-a-long-title-of-2024", "aaaaaaaaaaaaaaaaaaaaaaz1"]
+    docs = spark.createDataFrame(list(enumerate(keys)), "doc_id long, text string")
+    kinds = {r.doc_id: [secrets.KINDS[s["kind"]] for s in r.spans] for r in secrets.scan(docs).collect()}
+    assert kinds == {0: ["entropy_base36"], 1: ["entropy_base36"], 2: [], 3: []}
