@@ -15,7 +15,8 @@ ordinary text, is the third. A logistic fit on held-back labels turns them into
 taken one by one: their order does not count. The models are then counted on all labels that may be learned from.
 
 Counts are gathered by Spark over every labelled document of the sample. A task gets the models as sorted
-arrays of whole 64-bit nodes, as many as the sample's texts have, so no node stands for another one.
+arrays of whole 64-bit nodes, as many as the sample's texts have, so no node stands for another one. They pass
+the driver in parts of bounded size, one after the other.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laurel.llm.labelled import FOLDS, LABELLED, fold, sample
-from laurel.llm.tables import prepare, read, staged
+from laurel.llm.tables import prepare, read, remove, staged_at
 from laurel.llm.words import Slab, is_mark, mix, slabs, span_hashes, trimmed
 
 LEVELS = (4, 6, 8, 11)
@@ -39,6 +40,7 @@ DISCOUNT = 0.75
 FLOOR = 1e-3  # probability of a step that neither class has seen, below a known place
 MARGINS = (3.0, 1.0)
 FIGURES = len(MARGINS) + 1
+PART = 1 << 20  # ratios that the driver sends at once
 SHORT = 20  # expressions added to a text's length, so that few words prove little
 
 
@@ -226,14 +228,54 @@ class Ratios:
         return out
 
 
-def tables(ratios: DataFrame) -> tuple[Ratios, Ratios]:
-    """The ratios of known steps by node and of unknown steps by parent."""
-    got = ratios.toArrow()
-    known, at, value = (got.column(c).to_numpy() for c in ("known", "at", "value"))
-    return Ratios(at[known], value[known]), Ratios(at[~known], value[~known])
+class Parts:
+    """``Ratios`` in parts by the leading bits of a node; a part may be a broadcast variable."""
 
+    def __init__(self, parts: list, bits: int):
+        self.parts, self.shift = parts, np.uint64(64 - bits) if bits else None
 
-def _path_ratios(nodes: list[np.ndarray], last: np.ndarray, model: tuple[Ratios, Ratios], root: int = 0) -> np.ndarray:
+    def get(self, nodes: np.ndarray) -> np.ndarray:
+        if self.shift is None:
+            return self._part(0).get(nodes)
+        out = np.full(len(nodes), np.nan, np.float32)
+        place = nodes.view(np.uint64) >> self.shift
+        for i in np.unique(place).tolist():
+            own = np.flatnonzero(place == i)
+            out[own] = self._part(i).get(nodes[own])
+        return out
+
+    def _part(self, i: int) -> Ratios:
+        part = self.parts[i]
+        return part if isinstance(part, Ratios) else part.value
+
+    def destroy(self) -> None:
+        for part in self.parts:
+            if not isinstance(part, Ratios):
+                part.destroy()
+
+
+def tables(ratios: DataFrame, size: int = PART) -> tuple[Parts, Parts]:
+    """The ratios of known steps by node and of unknown steps by parent, as broadcast variables.
+
+    The driver has one part of about ``size`` ratios at a time, however many there are.
+    """
+    spark = ratios.sparkSession
+    ratios, path = staged_at(ratios, "ratios")
+    counts = {r.known: r["count"] for r in ratios.groupBy("known").count().collect()}
+    out = []
+    for known in (True, False):
+        bits = max(0, -(-counts.get(known, 0) // size) - 1).bit_length()
+        place = F.shiftrightunsigned("at", 64 - bits) if bits else F.lit(0)
+        parts = []
+        for i in range(1 << bits):
+            got = ratios.where((F.col("known") == known) & (place == i)).select("at", "value").toArrow()
+            parts.append(spark.sparkContext.broadcast(Ratios(got.column("at").to_numpy(), got.column("value").to_numpy())))
+        out.append(Parts(parts, bits))
+    remove(spark, path)
+    return out[0], out[1]
+
+
+def _path_ratios(nodes: list[np.ndarray], last: np.ndarray, model: tuple[Parts, Parts], root: int = 0) -> np.ndarray:
     """The sum of the log ratios of each path's steps; an unknown step takes its parent's backoff."""
     known, below = model
     ratio = np.zeros(len(last), np.float32)
@@ -247,7 +289,7 @@ def _path_ratios(nodes: list[np.ndarray], last: np.ndarray, model: tuple[Ratios,
     return ratio
 
 
-def _features(slab: Slab, model: tuple[Ratios, Ratios]) -> np.ndarray:
+def _features(slab: Slab, model: tuple[Parts, Parts]) -> np.ndarray:
     """Figures for each text: the mean of what the expressions' ratios exceed the margins by, and of the ratios."""
     starts, ends, word, doc = _distinct(slab)
     ratio = _path_ratios(*paths(slab.data, starts, ends), model)
@@ -271,9 +313,8 @@ def _scorer(model, weights: np.ndarray | None, name: str = ""):
     """Scores the last column, which goes; without ``weights`` it gives the features."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = model.value
         for batch in batches:
-            parts = [_features(slab, arrays) for slab in slabs(batch.column(batch.num_columns - 1), lower=True)]
+            parts = [_features(slab, model) for slab in slabs(batch.column(batch.num_columns - 1), lower=True)]
             x = np.concatenate(parts) if parts else np.zeros((0, FIGURES))
             kept = {n: batch.column(n) for n in batch.schema.names[:-1]}
             if weights is None:
@@ -310,9 +351,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarra
 class ToxicityModel:
     """Both models and the fit; ``score`` adds a probability to any documents."""
 
-    def __init__(self, spark: SparkSession, arrays: tuple[Ratios, Ratios] | None, weights: np.ndarray):
-        self.model = spark.sparkContext.broadcast(arrays) if arrays else None
-        self.weights = weights
+    def __init__(self, model: tuple[Parts, Parts] | None, weights: np.ndarray):
+        self.model, self.weights = model, weights
 
     def score(self, docs: DataFrame, keep: list[str], name: str = "score") -> DataFrame:
         """The ``keep`` columns of ``docs``, which has a text, and the probability ``name`` (double).
@@ -340,20 +380,22 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Toxic
     second = (fold(F.col("_id")) == FOLDS - 1).cast("int")
     marks = marks.select("_id", (F.col("toxic") + 2 * second).alias("part"))
     rows = docs.select("doc_id", "text").join(F.broadcast(marks), F.col("doc_id") == F.col("_id"))
-    counts = staged(step_counts(rows), "steps")
+    counts, counts_path = staged_at(step_counts(rows), "steps")
     seen = {r.part: r.n for r in marks.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, ordinary = seen.get(1, 0) + seen.get(3, 0), seen.get(0, 0) + seen.get(2, 0)
     if not toxic or not ordinary:
-        return ToxicityModel(spark, None, np.array([1.0 if toxic else 0.0]))
-    first = spark.sparkContext.broadcast(tables(_ratios(counts, F.col("a0"), F.col("a1"))))
+        return ToxicityModel(None, np.array([1.0 if toxic else 0.0]))
+    first = tables(_ratios(counts, F.col("a0"), F.col("a1")))
     fields = "part int, " + ", ".join(f"x{j} double" for j in range(FIGURES))
     held = rows.where("part >= 2").select("part", "text").mapInArrow(_scorer(first, None), fields).toArrow()
     y = held.column("part").to_numpy() - 2.0
     x = np.column_stack([held.column(f"x{j}").to_numpy() for j in range(FIGURES)])
     weights = fit_logistic(x, y) if len(y) else np.array([-2.0, 1.0, 0.0, 0.0])
-    first.destroy()
-    arrays = tables(_ratios(counts, F.col("a0") + F.col("b0"), F.col("a1") + F.col("b1")))
-    return ToxicityModel(spark, arrays, weights)
+    for part in first:
+        part.destroy()
+    model = tables(_ratios(counts, F.col("a0") + F.col("b0"), F.col("a1") + F.col("b1")))
+    remove(spark, counts_path)
+    return ToxicityModel(model, weights)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

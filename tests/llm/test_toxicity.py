@@ -73,6 +73,19 @@ def test_nodes_that_share_low_bits_stay_apart(spark):
     assert np.isnan(below.get(np.array([0, 1 << 20], np.int64))).tolist() == [False, True]
 
 
+def test_parts_give_what_one_table_gives(spark):
+    rng = np.random.default_rng(2)
+    nodes = np.unique(rng.integers(-(2**63), 2**63 - 1, 5000, dtype=np.int64))
+    rows = [(i % 3 > 0, int(n), float(i)) for i, n in enumerate(nodes)]
+    ratios = spark.createDataFrame(rows, "known boolean, at long, value float")
+    whole, parts = toxicity.tables(ratios), toxicity.tables(ratios, size=300)
+    assert [len(t.parts) for t in whole] == [1, 1] and [len(t.parts) for t in parts] == [16, 8]
+    asked = np.append(nodes, rng.integers(-(2**63), 2**63 - 1, 500, dtype=np.int64))
+    for one, many in zip(whole, parts, strict=True):
+        assert np.array_equal(one.get(asked), many.get(asked), equal_nan=True)
+        many.destroy()
+
+
 def test_the_model_grows_with_the_words():
     rng = np.random.default_rng(1)
     nodes = np.unique(rng.integers(-(2**63), 2**63 - 1, (1 << 20) + 5000, dtype=np.int64))
