@@ -7,6 +7,7 @@ not grow with its partition; one text is never cut.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -149,6 +150,16 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on, beside each other and the executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def slabs(texts: pa.Array, lower: bool = False, size: int = SLAB_BYTES) -> Iterator[Slab]:
     """The texts of an Arrow column, whole, in slabs of about ``size`` bytes."""
     data, offsets = text_buffers(texts)
@@ -162,3 +173,4 @@ def slabs(texts: pa.Array, lower: bool = False, size: int = SLAB_BYTES) -> Itera
         inner = offsets[row : end + 1] - offsets[row]
         yield Slab(slice(row, end), part, inner, *spans(part, inner))
         row = end
+    give_back()
