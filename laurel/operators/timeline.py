@@ -190,6 +190,7 @@ def adjudicate_qualifying(qualifying: DataFrame) -> DataFrame:
 
 def not_judged(rows: DataFrame) -> DataFrame:
     """Rows outside adjudication, with the columns ``adjudicate`` adds."""
+    revision = F.lit(None).cast(rows.schema["revision"].dataType)
     return rows.select(
         "*",
         F.lit("not_applicable").alias("recognition"),
@@ -197,9 +198,9 @@ def not_judged(rows: DataFrame) -> DataFrame:
         F.lit(False).alias("currently_holds"),
         F.lit("").alias("ceased_reason"),
         F.lit(None).cast("long").alias("ceased_by"),
-        F.lit(None).cast("int").alias("ceased_by_revision"),
+        revision.alias("ceased_by_revision"),
         F.lit(None).cast("long").alias("superseded_by"),
-        F.lit(None).cast("int").alias("superseded_by_revision"),
+        revision.alias("superseded_by_revision"),
     )
 
 

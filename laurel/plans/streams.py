@@ -100,7 +100,7 @@ res AS (
   WHERE last = 1 AND revision < 4)"""
 )
 _REVISIONS = (
-    "canonical_id long, revision int, action string, status string, validation_status string, entered_at timestamp, "
+    "canonical_id long, revision long, action string, status string, validation_status string, entered_at timestamp, "
     "first_observed_at timestamp, event_id string, kind string, value long, person_id string, country string, continent string, "
     "competition_id string, competition_name string, round_id string, round_number int, local_date date"
 )
@@ -363,3 +363,32 @@ def publications_stream(spark, folder):
     stream = spark.readStream.schema(rows.schema).parquet(f"{work}/published")
     frames.run_to_parquet(live.distinct_publications(stream), f"{work}/once", f"{work}/checkpoint")
     return spark.read.parquet(f"{work}/once").select(F.col("deduplication_key").alias("user_id"), "formatted")
+
+
+@query(
+    "outbox_stream",
+    """WITH p AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events)
+    SELECT user_id, min(event_id) AS created_seq, arg_max(event_type, event_id) AS formatted,
+      count(*) FILTER (WHERE b IS NOT NULL AND b <> event_type AND value > 10) AS correction_count,
+      max(CASE WHEN b IS NOT NULL AND b <> event_type AND value > 10 THEN event_id END) AS last_correction_seq FROM p GROUP BY ALL""",
+)
+def outbox_stream(spark, folder):
+    """Publications of three periods, merged into the outbox one after the other; each brings the last one's end again."""
+    from laurel.operators.alerts import ANNOUNCED
+    from laurel.streaming.outbox import Outbox
+
+    work = _work(spark)
+    same = {c: F.lit("") for c in ANNOUNCED if c != "formatted"}
+    rows = events(spark, folder).select(
+        F.col("user_id").alias("deduplication_key"), F.col("event_id").alias("seq"), F.col("event_type").alias("formatted"), (F.col("value") > 10).alias("sent_before")
+    ).withColumns(same | {"event_id": F.lit("333")})
+    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
+    step, last = -(-(high - low + 1) // 3), None
+    box = Outbox(spark, f"{work}/state", rows.schema, buckets=8)
+    for k in range(3):
+        begin = low + k * step
+        part = rows.where((F.col("seq") >= begin - step // 10) & (F.col("seq") < begin + step))
+        part.write.mode("append").parquet(f"{work}/published")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{work}/published")
+        last = box.run(stream, f"{work}/checkpoint")
+    return box.rows(last).select(F.col("deduplication_key").alias("user_id"), "created_seq", "formatted", "correction_count", "last_correction_seq")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark import SparkContext
@@ -96,6 +99,21 @@ def _clean_at_exit(spark: SparkSession, application: str) -> None:
         clean(spark)
 
 
+_open = threading.local()
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Tables that this thread stages inside are deleted at the end; for jobs that repeat, such as micro-batches."""
+    outer, _open.paths = getattr(_open, "paths", None), []
+    try:
+        yield
+    finally:
+        for path in _open.paths:
+            delete(spark, path)
+        _open.paths = outer
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -104,5 +122,7 @@ def stage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/staged/{uuid.uuid4().hex}"
+    if getattr(_open, "paths", None) is not None:
+        _open.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

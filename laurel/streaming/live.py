@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from laurel.operators import timeline
 from laurel.operators.grouping import latest_per_key
+from laurel.session import staging
 from laurel.streaming.store import BucketStore
 
 
@@ -35,6 +36,10 @@ class LiveTimelines:
         self.cell_schema = timeline.live_cells(members, baseline).schema
 
     def write(self, batch: DataFrame, number: int) -> None:
+        with staging(self.spark):
+            self._write(batch, number)
+
+    def _write(self, batch: DataFrame, number: int) -> None:
         last = number - 1
         arrived = latest_per_key(batch.select(*self.head_schema.names), ["canonical_id"], ["revision"])
         head_buckets = self.heads.touched(arrived)

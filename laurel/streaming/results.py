@@ -41,7 +41,7 @@ def revisions(changes: DataFrame, rounds: DataFrame, places: DataFrame) -> DataF
     row = F.coalesce("_new", "_old")
     flat = each.select(
         F.xxhash64("round_id", "result_id", "_k.kind").alias("canonical_id"),
-        F.col("seq").cast("int").alias("revision"),
+        F.col("seq").cast("long").alias("revision"),
         F.when(gone, "retracted").when(first, "created").otherwise("corrected").alias("action"),
         F.when(gone, "retracted").otherwise("active").alias("status"),
         F.lit("verified").alias("validation_status"),

@@ -1,4 +1,5 @@
 from datetime import datetime, timedelta
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -149,3 +150,41 @@ def test_workers_import_the_package_from_what_was_shipped(spark):
     env = {k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH" and not k.startswith("SPARK_CONNECT")}
     ran = subprocess.run([sys.executable, "-c", code], env=env, cwd="/", capture_output=True, text=True, timeout=240)
     assert "tables 1" in ran.stdout, ran.stderr[-2000:]
+
+
+def test_the_outbox_merge_equals_the_fold_of_all_publications(spark, tmp_path):
+    import random
+
+    from laurel.operators import alerts
+    from laurel.streaming.outbox import Outbox
+
+    draw = random.Random(2)
+    blank = {c: "" for c in alerts.ANNOUNCED}
+    rows = [
+        {"deduplication_key": f"k{draw.choice([0, 0, 0, *range(12)])}", "seq": i, "sent_before": draw.random() < 0.5, "note": f"n{i}", **blank, "formatted": draw.choice("ab")}
+        for i in range(300)
+    ]
+    schema = "deduplication_key string, seq long, sent_before boolean, note string, " + ", ".join(f"{c} string" for c in alerts.ANNOUNCED)
+    every = spark.createDataFrame([tuple(r[f.split()[0]] for f in schema.split(", ")) for r in rows], schema)
+    box = Outbox(spark, str(tmp_path), every.schema, buckets=4)
+    # The second batch begins with the end of the first; the third comes twice, as after a failure.
+    for number, (low, high) in enumerate([(0, 120), (100, 200), (200, 300)]):
+        box.write(every.where(f"seq >= {low} AND seq < {high}"), number)
+    box.write(every.where("seq >= 200 AND seq < 300"), 2)
+    box.write(every.limit(0), 3)
+    want = alerts.fold_outbox(every)
+    got = box.rows(3).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert sum(r.correction_count for r in got.collect()) > 10
+
+
+def test_what_a_batch_stages_is_deleted_with_it(spark):
+    from laurel.session import stage, staging
+
+    outer = stage(spark.range(4))
+    with staging(spark):
+        inner = stage(spark.range(3))
+        assert inner.count() == 3
+        [*files] = inner.inputFiles()
+    assert files and not any(Path(f.removeprefix("file://")).exists() for f in files)
+    assert outer.count() == 4
