@@ -1,4 +1,5 @@
 import json
+from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, date, datetime
 
 import pytest
@@ -107,6 +108,30 @@ def test_a_release_switches_all_tables_or_none(spark, tmp_path):
     assert [(tmp_path / p.rsplit("/", 1)[-1]).exists() for p in paths] == [False, True, True]
 
 
+def test_two_publishers_never_take_one_number(spark, tmp_path):
+    def release(n):
+        rows = {"rows": publish.Table(spark.range(n))}
+        return publish.publish(spark, str(tmp_path), rows, spark.createDataFrame([(n,)], "n int"), keep=9)
+
+    with ThreadPoolExecutor(4) as pool:
+        paths = list(pool.map(release, range(1, 7)))
+    found = {r.path: r.number for r in publish.releases(spark, str(tmp_path)).collect()}
+    assert sorted(found) == sorted(paths) and sorted(found.values()) == [1, 2, 3, 4, 5, 6]
+    newest = max(found, key=found.get)
+    assert publish.published(spark, str(tmp_path), "rows").count() == paths.index(newest) + 1
+
+
+def test_a_taken_number_is_left_to_its_owner(spark, tmp_path, monkeypatch):
+    """The second publisher has read the list before the first one's commit."""
+    root = str(tmp_path)
+    before = publish.releases(spark, root)
+    assert publish.commit(spark, root, "first", "{}") == 1
+    monkeypatch.setattr(publish, "releases", lambda *_: before)
+    assert publish.commit(spark, root, "second", "{}") == 2
+    monkeypatch.undo()
+    assert {r.number: r.path for r in publish.releases(spark, root).collect()} == {1: "first", 2: "second"}
+
+
 def test_refresh_publishes_only_valid_heads(spark, tmp_path):
     from laurel.plans import jobs
     from laurel.plans.streams import _REVISIONS
