@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laurel.llm.labelled import LABELLED, sample
+from laurel.llm.order import running
 from laurel.llm.tables import prepare, read, staged
 from laurel.llm.words import Slab, grams, mix, slabs, span_hashes, trimmed
-from laurel.operators.grouping import global_rank
 
 BUCKETS = 1 << 17
 EVIDENCE = 50.0
@@ -121,7 +121,8 @@ def resampled(docs: DataFrame, target: DataFrame, share: float = SHARE, seed: in
     unit = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
     rows = rows.withColumn("sum", F.col("log_weight") - F.log(-F.log(unit)))
     rows = staged(rows.withColumn("_down", F.coalesce(-F.col("sum"), F.lit(float("inf")))), "weights")
-    ranked = global_rank(rows, ["_down", "doc_id"], "place").drop("_down")
+    ranked = rows.withColumns({"place": F.lit(1).cast("long"), "_all": F.lit(0)})
+    ranked = running(ranked, "_all", ["_down", "doc_id"], adds=["place"], name="ranked").drop("_down", "_all", "_number")
     return ranked.withColumn("kept", F.col("place") <= round(share * rows.count()))
 
 
