@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from laurel.operators import quality, timeline
 from laurel.operators.baseline import baseline_cells
 from laurel.plans.catalog import query
+from laurel.plans.evidence import REVISION_LOG, observation_log
 from laurel.plans.serving import _CHANGES, daily_snapshots
 from laurel.plans.tables import JUDGED, LEVELS, REPLAY, RES, events, results, table
 from laurel.session import shared_folder, stage
@@ -392,3 +393,26 @@ def outbox_stream(spark, folder):
         stream = spark.readStream.schema(rows.schema).parquet(f"{work}/published")
         last = box.run(stream, f"{work}/checkpoint")
     return box.rows(last).select(F.col("deduplication_key").alias("user_id"), "created_seq", "formatted", "correction_count", "last_correction_seq")
+
+
+@query("evidence_stream", REVISION_LOG)
+def evidence_stream(spark, folder):
+    """Observations of two sources in three periods, each with the end of the last one again, to one revision log."""
+    from laurel.functions import fixed
+    from laurel.streaming.evidence import EvidenceStore
+
+    work = _work(spark)
+    untrusted = F.col("method") == fixed.SOCKET
+    rows = observation_log(spark, folder)
+    rows = rows.withColumn("source", F.when(untrusted, "second").otherwise("first")).withColumn("source_identity", F.concat_ws("/", "source", "source_identity"))
+    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
+    step, last = -(-(high - low + 1) // 3), None
+    store = EvidenceStore(spark, f"{work}/state", rows.schema, buckets=8)
+    for k in range(3):
+        begin = low + k * step
+        part = rows.where((F.col("seq") >= begin - step // 10) & (F.col("seq") < begin + step))
+        part.write.mode("append").parquet(f"{work}/log")
+        last = store.run(spark.readStream.schema(rows.schema).parquet(f"{work}/log"), f"{work}/checkpoint")
+    return store.revision_log(last).select(
+        F.col("person_id").cast("long").alias("user_id"), "seq", F.col("revision").cast("long").alias("revision"), "action", "value", "validation_reason"
+    )
