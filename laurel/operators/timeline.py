@@ -16,7 +16,7 @@ from laurel.functions.times import classification_instant
 from laurel.functions.values import outcome
 from laurel.operators.baseline import CELL, explode_levels, mark_absorbed
 from laurel.operators.grouping import attach_group, attach_lookup
-from laurel.operators.scan import number_buckets, prefix_scan, previous_row, time_buckets
+from laurel.operators.scan import in_groups, long_groups, number_buckets, prefix_scan, previous_row, time_buckets
 from laurel.session import stage
 
 TIMELINE = list(CELL)
@@ -59,19 +59,13 @@ def replay(
 
 
 def replay_since(rows: DataFrame, cut: Column, buckets: list[Column] | None = None) -> DataFrame:
-    """``replay`` of the rows from ``cut`` on against all rows before them, in one pass.
+    """``replay`` of the rows from ``cut`` on against all rows before them.
 
-    ``rows`` are all level rows of the timelines. What lies before the cut is the baseline: the least
-    value of the earlier rows is the same whether they were reduced to cells before or not.
+    ``rows`` are all level rows of the timelines, read several times. What lies before the cut is reduced
+    to cells, map-side, so only later rows are scanned.
     """
-    scanned = prefix_scan(
-        stage(rows.withColumn("value", F.col("value").cast("long"))),
-        TIMELINE,
-        ORDER,
-        buckets or time_buckets("at"),
-        {"incumbent": ("min", F.col("value"))},
-    )
-    return scanned.where(F.col("at") >= cut).withColumn("outcome", outcome("value", "incumbent"))
+    seeds = rows.where(F.col("at") < cut).groupBy(*TIMELINE).agg(F.min("value").alias("value"))
+    return replay(rows.where(F.col("at") >= cut), seeds, buckets)
 
 
 def replay_by_window(members: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -113,7 +107,16 @@ def adjudicate(replayed: DataFrame) -> DataFrame:
 
 def adjudicate_qualifying(qualifying: DataFrame) -> DataFrame:
     """``adjudicate`` for rows that broke or tied a record; read several times, so stage them."""
-    rows = qualifying.withColumns(
+    groups = long_groups(qualifying, TIMELINE)
+    if not groups:
+        return _adjudicate_short(qualifying)
+    cut = in_groups(TIMELINE, groups)
+    return _adjudicate_short(qualifying.where(~cut)).unionByName(_adjudicate_long(qualifying.where(cut)))
+
+
+def _units(qualifying: DataFrame) -> DataFrame:
+    """Adds the competition, round and day that a record counts once in."""
+    return qualifying.withColumns(
         {
             "_competition": F.coalesce(
                 F.nullif("competition_id", F.lit("")), "competition_name", F.lit("")
@@ -124,10 +127,10 @@ def adjudicate_qualifying(qualifying: DataFrame) -> DataFrame:
             "_day": F.coalesce("local_date", F.lit("0001-01-01").cast("date")),
         }
     )
-    best = F.min(F.struct("value", *ORDER))
-    rows = attach_group(rows, TIMELINE + ["_competition", "_round"], [best.alias("_round_best")])
-    rows = attach_group(rows, TIMELINE + ["_day"], [best.alias("_day_best")])
 
+
+def _recognition(rows: DataFrame) -> DataFrame:
+    """Adds recognition and the winner of the round or day, whose best rows are known."""
     by_round = F.col("value") > F.col("_round_best.value")
     by_day = F.col("local_date").isNotNull() & (F.col("value") > F.col("_day_best.value"))
     rows = rows.withColumn(
@@ -139,14 +142,44 @@ def adjudicate_qualifying(qualifying: DataFrame) -> DataFrame:
         "_winner",
         F.when(by_round, F.col("_round_best")).when(by_day, F.col("_day_best")),
     )
-    rows = stage(rows.drop("_competition", "_round", "_day", "_round_best", "_day_best"))
+    return rows.drop("_competition", "_round", "_day", "_round_best", "_day_best")
+
+
+_FIRST_ROW = [*ORDER, "person_id", "competition_id", "competition_name"]
+
+
+def _adjudicate_short(qualifying: DataFrame) -> DataFrame:
+    """For timelines short enough for windows, which need one shuffle."""
+    best = F.min(F.struct("value", *ORDER))
+    rows = _units(qualifying).repartition(*TIMELINE)
+    rows = rows.withColumn("_round_best", best.over(Window.partitionBy(*TIMELINE, "_competition", "_round")))
+    rows = _recognition(rows.withColumn("_day_best", best.over(Window.partitionBy(*TIMELINE, "_day"))))
+    smaller = Window.partitionBy(*TIMELINE).orderBy("value").rangeBetween(Window.unboundedPreceding, -1)
+    first = F.when(F.col("recognition") == "recognized", F.struct(*_FIRST_ROW))
+    rows = rows.withColumns(
+        {
+            "_smaller": F.min("value").over(smaller),
+            "_breaker": F.min(first).over(smaller),
+            "_sharing": F.count(F.lit(1)).over(Window.partitionBy(*TIMELINE, "value")),
+        }
+    )
+    return _holding(rows, qualifying.columns)
+
+
+def _adjudicate_long(qualifying: DataFrame) -> DataFrame:
+    """For timelines of any length: aggregates and lookups instead of windows."""
+    best = F.min(F.struct("value", *ORDER))
+    rows = _units(qualifying)
+    rows = attach_group(rows, TIMELINE + ["_competition", "_round"], [best.alias("_round_best")])
+    rows = attach_group(rows, TIMELINE + ["_day"], [best.alias("_day_best")])
+    rows = stage(_recognition(rows))
 
     # Qualifying values never rise along a timeline, so the first later recognized row with a
     # smaller value is the earliest one among all smaller values. That is a scan over the
     # distinct values of a timeline in rising order, cut by value. A value without any smaller
     # one is the current record.
     recognized = F.col("recognition") == "recognized"
-    first_row = F.struct(*ORDER, "person_id", "competition_id", "competition_name")
+    first_row = F.struct(*_FIRST_ROW)
     values = rows.groupBy(*TIMELINE, "value").agg(
         F.count(F.lit(1)).alias("_sharing"),
         F.min(F.when(recognized, first_row)).alias("_first"),
@@ -158,8 +191,12 @@ def adjudicate_qualifying(qualifying: DataFrame) -> DataFrame:
         number_buckets("value"),
         {"_smaller": ("min", F.col("value")), "_breaker": ("min", F.col("_first"))},
     ).drop("_first")
-    rows = attach_lookup(rows, values, TIMELINE + ["value"])
+    return _holding(attach_lookup(rows, values, TIMELINE + ["value"]), qualifying.columns)
+
 
+def _holding(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Current holders and ceased records, by the smaller values of a row's timeline."""
+    recognized = F.col("recognition") == "recognized"
     holds = recognized & F.col("_smaller").isNull()
     breaker = F.col("_breaker")
     ceased = recognized & ~holds & breaker.isNotNull()
@@ -176,7 +213,7 @@ def adjudicate_qualifying(qualifying: DataFrame) -> DataFrame:
         .otherwise("broken_by_other_other_competition")
     )
     return rows.select(
-        *qualifying.columns,
+        *columns,
         "recognition",
         (F.col("_sharing") > 1).alias("shared_tie"),
         holds.alias("currently_holds"),
