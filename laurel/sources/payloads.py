@@ -148,10 +148,42 @@ _MEANINGFUL = (
 def _last_of_each(rows: Column, ident) -> Column:
     """The last element of each id of an array, in the order of ids; null ids count as one."""
     marked = F.transform(rows, lambda r, i: F.struct(ident(r).alias("id"), i.alias("at"), r.alias("row")))
-    ordered = F.array_sort(marked, lambda x, y: F.when(x["id"].eqNullSafe(y["id"]), x["at"] - y["at"])
-                           .when(x["id"].isNull() | (x["id"] < y["id"]), -1).otherwise(1))
-    last = F.filter(ordered, lambda x, i: ~F.coalesce(F.get(ordered, i + 1)["id"].eqNullSafe(x["id"]) & (i + 1 < F.size(ordered)), F.lit(False)))
-    return F.transform(last, lambda x: x["row"])
+
+    def last(ordered: Column) -> Column:
+        follows = lambda i: F.get(ordered, i + 1)["id"]
+        kept = F.filter(ordered, lambda x, i: (i + 1 >= F.size(ordered)) | ~follows(i).eqNullSafe(x["id"]))
+        return F.transform(kept, lambda x: x["row"])
+
+    return _once(F.sort_array(marked), last)
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once; inside an inner lambda it would be for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _found(table: Column, key: Column) -> Column:
+    """The user of a key in ``entries`` sorted by key, by binary search; a lookup in a map reads it from its start."""
+    at = F.aggregate(
+        table["steps"],
+        F.lit(0),
+        lambda low, step: F.when(F.get(table["entries"], low + step - 1)["key"] < key, low + step).otherwise(low),
+    )
+    entry = F.get(table["entries"], at)
+    return F.when(entry["key"] == key, entry["value"])
+
+
+def _rostered(frames: DataFrame, rows: str, roster: str) -> DataFrame:
+    """Adds ``_rows``: the compact rows (``r``), each with its competitor (``user``) from the roster."""
+    parsed = frames.withColumns({"_users": F.from_json(roster, ROSTER), "_rows": F.from_json(rows, f"array<{COMPACT_ROW}>")})
+    # Of equal keys the first counts.
+    entries = F.transform(F.map_entries("_users"), lambda e, i: F.struct(e["key"].alias("key"), i.alias("at"), e["value"].alias("value")))
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), lambda step: step <= F.size("_users"))
+    table = F.struct(F.sort_array(entries).alias("entries"), steps.alias("steps"))
+    paired = _once(
+        table, lambda t: F.transform("_rows", lambda r: F.struct(r.alias("r"), _found(t, r["n"].cast("string")).alias("user")))
+    )
+    return parsed.withColumn("_rows", paired).drop("_users")
 
 
 def round_results(snapshots: DataFrame, json: str = "payload") -> DataFrame:
@@ -281,12 +313,11 @@ def first_source_frames(frames: DataFrame, json: str = "payload") -> DataFrame:
 
 def second_source_frames(frames: DataFrame, json: str = "payload", roster: str = "users") -> DataFrame:
     """The same for compact rows with a roster; the frame's time stands in for the time of entry."""
-    users = F.from_json(roster, ROSTER)
-    parsed = frames.withColumns({"_users": users, "_rows": F.from_json(json, f"array<{COMPACT_ROW}>")})
-    last = _last_of_each(F.col("_rows"), lambda r: r["i"].cast("string"))
+    parsed = _rostered(frames, json, roster)
+    last = _last_of_each(F.col("_rows"), lambda x: x["r"]["i"].cast("string"))
 
-    def normal(r: Column) -> Column:
-        user = F.try_element_at(F.col("_users"), r["n"].cast("string"))
+    def normal(item: Column) -> Column:
+        r, user = item["r"], item["user"]
         return F.struct(
             r["i"].cast("string").alias("result_id"),
             F.upper(_blank(user["wcaid"])).alias("person_id"),
@@ -300,7 +331,7 @@ def second_source_frames(frames: DataFrame, json: str = "payload", roster: str =
             F.lit(None).cast("timestamp").alias("entered_at"),
         )
 
-    return parsed.withColumn("rows", _frame_rows(F.transform(last, normal))).drop("_users", "_rows", json, roster)
+    return parsed.withColumn("rows", _frame_rows(F.transform(last, normal))).drop("_rows", json, roster)
 
 
 def record_benchmarks(payloads: DataFrame, json: str = "payload") -> DataFrame:

@@ -7,83 +7,107 @@ from pyspark.sql import functions as F
 
 from laurel.operators import timeline
 from laurel.operators.grouping import latest_per_key
-from laurel.session import staging
+from laurel.session import stage, staging
 from laurel.streaming.store import BucketStore
 
 
-class LiveTimelines:
-    """Heads, level rows and record cells of a stream of result revisions, as a ``foreachBatch`` sink.
-
-    The head of a result is its revision with the highest number, whenever it arrives. A batch touches
-    the timelines of the heads it brings and of the heads these replace, so a result that is corrected,
-    retracted or moved to another scope leaves the timelines it was in. Only touched timelines are
-    replayed, from their members and the baseline, and only their buckets are written.
-    """
+class _Heads:
+    """The head of each result: its revision with the highest number, whenever it arrives."""
 
     def __init__(self, baseline: DataFrame, absorbed: DataFrame, root: str, revisions: str, buckets: int = 256):
         """``revisions``: the schema of the stream, with the columns that ``timeline.classify`` needs."""
         self.spark: SparkSession = baseline.sparkSession
         self.baseline, self.absorbed = baseline, absorbed
         self.heads = BucketStore(self.spark, f"{root}/heads", ["canonical_id"], buckets)
-        self.members = BucketStore(self.spark, f"{root}/members", timeline.TIMELINE, buckets)
+        self.head_schema = self.spark.createDataFrame([], revisions).schema
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        with staging(self.spark):
+            names = self.head_schema.names
+            arrived = latest_per_key(batch.select(*names), ["canonical_id"], ["revision"])
+            arrived = stage(arrived.select("canonical_id", F.struct(*names).alias("_new")))
+            buckets = self.heads.touched(arrived)
+            stored = self.heads.read(number - 1, self.head_schema, buckets).select("canonical_id", F.struct(*names).alias("_old"))
+            newer = F.col("_new").isNotNull() & (F.col("_old").isNull() | (F.col("_new.revision") > F.col("_old.revision")))
+            both = stage(stored.join(arrived, "canonical_id", "full_outer").withColumn("_newer", newer))
+            changed = both.where("_newer")
+            news, replaced = changed.select("_new.*"), changed.where("_old IS NOT NULL").select("_old.*")
+            self._apply(*(timeline.live_members(df, self.absorbed) for df in (news, replaced)), number)
+            # The heads go last: as long as they are not written, a repeated batch sees the same change.
+            self.heads.write(number, both.select(F.when(F.col("_newer"), F.col("_new")).otherwise(F.col("_old")).alias("_row")).select("_row.*"), buckets)
+
+    def _apply(self, own: DataFrame, old: DataFrame, number: int) -> None:
+        """Bring in the members ``own`` of a batch's heads, and take out those of the heads they replace."""
+        raise NotImplementedError
+
+    def run(self, stream: DataFrame, checkpoint: str) -> int:
+        """Process everything available; returns the number of the last batch."""
+        writer = stream.writeStream.foreachBatch(self.write).option("checkpointLocation", checkpoint)
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+        return query.lastProgress["batchId"]
+
+
+class LiveTimelines(_Heads):
+    """Heads and level rows of a stream of result revisions, as a ``foreachBatch`` sink.
+
+    A batch touches the timelines of the heads it brings and of the heads these replace, so a result that
+    is corrected, retracted or moved to another scope leaves the timelines it was in. Only touched timelines
+    are replayed, from their members and the baseline, and only their buckets are written. The members of a
+    timeline are its level rows, so they are stored once.
+    """
+
+    def __init__(self, baseline: DataFrame, absorbed: DataFrame, root: str, revisions: str, buckets: int = 256):
+        super().__init__(baseline, absorbed, root, revisions, buckets)
         self.levels = BucketStore(self.spark, f"{root}/levels", timeline.TIMELINE, buckets)
-        self.cells = BucketStore(self.spark, f"{root}/cells", timeline.TIMELINE, buckets)
-        empty = self.spark.createDataFrame([], revisions)
-        self.head_schema = empty.schema
-        members = timeline.live_members(empty, absorbed)
+        members = timeline.live_members(self.spark.createDataFrame([], self.head_schema), absorbed)
         self.member_schema = members.schema
         self.level_schema = timeline.adjudicated_schema(members)
-        self.cell_schema = timeline.live_cells(members, baseline).schema
 
-    def write(self, batch: DataFrame, number: int) -> None:
-        with staging(self.spark):
-            self._write(batch, number)
-
-    def _write(self, batch: DataFrame, number: int) -> None:
-        last = number - 1
-        arrived = latest_per_key(batch.select(*self.head_schema.names), ["canonical_id"], ["revision"])
-        head_buckets = self.heads.touched(arrived)
-        stored = self.heads.read(last, self.head_schema, head_buckets)
-        known = stored.select("canonical_id", F.col("revision").alias("_known"))
-        news = arrived.join(known, "canonical_id", "left").where("_known IS NULL OR revision > _known").drop("_known").persist()
-        replaced = stored.join(news.select("canonical_id"), "canonical_id", "left_semi")
-        own, old = (timeline.live_members(df, self.absorbed) for df in (news, replaced))
-        affected = own.select(*timeline.TIMELINE).unionByName(old.select(*timeline.TIMELINE)).distinct().persist()
-        buckets = self.members.touched(affected)
-
-        members = self.members.read(last, self.member_schema, buckets)
-        members = members.join(news.select("canonical_id"), "canonical_id", "left_anti").unionByName(own.select(*self.member_schema.names))
-        self.members.write(number, members, buckets)
-        current = self.members.read(number, self.member_schema, buckets).join(affected, timeline.TIMELINE, "left_semi")
+    def _apply(self, own: DataFrame, old: DataFrame, number: int) -> None:
+        affected = stage(own.select(*timeline.TIMELINE).unionByName(old.select(*timeline.TIMELINE)).distinct())
+        buckets = self.levels.touched(affected)
+        stored = self.levels.read(number - 1, self.level_schema, buckets)
+        members = stored.select(*self.member_schema.names).join(affected, timeline.TIMELINE, "left_semi")
+        members = members.join(old.select("canonical_id").distinct(), "canonical_id", "left_anti")
+        members = stage(members.select(*self.member_schema.names).unionByName(own.select(*self.member_schema.names)))
         seeds = self.baseline.join(affected, timeline.TIMELINE, "left_semi")
-        redone = timeline.adjudicate(timeline.replay(current, seeds)).select(*self.level_schema.names)
-        kept = self.levels.read(last, self.level_schema, buckets).join(affected, timeline.TIMELINE, "left_anti")
+        redone = timeline.adjudicate(timeline.replay(members, seeds)).select(*self.level_schema.names)
+        kept = stored.join(affected, timeline.TIMELINE, "left_anti").select(*self.level_schema.names)
         self.levels.write(number, kept.unionByName(redone), buckets)
-        best = timeline.live_cells(current, seeds)
-        kept = self.cells.read(last, self.cell_schema, buckets).join(affected, timeline.TIMELINE, "left_anti")
-        self.cells.write(number, kept.unionByName(best), buckets)
-
-        # The heads go last: as long as they are not written, a repeated batch sees the same change.
-        rest = stored.join(news.select("canonical_id"), "canonical_id", "left_anti")
-        self.heads.write(number, rest.unionByName(news.select(*self.head_schema.names)), head_buckets)
-        news.unpersist()
-        affected.unpersist()
 
     def level_rows(self, batch: int) -> DataFrame:
         return self.levels.read(batch, self.level_schema)
 
     def cell_values(self, batch: int) -> DataFrame:
-        """Current value of every record cell: those that were ever touched, and else the baseline's."""
-        touched = self.cells.read(batch, self.cell_schema)
-        rest = self.baseline.select(*timeline.TIMELINE, F.col("value").cast("long").alias("value"))
-        return touched.unionByName(rest.join(touched.select(*timeline.TIMELINE), timeline.TIMELINE, "left_anti"))
+        """Current value of every record cell."""
+        return timeline.live_cells(self.level_rows(batch), self.baseline)
 
-    def run(self, stream: DataFrame, checkpoint: str) -> int:
-        """Process everything available; returns the number of the last batch."""
-        writer = stream.writeStream.foreachBatch(self.write).option("checkpointLocation", checkpoint)
-        query = writer.trigger(availableNow=True).start()
-        query.awaitTermination()
-        return query.lastProgress["batchId"]
+
+class LiveCells(_Heads):
+    """Record cells alone, for streams that need no level rows.
+
+    A cell is the least value that its timeline holds, so it is enough to count how many members hold each
+    value: a batch adds the members of its heads and takes off those of the heads these replace.
+    """
+
+    def __init__(self, baseline: DataFrame, absorbed: DataFrame, root: str, revisions: str, buckets: int = 256):
+        super().__init__(baseline, absorbed, root, revisions, buckets)
+        self.counts = BucketStore(self.spark, f"{root}/counts", timeline.TIMELINE, buckets)
+        members = timeline.live_members(self.spark.createDataFrame([], self.head_schema), absorbed)
+        self.count_schema = members.select(*timeline.TIMELINE, "value", F.lit(0).cast("long").alias("n")).schema
+
+    def _apply(self, own: DataFrame, old: DataFrame, number: int) -> None:
+        key = [*timeline.TIMELINE, "value"]
+        signed = [df.select(*key, F.lit(n).cast("long").alias("n")) for df, n in ((own, 1), (old, -1))]
+        change = stage(signed[0].unionByName(signed[1]).groupBy(*key).agg(F.sum("n").alias("n")).where("n <> 0"))
+        buckets = self.counts.touched(change)
+        both = self.counts.read(number - 1, self.count_schema, buckets).unionByName(change)
+        self.counts.write(number, both.groupBy(*key).agg(F.sum("n").alias("n")).where("n > 0"), buckets)
+
+    def cell_values(self, batch: int) -> DataFrame:
+        """Current value of every record cell."""
+        return timeline.live_cells(self.counts.read(batch, self.count_schema), self.baseline)
 
 
 def heartbeats(stream: DataFrame) -> DataFrame:

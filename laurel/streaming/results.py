@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from laurel.functions.finalize import all_attempts_entered, is_final
 from laurel.operators.grouping import attach_lookup, global_rank
-from laurel.session import staging
+from laurel.session import stage, staging
 from laurel.sources.payloads import FRAME_ROW
 from laurel.streaming.evidence import EvidenceStore
-from laurel.streaming.live import LiveTimelines
+from laurel.streaming.live import LiveCells, LiveTimelines
 
 
 def _observed(row: Column, kind: str) -> Column:
@@ -72,11 +72,13 @@ def revisions(changes: DataFrame, rounds: DataFrame, places: DataFrame) -> DataF
     return attach_lookup(flat, continents, ["country"]).withColumn("continent", F.coalesce("continent", F.lit("")))
 
 
-def timeline_sink(state: LiveTimelines, rounds: DataFrame, places: DataFrame) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink that brings snapshot changes to live timelines."""
+def timeline_sink(state: LiveTimelines | LiveCells, rounds: DataFrame, places: DataFrame) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink that brings snapshot changes to live timelines or cells."""
 
     def write(changes: DataFrame, number: int) -> None:
-        state.write(revisions(changes, rounds, places).select(*state.head_schema.names), number)
+        # The diff's output is read once: what a batch changes is staged before it is looked into.
+        with staging(state.spark):
+            state.write(stage(revisions(changes, rounds, places).select(*state.head_schema.names)), number)
 
     return write
 

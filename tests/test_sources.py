@@ -241,3 +241,27 @@ def test_country_codes(spark, tmp_path):
     assert [r.country_code for r in export.require_country_codes(known, places, "region").collect()] == ["TW", "JP"]
     assert [r.continent for r in export.with_continent(spark.createDataFrame([("jp",), ("XX",)], "country_code string"), places).collect()] == ["Asia", ""]
     assert len(fixed.AVERAGE_EVENTS) == 19 and len(fixed.SINGLE_EVENTS) == 21
+
+
+def test_frames_of_large_rounds_are_read_in_one_pass(spark):
+    import json
+    import time
+
+    n = 6000
+    person = lambda i: {"id": f"p{i}", "wcaId": f"W{i}", "country": {"iso2": "NL"}}
+    first = [{"id": str(i % n), "attempts": [{"result": i}], "best": i, "average": 0, "person": person(i)} for i in range(n + 5)]
+    second = [{"i": i % n, "c": 1, "n": i, "e": "333", "r": "f", "v": [i], "b": i, "a": 0} for i in range(n + 5)]
+    roster = {str(i): {"number": i, "name": f"N{i}", "wcaid": f"w{i}", "region": "NL"} for i in range(0, n, 2)}
+    frame = spark.createDataFrame(
+        [("r", json.dumps({"id": "r", "results": first}), json.dumps(second), json.dumps(roster)), ("q", "{", "{", None), ("s", '{"results":[]}', "[]", "{}")],
+        "round_id string, one string, two string, users string")
+    started = time.monotonic()
+    one = {r.round_id: r.rows for r in payloads.first_source_frames(frame, "one").collect()}
+    two = {r.round_id: r.rows for r in payloads.second_source_frames(frame.drop("one"), "two").collect()}
+    assert time.monotonic() - started < 60
+    assert (one["q"], two["q"], one["s"], two["s"]) == (None, None, [], [])
+    assert len(one["r"]) == len(two["r"]) == n and [r.result_id for r in one["r"]] == sorted(str(i) for i in range(n))
+    rows = {r.result_id: json.loads(r.row) for r in one["r"]}
+    assert rows["3"]["best"] == n + 3 and rows["7"]["best"] == 7  # the last row of an id wins
+    rows = {r.result_id: json.loads(r.row) for r in two["r"]}
+    assert (rows["6"]["person_id"], rows["7"]["person_id"], rows["4"]["person_id"]) == ("W6", "", "")
