@@ -83,8 +83,9 @@ def is_collectable(end_date, as_of, grace_minutes: int = 720) -> Column:
 
 def compact_date_range(text) -> Column:
     """``2026-08-09``, ``2026-08-09~10``, ``2026-08-30~09-02`` or two full dates."""
-    parts = F.transform(F.split(_col(text), "~", 2), lambda part: F.trim(part))
-    first, last = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    text = _col(text)
+    cut = F.instr(text, "~")
+    first, last = F.trim(F.substring_index(text, "~", 1)), F.when(cut > 0, F.trim(F.substr(text, cut + 1)))
     full = (
         F.when(last.isNull(), first)
         .when(last.rlike(r"^\d{2}$"), F.concat(F.substring(first, 1, 8), last))

@@ -268,7 +268,7 @@ def _order_lines(spark, folder):
     """Documents of an order's lines, in a fixed order; line numbers may repeat in one document."""
     line = F.struct("l_linenumber", "l_suppkey", "l_partkey", F.floor("l_extendedprice").cast("long").alias("price"), "l_returnflag")
     pages = table(spark, folder, "lineitem").select("l_orderkey", (F.col("l_partkey") % PAGES_PER_ORDER).alias("page"), line.alias("line"))
-    return pages.groupBy("l_orderkey", "page").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    return pages.groupBy("l_orderkey", "page").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
 @query(

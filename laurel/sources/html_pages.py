@@ -1,15 +1,19 @@
 """Rows from HTML pages: competition index, competition detail, registrations, live rounds.
 
-Pages are spread over the cluster as rows; each task parses its own pages batch by batch with the
-standard library parser, and everything after cell extraction is done with columns.
+Pages are spread over the cluster as rows; each task reads its own pages batch by batch, and everything
+after cell extraction is done with columns. Pages of regular markup are cut at their tags; those with
+anything else go through the standard library parser, and tables are built from either in the same way.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
+from html import unescape
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,91 +28,220 @@ _ROUNDS = (
 _CELL = "struct<text:string,href:string,link_text:string>"
 _TABLES = f"array<struct<text:string,head:array<string>,head_classes:array<string>,rows:array<array<{_CELL}>>>>"
 
+# What a page's tables are built from, in the order of the page: pairs of one of these and its value.
+_DATA, _TABLE, _PART, _ROW, _HEAD, _CELL_OF, _LINK, _TABLE_END, _HEAD_END, _CELL_END, _LINK_END = range(11)
+_ENDS = {"table": _TABLE_END, "th": _HEAD_END, "td": _CELL_END, "a": _LINK_END}
 
-class _Tables(HTMLParser):
-    """Tables of a page: header cells, body rows and the first link of each cell."""
+# Tags that every version of the parser reads alike, without "<" and ">": complete attributes, comments without "--".
+_WORD = r"[a-zA-Z][-a-zA-Z0-9_:.]*+"
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[-a-zA-Z0-9_#:.%]++)"""
+_ATTRIBUTE = re.compile(rf"({_WORD})(?:=({_VALUE}))?")
+_TAG = re.compile(rf"(/?)([a-zA-Z][a-zA-Z0-9]*+)((?:[ \t\n\r\f]++{_WORD}(?:={_VALUE})?)*+)[ \t\n\r\f]*+(/?)")
+_ASIDE = re.compile(r"!--(?!-)(?:[^-]|-(?!-))*+--|!doctype.*+", re.I | re.S)
+# Elements whose text is read as it is, and those that are read in different ways.
+_RAW = frozenset(("script", "style", "title", "textarea"))
+_ODD = frozenset(("xmp", "iframe", "noembed", "noframes", "noscript", "plaintext"))
+# Pages of one batch that goes back; bounds its memory.
+_PAGES = 1000
+
+
+def _text(data: str) -> tuple | None:
+    data = data.strip()
+    return (_DATA, data) if data else None
+
+
+def _start(tag: str, attrs: list) -> tuple | None:
+    if tag == "a":
+        return _LINK, dict(attrs).get("href")
+    if tag == "th":
+        return _HEAD, (dict(attrs).get("class") or "").split()
+    if tag in ("thead", "tbody"):
+        return _PART, tag
+    code = {"table": _TABLE, "tr": _ROW, "td": _CELL_OF}.get(tag)
+    return None if code is None else (code, None)
+
+
+def _end(tag: str) -> tuple | None:
+    return (_ENDS[tag], None) if tag in _ENDS else None
+
+
+class _Parser(HTMLParser):
+    """The standard library's parser; ``steps`` is what it found."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.tables: list[dict] = []
-        self._open: list[dict] = []
+        self.steps: list = []
+
+    def _add(self, step: tuple | None) -> None:
+        if step:
+            self.steps.append(step)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        given = dict(attrs)
-        if tag == "table":
-            table = {"text": [], "head": [], "head_classes": [], "rows": [], "part": "", "cell": None}
-            self.tables.append(table)
-            self._open.append(table)
-        if not self._open:
-            return
-        table = self._open[-1]
-        if tag in ("thead", "tbody"):
-            table["part"] = tag
-        elif tag == "tr" and table["part"] == "tbody":
-            table["rows"].append([])
-        elif tag == "th":
-            table["cell"] = {"text": [], "href": None, "link": None}
-            table["head_classes"].extend((given.get("class") or "").split())
-        elif tag == "td" and table["rows"]:
-            table["cell"] = {"text": [], "href": None, "link": None}
-            table["rows"][-1].append(table["cell"])
-        elif tag == "a" and table["cell"] is not None and table["cell"]["href"] is None and given.get("href"):
-            table["cell"]["href"] = given["href"]
-            table["cell"]["link"] = []
-            table["in_link"] = True
+        self._add(_start(tag, attrs))
 
     def handle_endtag(self, tag: str) -> None:
-        if not self._open:
-            return
-        table = self._open[-1]
-        if tag == "table":
-            self._open.pop()
-        elif tag == "th" and table["cell"] is not None:
-            if table["part"] == "thead":
-                table["head"].append(_joined(table["cell"]["text"]))
-            table["cell"] = None
-        elif tag == "td":
-            table["cell"] = None
-        elif tag == "a":
-            table["in_link"] = False
+        self._add(_end(tag))
 
     def handle_data(self, data: str) -> None:
-        for table in self._open:
-            table["text"].append(data)
-        if self._open and self._open[-1]["cell"] is not None:
-            cell = self._open[-1]["cell"]
-            cell["text"].append(data)
-            if self._open[-1].get("in_link") and cell["link"] is not None:
-                cell["link"].append(data)
+        self._add(_text(data))
 
 
-def _joined(pieces: list[str]) -> str:
-    return " ".join(p.strip() for p in pieces if p.strip())
+def _parsed(html: str) -> list:
+    parser = _Parser()
+    parser.feed(html)
+    parser.close()
+    return parser.steps
+
+
+@lru_cache(maxsize=1024)
+def _regular_tag(tag: str) -> tuple[str, tuple] | None:
+    """A tag's name (of raw text only, else empty) and what it stands for; none if it is not regular."""
+    found = _TAG.fullmatch(tag)
+    if not found:
+        return ("", ()) if _ASIDE.fullmatch(tag) else None
+    ended, name, attributes, closed = found.groups()
+    name = name.lower()
+    if name in _ODD or ended and (attributes or closed) or name in _RAW and (ended or closed):
+        return None
+    if ended:
+        steps = [_end(name)]
+    elif "&" in attributes:
+        steps = _parsed(f"<{tag}>")
+    else:
+        given = _ATTRIBUTE.findall(attributes)
+        attrs = [(n.lower(), (v[1:-1] if v[0] in "'\"" else v) if v else None) for n, v in given]
+        steps = [_start(name, attrs), _end(name) if closed else None]
+    return name if name in _RAW else "", tuple(step for step in steps if step)
+
+
+def _regular(html: str) -> list | None:
+    """What ``_parsed`` finds, for pages of regular markup, cut at its tags; none for others."""
+    steps, raw = [], ""
+    # With a document type before it, the text that begins a page is one piece like the others.
+    for piece in f"!doctype>{html}".split("<"):
+        tag, closed, data = piece.partition(">")
+        if not closed:
+            return None
+        if raw:
+            # Nothing but its end may follow an element of raw text.
+            if tag.lower() != f"/{raw}":
+                return None
+            raw = ""
+        else:
+            found = _regular_tag(tag)
+            if found is None:
+                return None
+            raw, made = found
+            steps += made
+        if data:
+            if "&" in data and raw not in ("script", "style"):
+                data = unescape(data)
+            data = data.strip()
+            if data:
+                steps.append((_DATA, data))
+    return None if raw else steps
 
 
 def _page_tables(html: str | None) -> list[dict]:
-    parser = _Tables()
-    parser.feed(html or "")
-    parser.close()
-    return [
-        {
-            "text": _joined(t["text"]),
-            "head": t["head"],
-            "head_classes": t["head_classes"],
-            "rows": [
-                [
-                    {
-                        "text": _joined(c["text"]),
-                        "href": c["href"],
-                        "link_text": None if c["link"] is None else _joined(c["link"]),
-                    }
-                    for c in row
-                ]
-                for row in t["rows"]
-            ],
-        }
-        for t in parser.tables
-    ]
+    """Tables of a page: their text, header cells, body rows and the first link of each cell."""
+    steps = _regular(html or "")
+    if steps is None:
+        steps = _parsed(html or "")
+    tables, opened, table = [], [], None
+    for step, value in steps:
+        if step == _TABLE:
+            table = {"text": [], "head": [], "head_classes": [], "rows": [], "part": "", "cell": None, "in_link": False}
+            tables.append(table)
+            opened.append(table)
+        elif table is None:
+            continue
+        elif step == _DATA:
+            for each in opened:
+                each["text"].append(value)
+            cell = table["cell"]
+            if cell is not None:
+                cell["text"].append(value)
+                if table["in_link"] and cell["link"] is not None:
+                    cell["link"].append(value)
+        elif step == _CELL_OF:
+            if table["rows"]:
+                table["cell"] = {"text": [], "href": None, "link": None}
+                table["rows"][-1].append(table["cell"])
+        elif step == _CELL_END:
+            table["cell"] = None
+        elif step == _LINK:
+            cell = table["cell"]
+            if cell is not None and cell["href"] is None and value:
+                cell["href"], cell["link"], table["in_link"] = value, [], True
+        elif step == _LINK_END:
+            table["in_link"] = False
+        elif step == _ROW:
+            if table["part"] == "tbody":
+                table["rows"].append([])
+        elif step == _PART:
+            table["part"] = value
+        elif step == _HEAD:
+            table["cell"] = {"text": [], "href": None, "link": None}
+            table["head_classes"].extend(value)
+        elif step == _HEAD_END:
+            if table["cell"] is not None:
+                if table["part"] == "thead":
+                    table["head"].append(" ".join(table["cell"]["text"]))
+                table["cell"] = None
+        elif step == _TABLE_END:
+            opened.pop()
+            table = opened[-1] if opened else None
+    return tables
+
+
+class _Lists:
+    """Lists of lists as Arrow takes them: where each begins, and all items."""
+
+    def __init__(self) -> None:
+        self.offsets, self.items = [0], []
+
+    def add(self, items: list) -> None:
+        self.items.extend(items)
+        self.offsets.append(len(self.items))
+
+    def array(self, items: pa.Array, missing: list | None = None) -> pa.Array:
+        mask = None if missing is None else pa.array(missing, pa.bool_())
+        return pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), items, mask=mask)
+
+
+def _strings(values: list) -> pa.Array:
+    return pa.array(values, pa.string())
+
+
+def _tables_array(pages: list[list[dict] | None]) -> pa.Array:
+    """The tables of pages as one array of ``_TABLES``; null for a page that cannot be read."""
+    tables, heads, classes, rows, cells = (_Lists() for _ in range(5))
+    for page in pages:
+        tables.add(page or [])
+    for table in tables.items:
+        heads.add(table["head"])
+        classes.add(table["head_classes"])
+        rows.add(table["rows"])
+    for row in rows.items:
+        cells.add(row)
+    cell = pa.StructArray.from_arrays(
+        [
+            _strings([" ".join(c["text"]) for c in cells.items]),
+            _strings([c["href"] for c in cells.items]),
+            _strings([None if c["link"] is None else " ".join(c["link"]) for c in cells.items]),
+        ],
+        ["text", "href", "link_text"],
+    )
+    table = pa.StructArray.from_arrays(
+        [
+            _strings([" ".join(t["text"]) for t in tables.items]),
+            heads.array(_strings(heads.items)),
+            classes.array(_strings(classes.items)),
+            rows.array(cells.array(cell)),
+        ],
+        ["text", "head", "head_classes", "rows"],
+    )
+    return tables.array(table, [page is None for page in pages])
 
 
 def page_tables(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -124,12 +257,17 @@ def page_tables(pages: DataFrame, html: str = "html") -> DataFrame:
         except Exception as error:  # noqa: BLE001 - whatever the parser trips over, only this page is lost
             return None, f"page cannot be read: {type(error).__name__}"
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [read(page) for page in batch[html]]
-            yield batch.drop(columns=[html]).assign(tables=[f[0] for f in found], page_error=[f[1] for f in found])
+    names = [f.name for f in keep]
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, _PAGES):
+                batch = whole.slice(start, _PAGES)
+                found = [read(page) for page in batch.column(html).to_pylist()]
+                made = [_tables_array([f[0] for f in found]), _strings([f[1] for f in found])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made], [*names, "tables", "page_error"])
 
-    return pages.mapInPandas(parse, schema)
+    return pages.mapInArrow(parse, schema)
 
 
 def _first_table(pages: DataFrame, wanted) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import random
 from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, date, datetime
 
@@ -265,3 +266,40 @@ def test_frames_of_large_rounds_are_read_in_one_pass(spark):
     assert rows["3"]["best"] == n + 3 and rows["7"]["best"] == 7  # the last row of an id wins
     rows = {r.result_id: json.loads(r.row) for r in two["r"]}
     assert (rows["6"]["person_id"], rows["7"]["person_id"], rows["4"]["person_id"]) == ("W6", "", "")
+
+
+_PIECES = (
+    "<table>", "</table>", "<thead>", "<tbody>", "<tr>", "</tr>", "<td>", "</td>", "<TD class='x' hidden>", "<td/>", '<th class="a b">', "</th >",
+    '<a href="/r?x=1&amp;y=2">', "<a href=b>", "<a href>", '<A\tHREF="q">', "</a>", "<br />", "text", " a &amp; b ", "&nbsp;", "&", ">",
+    "<!-- c -->", "<!doctype html>", "<script>a && b</script>", "<title>T &lt; x</title>",
+)
+_ODD_PIECES = (
+    "<", "<!-->", "<!-- a -- b -->", "<script>if (a < b) {}</script>", "<script/>", "</td x>", '<a href="a>b">', "<td x=1/2>", "<a href = c>",
+    "<title>", "<textarea>", '<a href="1"class="y">', "</>", "<td", "<t\x00d>",
+)
+
+
+def test_regular_pages_read_as_by_the_parser():
+    """Random pages: what is cut at the tags equals what the standard library's parser finds."""
+    draw, regular = random.Random(3), 0
+    for number in range(4000):
+        pieces = _PIECES if number % 2 else _PIECES + _ODD_PIECES
+        page = "<table>" * (number % 3 == 0) + "".join(draw.choice(pieces) for _ in range(draw.randrange(14)))
+        cut = html_pages._regular(page)
+        regular += cut is not None
+        assert cut is None or _merged(cut) == _merged(html_pages._parsed(page)), page
+    assert regular > 2000
+
+
+def _merged(steps):
+    return [(code, tuple(value) if isinstance(value, list) else value) for code, value in steps]
+
+
+def test_an_index_of_regular_rows_needs_no_parser(spark):
+    row = '<tr><td>1996-01-02~ 03</td><td><a href="https://x/competition/slug-7?lang=en">C &amp; D</a></td><td>Sichuan</td><td>City</td><td>-</td></tr>'
+    page = f"<!doctype html><script>a()</script><table><thead><tr><th>Date</th><th>Competition Name</th></tr></thead><tbody>{row * 3}</tbody></table>"
+    assert html_pages._regular(page) is not None
+    found = html_pages.competition_index(html_pages.page_tables(spark.createDataFrame([(page,), (None,)], "html string"))).collect()
+    assert [r.source_id for r in found if r.error is None] == ["slug-7"] * 3
+    assert {(r.name, str(r.start_date), str(r.end_date)) for r in found if r.error is None} == {("C & D", "1996-01-02", "1996-01-03")}
+    assert [r.error for r in found if r.error] == ["table was not found"]
