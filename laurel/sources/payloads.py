@@ -233,12 +233,9 @@ def compact_results(frames: DataFrame, rows: str = "payload", roster: str = "use
     ``frames`` carry ``expected_competition, expected_event, expected_round``; a row of another
     competition, event or round is an error.
     """
-    items = frames.withColumns(
-        {
-            "_users": F.from_json(roster, ROSTER),
-            "_r": F.explode(F.from_json(rows, f"array<{COMPACT_ROW}>")),
-        }
-    )
+    # In a step of its own the roster is read once; beside the explode it would be read for every row.
+    items = frames.withColumn("_users", F.from_json(roster, ROSTER))
+    items = items.withColumn("_r", F.explode(F.from_json(rows, f"array<{COMPACT_ROW}>")))
     r = F.col("_r")
     user = F.try_element_at("_users", r["n"].cast("string"))
     return items.select(

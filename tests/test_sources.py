@@ -303,3 +303,13 @@ def test_an_index_of_regular_rows_needs_no_parser(spark):
     assert [r.source_id for r in found if r.error is None] == ["slug-7"] * 3
     assert {(r.name, str(r.start_date), str(r.end_date)) for r in found if r.error is None} == {("C & D", "1996-01-02", "1996-01-03")}
     assert [r.error for r in found if r.error] == ["table was not found"]
+
+
+def test_a_roster_is_read_once_for_its_rows(spark):
+    rows = json.dumps([{"i": i, "c": 7, "n": i % 3, "e": "333", "r": "1", "v": [5]} for i in range(9)])
+    users = json.dumps({str(n): {"name": f"P{n}"} for n in range(3)})
+    frames = spark.createDataFrame([(rows, users, 7, "333", "1")], "payload string, users string, expected_competition int, expected_event string, expected_round string")
+    parsed = payloads.compact_results(frames)
+    plan = str(parsed._jdf.queryExecution().optimizedPlan())
+    assert plan.index("Generate explode") < plan.index("from_json(MapType")
+    assert [r.person_name for r in parsed.orderBy(F.col("result_id").cast("int")).collect()] == ["P0", "P1", "P2"] * 3
