@@ -24,15 +24,25 @@ ORDER = ["at", "canonical_id", "revision"]
 _BEFORE_ALL = "0001-01-01 00:00:00"
 
 
+# A sort compares the first eight bytes of its first column cheaply: a hash tells timelines apart there,
+# the level (four values) does not.
+_MARKED = ["_timeline", *TIMELINE]
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_timeline", F.xxhash64(*TIMELINE))
+
+
 def replay(
-    members: DataFrame, baseline: DataFrame, buckets: list[Column] | None = None
+    members: DataFrame, baseline: DataFrame, buckets: list[Column] | None = None, groups: list[int] | None = None
 ) -> DataFrame:
     """Incumbent and outcome of every member row.
 
     The incumbent is the least of the baseline and all earlier members. Baseline cells enter the
     scan as rows before everything else, so the (hot) timelines need no join with them.
     ``members`` needs the timeline columns, ``ORDER`` and ``value``. ``buckets`` says how a
-    timeline is cut (see ``scan``); the default is by minute.
+    timeline is cut (see ``scan``); the default is by minute. ``groups`` are the ``long_groups`` of the
+    members, for callers that know them.
     """
     seeds = baseline.select(
         *TIMELINE,
@@ -45,16 +55,17 @@ def replay(
     rows = members.withColumn("value", F.col("value").cast("long")).withColumn("_seed", F.lit(False))
     both = rows.unionByName(seeds, allowMissingColumns=True)
     scanned = prefix_scan(
-        both,
-        TIMELINE,
+        _marked(both),
+        _MARKED,
         ORDER,
         buckets or time_buckets("at"),
         {"incumbent": ("min", F.col("value"))},
+        within=(TIMELINE, long_groups(both, TIMELINE) if groups is None else groups),
     )
     return (
         scanned.where(~F.col("_seed"))
         .withColumn("outcome", outcome("value", "incumbent"))
-        .drop("_seed")
+        .drop("_seed", "_timeline")
     )
 
 
@@ -105,6 +116,19 @@ def adjudicate(replayed: DataFrame) -> DataFrame:
     return judged.unionByName(not_judged(replayed.where(F.col("outcome") == "none")))
 
 
+def replay_and_adjudicate(members: DataFrame, baseline: DataFrame) -> DataFrame:
+    """``adjudicate`` of the replay of ``members``, which are read twice.
+
+    Where no timeline is long, rows are shuffled once: the windows of adjudication follow the scan in place.
+    """
+    groups = long_groups(members, TIMELINE)
+    replayed = replay(members, baseline, groups=groups)
+    if groups:
+        return adjudicate(replayed)
+    judged = _adjudicate_short(replayed.where(F.col("outcome") != "none"))
+    return judged.unionByName(not_judged(replayed.where(F.col("outcome") == "none")))
+
+
 def adjudicate_qualifying(qualifying: DataFrame) -> DataFrame:
     """``adjudicate`` for rows that broke or tied a record; read several times, so stage them."""
     groups = long_groups(qualifying, TIMELINE)
@@ -151,16 +175,16 @@ _FIRST_ROW = [*ORDER, "person_id", "competition_id", "competition_name"]
 def _adjudicate_short(qualifying: DataFrame) -> DataFrame:
     """For timelines short enough for windows, which need one shuffle."""
     best = F.min(F.struct("value", *ORDER))
-    rows = _units(qualifying).repartition(*TIMELINE)
-    rows = rows.withColumn("_round_best", best.over(Window.partitionBy(*TIMELINE, "_competition", "_round")))
-    rows = _recognition(rows.withColumn("_day_best", best.over(Window.partitionBy(*TIMELINE, "_day"))))
-    smaller = Window.partitionBy(*TIMELINE).orderBy("value").rangeBetween(Window.unboundedPreceding, -1)
+    rows = _marked(_units(qualifying)).repartition(*_MARKED)
+    rows = rows.withColumn("_round_best", best.over(Window.partitionBy(*_MARKED, "_competition", "_round")))
+    rows = _recognition(rows.withColumn("_day_best", best.over(Window.partitionBy(*_MARKED, "_day"))))
+    smaller = Window.partitionBy(*_MARKED).orderBy("value").rangeBetween(Window.unboundedPreceding, -1)
     first = F.when(F.col("recognition") == "recognized", F.struct(*_FIRST_ROW))
     rows = rows.withColumns(
         {
             "_smaller": F.min("value").over(smaller),
             "_breaker": F.min(first).over(smaller),
-            "_sharing": F.count(F.lit(1)).over(Window.partitionBy(*TIMELINE, "value")),
+            "_sharing": F.count(F.lit(1)).over(Window.partitionBy(*_MARKED, "value")),
         }
     )
     return _holding(rows, qualifying.columns)
@@ -299,7 +323,7 @@ def classify(revisions: DataFrame, baseline: DataFrame, absorbed: DataFrame) ->
     levels = explode_levels(processed)
     scoped = F.col("scope") != ""
     live = F.col("is_head") & F.col("is_valid") & ~F.col("absorbed")
-    heads = adjudicate(replay(levels.where(live & scoped), baseline))
+    heads = replay_and_adjudicate(levels.where(live & scoped), baseline)
 
     past = ~F.col("is_head") | F.col("absorbed")
     everything = levels.where(scoped & (F.col("value") > 0))
@@ -321,6 +345,20 @@ def classify(revisions: DataFrame, baseline: DataFrame, absorbed: DataFrame) ->
     return heads.unionByName(history).unionByName(rest).drop("_own_valid")
 
 
+def classify_live(revisions: DataFrame, baseline: DataFrame, absorbed: DataFrame) -> DataFrame:
+    """Of ``classify``, the level rows of live timelines alone, with the columns of ``MEMBER``."""
+    processed = mark_absorbed(process_revisions(revisions), absorbed)
+    processed = processed.where(F.col("is_head") & F.col("is_valid") & ~F.col("absorbed"))
+    levels = explode_levels(processed).where(F.col("scope") != "").select(*MEMBER)
+    return replay_and_adjudicate(stage(levels.withColumn("value", F.col("value").cast("long"))), baseline)
+
+
+# What replay and adjudication read of a level row.
+MEMBER = [
+    *TIMELINE, *ORDER, "value", "person_id", "competition_id", "competition_name", "round_id", "round_number", "local_date"
+]
+
+
 def live_members(heads: DataFrame, absorbed: DataFrame) -> DataFrame:
     """Level rows of the heads that take part in live timelines: valid, complete and not absorbed."""
     valid = revision_is_valid("action", "status", "validation_status", "value")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from laurel.operators import timeline
-from laurel.operators.grouping import latest_per_key
+from laurel.operators.scan import long_groups
 from laurel.session import stage, staging
 from laurel.streaming.store import BucketStore
 
@@ -17,24 +17,26 @@ class _Heads:
     def __init__(self, baseline: DataFrame, absorbed: DataFrame, root: str, revisions: str, buckets: int = 256):
         """``revisions``: the schema of the stream, with the columns that ``timeline.classify`` needs."""
         self.spark: SparkSession = baseline.sparkSession
-        self.baseline, self.absorbed = baseline, absorbed
+        # Staged, it has a size by which joins with it are planned.
+        self.baseline, self.absorbed = baseline, stage(absorbed)
         self.heads = BucketStore(self.spark, f"{root}/heads", ["canonical_id"], buckets)
         self.head_schema = self.spark.createDataFrame([], revisions).schema
 
     def write(self, batch: DataFrame, number: int) -> None:
         with staging(self.spark):
             names = self.head_schema.names
-            arrived = latest_per_key(batch.select(*names), ["canonical_id"], ["revision"])
-            arrived = stage(arrived.select("canonical_id", F.struct(*names).alias("_new")))
+            arrived = stage(batch.select(*names))
             buckets = self.heads.touched(arrived)
-            stored = self.heads.read(number - 1, self.head_schema, buckets).select("canonical_id", F.struct(*names).alias("_old"))
-            newer = F.col("_new").isNotNull() & (F.col("_old").isNull() | (F.col("_new.revision") > F.col("_old.revision")))
-            both = stage(stored.join(arrived, "canonical_id", "full_outer").withColumn("_newer", newer))
-            changed = both.where("_newer")
-            news, replaced = changed.select("_new.*"), changed.where("_old IS NOT NULL").select("_old.*")
-            self._apply(*(timeline.live_members(df, self.absorbed) for df in (news, replaced)), number)
+            stored = self.heads.read(number - 1, self.head_schema, buckets).select(*names, F.lit(True).alias("_stored"))
+            # Stored heads and arrivals meet in one shuffle; of the same revision the stored one stays.
+            newest = Window.partitionBy("canonical_id").orderBy(F.desc("revision"), F.desc("_stored"))
+            both = stored.unionByName(arrived.withColumn("_stored", F.lit(False)))
+            both = both.withColumn("_head", F.row_number().over(newest) == 1)
+            both = stage(both.where(F.col("_head") | F.col("_stored")))
+            news, replaced = both.where("_head AND NOT _stored"), both.where("_stored AND NOT _head")
+            self._apply(*(timeline.live_members(df.select(*names), self.absorbed) for df in (news, replaced)), number)
             # The heads go last: as long as they are not written, a repeated batch sees the same change.
-            self.heads.write(number, both.select(F.when(F.col("_newer"), F.col("_new")).otherwise(F.col("_old")).alias("_row")).select("_row.*"), buckets)
+            self.heads.write(number, both.where("_head").select(*names), buckets)
 
     def _apply(self, own: DataFrame, old: DataFrame, number: int) -> None:
         """Bring in the members ``own`` of a batch's heads, and take out those of the heads they replace."""
@@ -51,37 +53,48 @@ class _Heads:
 class LiveTimelines(_Heads):
     """Heads and level rows of a stream of result revisions, as a ``foreachBatch`` sink.
 
+    Level rows are written once, straight from the replay, with incumbent and outcome. Of the few that broke or tied
+    a record the judgement is kept beside them.
+
     A batch touches the timelines of the heads it brings and of the heads these replace, so a result that
-    is corrected, retracted or moved to another scope leaves the timelines it was in. Only touched timelines
-    are replayed, from their members and the baseline, and only their buckets are written. The members of a
-    timeline are its level rows, so they are stored once.
+    is corrected, retracted or moved to another scope leaves the timelines it was in. Only their buckets are
+    read, replayed and written. The members of a timeline are its level rows, so they are stored once; they hold
+    ``timeline.MEMBER``, any other field of a result is in its head.
     """
 
     def __init__(self, baseline: DataFrame, absorbed: DataFrame, root: str, revisions: str, buckets: int = 256):
         super().__init__(baseline, absorbed, root, revisions, buckets)
         self.levels = BucketStore(self.spark, f"{root}/levels", timeline.TIMELINE, buckets)
         members = timeline.live_members(self.spark.createDataFrame([], self.head_schema), absorbed)
-        self.member_schema = members.schema
-        self.level_schema = timeline.adjudicated_schema(members)
+        members = members.select(*timeline.MEMBER)
+        self.judged = BucketStore(self.spark, f"{root}/judged", timeline.TIMELINE, buckets)
+        self.level_schema = members.withColumns({"incumbent": F.lit(None).cast("long"), "outcome": F.lit("")}).schema
+        self.judged_schema = timeline.adjudicated_schema(members)
 
     def _apply(self, own: DataFrame, old: DataFrame, number: int) -> None:
-        affected = stage(own.select(*timeline.TIMELINE).unionByName(old.select(*timeline.TIMELINE)).distinct())
-        buckets = self.levels.touched(affected)
-        stored = self.levels.read(number - 1, self.level_schema, buckets)
-        members = stored.select(*self.member_schema.names).join(affected, timeline.TIMELINE, "left_semi")
-        members = members.join(old.select("canonical_id").distinct(), "canonical_id", "left_anti")
-        members = stage(members.select(*self.member_schema.names).unionByName(own.select(*self.member_schema.names)))
-        seeds = self.baseline.join(affected, timeline.TIMELINE, "left_semi")
-        redone = timeline.adjudicate(timeline.replay(members, seeds)).select(*self.level_schema.names)
-        kept = stored.join(affected, timeline.TIMELINE, "left_anti").select(*self.level_schema.names)
-        self.levels.write(number, kept.unionByName(redone), buckets)
+        touched = own.select(*timeline.TIMELINE).unionByName(old.select(*timeline.TIMELINE))
+        buckets = self.levels.touched(touched)
+        own = own.select(*timeline.MEMBER)
+        stored = self.levels.read(number - 1, self.level_schema, buckets).select(*timeline.MEMBER)
+        groups = long_groups(stored.unionByName(own), timeline.TIMELINE)
+        replaced = old.select("canonical_id").distinct()
+        members = stored.join(replaced, "canonical_id", "left_anti").select(*timeline.MEMBER).unionByName(own)
+        # The scan reads what has long timelines twice.
+        members = stage(members) if groups else members
+        seeds = self.baseline.where(self.levels.bucket().isin(buckets))
+        replayed = timeline.replay(members, seeds, groups=groups).select(*self.level_schema.names)
+        self.levels.write(number, replayed, buckets)
+        qualifying = self.levels.read(number, self.level_schema, buckets).where("outcome <> 'none'")
+        judged = timeline.adjudicate_qualifying(qualifying)
+        self.judged.write(number, judged.select(*self.judged_schema.names), buckets)
 
     def level_rows(self, batch: int) -> DataFrame:
-        return self.levels.read(batch, self.level_schema)
+        others = self.levels.read(batch, self.level_schema).where("outcome = 'none'")
+        return self.judged.read(batch, self.judged_schema).unionByName(timeline.not_judged(others))
 
     def cell_values(self, batch: int) -> DataFrame:
         """Current value of every record cell."""
-        return timeline.live_cells(self.level_rows(batch), self.baseline)
+        return timeline.live_cells(self.levels.read(batch, self.level_schema), self.baseline)
 
 
 class LiveCells(_Heads):

@@ -63,3 +63,17 @@ def test_short_and_long_timelines_are_adjudicated_alike(spark, monkeypatch):
         monkeypatch.setattr(scan, "SHORT", limit)
         assert state_difference(short, judged()).count() == 0
         monkeypatch.undo()
+
+
+def test_carries_of_long_keys_need_no_join_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(scan, "SHORT", 1000)
+    assert _joins(_scanned(_rows(spark)))[1] == 0
+
+
+def test_state_difference_counts_copies_and_nulls(spark):
+    left = spark.createDataFrame([(1, None), (1, None), (2, "b")], "a int, b string")
+    right = spark.createDataFrame([(1, None), (3, None), (3, None)], "a int, b string")
+    found = state_difference(left, right)
+    # Both sides meet in one pass.
+    assert _joins(found) == (1, 0)
+    assert sorted((r.a, r.b, r.side) for r in found.collect()) == [(1, None, "left"), (2, "b", "left"), (3, None, "right"), (3, None, "right")]

@@ -87,6 +87,25 @@ def test_live_timelines_follow_corrections(spark, tmp_path):
     assert world.value == 880
 
 
+def test_level_rows_are_written_once_and_judgements_beside_them(spark, tmp_path):
+    from laurel.plans.streams import _REVISIONS, no_competitions
+    from laurel.streaming.live import LiveTimelines
+
+    def row(i, value):
+        at = START + timedelta(minutes=i)
+        return (i, 1, "created", "active", "verified", at, at, "333", "single", value, f"P{i}", "NL", "Europe", "Open", "Open", "", i, at.date())
+
+    cells = spark.createDataFrame([], "level string, event_id string, kind string, scope string, value long")
+    state = LiveTimelines(cells, no_competitions(spark), str(tmp_path / "state"), _REVISIONS, buckets=4)
+    state.write(spark.createDataFrame([row(1, 700), row(2, 800), row(3, 900)], _REVISIONS), 0)
+    # Three timelines with one record each, and three of one person; the other six rows are not judged.
+    assert state.levels.read(0, state.level_schema).count() == 12
+    assert state.judged.read(0, state.judged_schema).count() == 6
+    assert "country" not in state.level_schema.names and "recognition" not in state.level_schema.names
+    rows = state.level_rows(0)
+    assert rows.count() == 12 and rows.where("recognition = 'not_applicable' AND incumbent = 700").count() == 6
+
+
 def test_discovery_keeps_known_targets(spark):
     as_of = F.lit("2026-08-10 09:00:00").cast("timestamp")
     target = "slug string, live_id long, official_id string, name string, start_date date, end_date date, status string, active boolean, last_error string"
