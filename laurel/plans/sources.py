@@ -231,20 +231,19 @@ def recent_records_parsed(spark, folder):
 def poll_batches(spark, folder):
     """Claims of all results polled in four rounds: first claims, repeats, other levels, unfinished ones."""
     rows = results(spark, folder)
+    own, poll = F.col("canonical_id"), F.col("poll_id")
+    every = F.array(*[F.struct(F.lit(n).alias("poll"), F.lit(e).alias("every")) for n, e in enumerate((1, 9, 6, 10))])
+    asked = F.transform(F.filter(every, lambda c: own % c["every"] == 0), lambda c: c["poll"])
+    # A payload is made for a claim that is polled only, by as many tasks as a shuffle has: a table of one file is read by few.
+    claims = rows.withColumn("poll_id", F.explode(asked)).repartition("canonical_id", "poll_id")
     open_ = F.when(F.col("round_number") == 1, 0).otherwise(F.col("value"))
-    wr, own = F.lit("wr"), F.col("canonical_id")
-    first = F.when(own % 13 == 0, "{}").otherwise(_record_payload(wr, open_, ""))
-    claims = F.array(
-        F.struct(F.lit(0).alias("poll"), F.lit(1).alias("every"), first.alias("payload")),
-        F.struct(F.lit(1).alias("poll"), F.lit(9).alias("every"), first.alias("payload")),
-        F.struct(F.lit(2).alias("poll"), F.lit(6).alias("every"), _record_payload(F.lit("nr"), F.col("value"), "").alias("payload")),
-        F.struct(F.lit(3).alias("poll"), F.lit(10).alias("every"), _record_payload(wr, F.lit(0).cast("long"), "").alias("payload")),
-    )
-    polled = rows.select("canonical_id", "at", F.explode(F.filter(claims, lambda c: own % c["every"] == 0)).alias("c")).select(
-        F.col("c.poll").alias("poll_id"),
-        (F.col("canonical_id") + F.col("c.poll").cast("long") * 1_000_000_000).alias("seq"),
+    second = F.when(poll == 3, 0).when(poll == 2, F.col("value")).otherwise(open_).cast("long")
+    payload = _record_payload(F.when(poll == 2, "nr").otherwise("wr"), second, "")
+    polled = claims.select(
+        "poll_id",
+        (own + poll.cast("long") * 1_000_000_000).alias("seq"),
         F.col("at").alias("observed_at"),
-        F.col("c.payload").alias("payload"),
+        F.when((own % 13 == 0) & (poll < 2), "{}").otherwise(payload).alias("payload"),
     )
     rounds = rows.select(F.col("competition_id").alias("round_id"), "competition_id", F.lit("Asia/Tokyo").alias("competition_timezone")).distinct()
     out = jobs.ingest_polls(polled, rounds)

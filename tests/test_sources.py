@@ -313,3 +313,23 @@ def test_a_roster_is_read_once_for_its_rows(spark):
     plan = str(parsed._jdf.queryExecution().optimizedPlan())
     assert plan.index("Generate explode") < plan.index("from_json(MapType")
     assert [r.person_name for r in parsed.orderBy(F.col("result_id").cast("int")).collect()] == ["P0", "P1", "P2"] * 3
+
+
+def test_polled_payloads_do_not_depend_on_the_files_of_the_table(spark, monkeypatch):
+    from laurel.plans import jobs, sources
+
+    class Seen(Exception):
+        pass
+
+    def ingest(polled, rounds):
+        raise Seen(polled)
+
+    monkeypatch.setattr(jobs, "ingest_polls", ingest)
+    try:
+        sources.poll_batches(spark, "/root/testdata/sf0.001")
+    except Seen as seen:
+        polled = seen.args[0]
+    # Payloads are made above a shuffle, and only those that are polled.
+    plan = polled._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("payload") < plan.index("RepartitionByExpression")
+    assert "payload" not in plan[plan.index("RepartitionByExpression"):]
