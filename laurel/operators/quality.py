@@ -106,9 +106,9 @@ def trusted_disagreements(observations: DataFrame, keys: Sequence[str]) -> DataF
 
 def state_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows present on one side only, with multiplicity; empty when both states agree."""
-    right = right.select(*left.columns)
-    return (
-        left.exceptAll(right)
-        .withColumn("side", F.lit("left"))
-        .unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
-    )
+    columns = left.columns
+    sides = left.withColumn("_n", F.lit(1)).unionByName(right.select(*columns).withColumn("_n", F.lit(-1)))
+    surplus = sides.groupBy(*columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    side = F.when(F.col("_n") > 0, "left").otherwise("right").alias("side")
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.abs("_n"))).alias("_copy")
+    return surplus.select(*columns, side, copies).drop("_copy")
